@@ -73,9 +73,9 @@ def _ranked(rows: DataFrame) -> DataFrame:
     numbered = C.materialize(parts.mapInPandas(number, fields), "ranks")
     counts = numbered.groupBy("part", "source").agg(F.max("at").alias("n"))
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("part", "source", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    same = (numbered.part == offsets.part) & numbered.source.eqNullSafe(offsets.source)
-    return numbered.join(offsets, same).select(numbered.source, "size", "id", (F.col("at") + F.col("ahead")).alias("rank"))
+    offsets = counts.select(F.col("part").alias("its_part"), F.col("source").alias("its_source"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    same = (F.col("part") == F.col("its_part")) & F.col("source").eqNullSafe(F.col("its_source"))
+    return numbered.join(offsets, same).select("source", "size", "id", (F.col("at") + F.col("ahead")).alias("rank"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
@@ -84,7 +84,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rows = docs.select(F.col(source).cast("string").alias("source"), word_count(F.col(text)).cast("long").alias("size"), F.col(doc_id).cast("string").alias("id"))
     ranked = _ranked(rows)
     goals = targets(ranked.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    joined = ranked.join(goals, ranked.source.eqNullSafe(goals.source)).select(ranked.source, "size", "id", "rank", "source_size", "target")
+    goals = goals.withColumnRenamed("source", "its_source")
+    joined = ranked.join(goals, F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source", "weight")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     copies = (F.floor(draw + F.col("rank") * each) - F.floor(draw + (F.col("rank") - 1) * each)).cast("long")
