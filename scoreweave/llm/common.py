@@ -14,8 +14,11 @@ import uuid
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 U64 = np.uint64
 BUCKET_BYTES = 12_000_000
@@ -168,3 +171,35 @@ def received(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     counts = np.frombuffer(b"".join(pdf["counts"]), np.uint32)
     order = np.argsort(keys)
     return keys[order], counts[order]
+
+
+def widened(df: DataFrame, **more: T.DataType) -> T.StructType:
+    return T.StructType([*df.schema.fields, *(T.StructField(k, v) for k, v in more.items())])
+
+
+def ranked(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """rows with rank: 1, 2, ... within each group, in the given order (nulls last).
+
+    The rows are range-sorted, numbered within each sorted part, and the parts' counts are added up per group: a group
+    of any size is spread over many parts, and only (part, group) counts meet in one place.  The numbered rows are
+    written before they are read twice, so part numbers cannot change in between."""
+    keys = [F.col(c).asc_nulls_last() for c in (group, *order)]
+    parts = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+    def number(batches):
+        part, seen = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            at = batch.groupby(group, sort=False, dropna=False).cumcount().to_numpy() + 1
+            for name, where in batch.groupby(group, sort=False, dropna=False).indices.items():
+                name = None if pd.isna(name) else name
+                at[where] += seen.get(name, 0)
+                seen[name] = seen.get(name, 0) + len(where)
+            yield batch.assign(part=part, at=at)
+
+    schema = widened(rows, part=T.IntegerType(), at=T.LongType())
+    numbered = materialize(parts.mapInPandas(number, schema), "ranks")
+    counts = numbered.groupBy("part", group).agg(F.max("at").alias("n"))
+    ahead = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("part").alias("its_part"), F.col(group).alias("its_group"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    same = (F.col("part") == F.col("its_part")) & F.col(group).eqNullSafe(F.col("its_group"))
+    return numbered.join(offsets, same).withColumn("rank", F.col("at") + F.col("ahead")).select(*rows.columns, "rank")

@@ -19,8 +19,6 @@ documents no copies.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,34 +53,11 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return caps.select("source", "source_size", "weight", F.when(F.col("full"), (most * F.col("source_size")).cast("double")).otherwise(F.col("share") * F.col("weight")).alias("target"))
 
 
-def _ranked(rows: DataFrame) -> DataFrame:
-    """rows (source, size, id) -> with rank: 1, 2, ... within the source in order of (size, id)."""
-    parts = rows.repartitionByRange(F.col("source").asc_nulls_last(), "size", F.col("id").asc_nulls_last())
-    parts = parts.sortWithinPartitions(F.col("source").asc_nulls_last(), "size", F.col("id").asc_nulls_last())
-
-    def number(batches):
-        part, seen = TaskContext.get().partitionId(), {}
-        for batch in batches:
-            source = batch["source"].fillna("\0null") if batch["source"].isna().any() else batch["source"]
-            at = batch.groupby(source, sort=False).cumcount() + 1 + source.map(seen).fillna(0).astype("int64")
-            for name, n in source.value_counts().items():
-                seen[name] = seen.get(name, 0) + int(n)
-            yield pd.DataFrame({"source": batch["source"], "size": batch["size"], "id": batch["id"], "part": part, "at": at.astype("int64")})
-
-    fields = "source string, size long, id string, part int, at long"
-    numbered = C.materialize(parts.mapInPandas(number, fields), "ranks")
-    counts = numbered.groupBy("part", "source").agg(F.max("at").alias("n"))
-    ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("part").alias("its_part"), F.col("source").alias("its_source"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    same = (F.col("part") == F.col("its_part")) & F.col("source").eqNullSafe(F.col("its_source"))
-    return numbered.join(offsets, same).select("source", "size", "id", (F.col("at") + F.col("ahead")).alias("rank"))
-
-
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for every row of docs."""
     id_type = docs.schema[doc_id].dataType
     rows = docs.select(F.col(source).cast("string").alias("source"), word_count(F.col(text)).cast("long").alias("size"), F.col(doc_id).cast("string").alias("id"))
-    ranked = _ranked(rows)
+    ranked = C.ranked(rows, "source", ["size", "id"])
     goals = targets(ranked.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     goals = goals.withColumnRenamed("source", "its_source")
     joined = ranked.join(goals, F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source", "weight")
