@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 U64 = np.uint64
-BUCKET_BYTES = 12_000_000
+BUCKET_BYTES = 8_000_000
 RANGE_KEYS = 2_000_000
 LEAST_BUCKETS = 48
 #: Multiplier of the rolling hash and of its finalizer (fixed values).
