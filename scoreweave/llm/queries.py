@@ -6,6 +6,7 @@ from .ngram_jaccard import op6_ngram_jaccard
 from .packing import op4_best_fit_packing
 from .source_mixing import OP3_SQL, op3_source_mixing
 from .substring_dedup import op9_substring_dedup
+from .toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_source_mixing, op4_best_fit_packing, op6_ngram_jaccard, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op3_source_mixing, op4_best_fit_packing, op6_ngram_jaccard, op8_toxicity, op9_substring_dedup)}
 ORACLES: dict[str, str] = {"op3_source_mixing": OP3_SQL}
