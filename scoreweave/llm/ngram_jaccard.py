@@ -12,9 +12,10 @@ step below is exact; each one only leaves out pairs that cannot link.
 4. *Index lists.*  The prefix tokens' lists keep position and size.  In each list the most central set (fewest tokens
    of its own) is compared with the others: a linear number of pairs.
 5. *Answers from answers.*  Sets linked to the same centre are already connected and are not compared again.  For the
-   others the distance is a metric: with d(x, centre) and d(y, centre) known, a pair is skipped if their difference
-   exceeds the limit.  What is left is joined within the lists in blocks of size, with length and position filters,
-   and verified.
+   others the overlaps with the centre c bound their own: |x & y| <= min(|x & c|, |y & c|) + min(rest of x, rest of y),
+   where the rest is what lies outside c and is no token of one set alone; and the distance is a metric, so that
+   |d(x, c) - d(y, c)| must not exceed the limit.  What is left is joined within the lists in blocks of size, with length and position filters,
+   in the first list that holds both, and verified.
 
 Rows: null or empty texts have no shingle, form a component of their own and link with nothing.  Rows that repeat a
 doc_id count as linked.  A null doc_id gets a null component.  Extra columns are not touched.
@@ -27,6 +28,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common as C
 
@@ -108,7 +110,7 @@ def _features(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) ->
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) -> (a, b, far, linked): the Jaccard distance, and whether the pair links."""
+    """pairs (a, b) -> (a, b, common, far, linked): the overlap, the Jaccard distance, and whether the pair links."""
     side = lambda x: sets.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     id_type = sets.schema["rep"].dataType.simpleString()
@@ -123,9 +125,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     held = {b: (y := np.frombuffer(b, C.U64))}
                 inter[k] = C.member(np.frombuffer(a, C.U64), y).sum()
             union = pdf["n_a"].to_numpy() + pdf["n_b"].to_numpy() - inter
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "far": 1 - inter / np.maximum(union, 1), "linked": 100 * inter >= percent * union})
+            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "common": inter, "far": 1 - inter / np.maximum(union, 1), "linked": 100 * inter >= percent * union})
 
-    return both.mapInPandas(overlap, f"a {id_type}, b {id_type}, far double, linked boolean")
+    return both.mapInPandas(overlap, f"a {id_type}, b {id_type}, common long, far double, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -162,17 +164,21 @@ def _links(classes: DataFrame, percent: int) -> DataFrame:
 
     # A set's label: the centre it is nearest to among those it links to, itself otherwise.  Equal labels are connected.
     near = tested.where("linked").groupBy(F.col("a").alias("rep")).agg(F.min(F.struct("far", "b")).alias("x")).select("rep", F.col("x.b").alias("label"))
-    known = tested.select(F.col("a").alias("rep"), F.col("b").alias("centre"), "far")
+    known = tested.select(F.col("a").alias("rep"), F.col("b").alias("centre"), "common", "far")
     rest = lists.join(near, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     label_of = near.select(F.col("rep").alias("label"), F.col("label").alias("over"))
     rest = rest.join(label_of, "label", "left").withColumn("label", F.coalesce("over", "label")).drop("over")
     mixed = rest.groupBy("token").agg(F.min("label").alias("one"), F.max("label").alias("two")).where("one <> two").select("token")
     rest = rest.join(mixed, "token").join(known, ["rep", "centre"], "left").withColumn("far", F.when(F.col("rep") == F.col("centre"), 0.0).otherwise(F.col("far")))
-    rest = C.materialize(rest.select("token", "rep", "n", "at", "label", "centre", "far", F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).alias("block")), "rest")
+    earlier = F.collect_list("token").over(Window.partitionBy("rep").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    rest = C.materialize(rest.select("token", "rep", "n", "singles", "at", earlier.alias("earlier"), "label", "centre", "far", "common", F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).alias("block")), "rest")
 
+    # What two sets can share: what each shares with the centre at most, and of the rest what is not one set's alone.
+    derived = lambda x: (F.col("common").alias(f"common_{x}"), (F.col("n") - F.col("common") - F.col("singles")).alias(f"other_{x}"))
+    shares = F.least("common_a", "common_b") + F.least("other_a", "other_b")
     # Sizes within the threshold lie in the same block or in neighbouring ones.
-    left = rest.select(F.col("token"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("label").alias("label_a"), F.col("far").alias("far_a"))
-    right = rest.select("token", "block", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("label").alias("label_b"), F.col("far").alias("far_b"), "centre")
+    left = rest.select(F.col("token"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("label").alias("label_a"), F.col("far").alias("far_a"), *derived("a"), F.col("earlier").alias("earlier_a"))
+    right = rest.select("token", "block", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("label").alias("label_b"), F.col("far").alias("far_b"), *derived("b"), "centre", F.col("earlier").alias("earlier_b"))
     most = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     pairs = left.join(
         right,
@@ -182,9 +188,11 @@ def _links(classes: DataFrame, percent: int) -> DataFrame:
         & (F.col("label_a") != F.col("label_b"))
         & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
         & (most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+        & (F.col("common_a").isNull() | F.col("common_b").isNull() | (shares * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent))
         & (F.col("far_a").isNull() | F.col("far_b").isNull() | (F.abs(F.col("far_a") - F.col("far_b")) <= limit))
         & (F.col("a") != F.col("centre"))
-        & (F.col("b") != F.col("centre")),
+        & (F.col("b") != F.col("centre"))
+        & ~F.arrays_overlap("earlier_a", "earlier_b"),  # each pair once: in the first list that holds both
     )
     more = _verified(pairs.select("a", "b").distinct(), sets, percent)
     return tested.where("linked").select("a", "b").union(more.where("linked").select("a", "b"))
