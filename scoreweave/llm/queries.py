@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .media import op5_media_columns
 from .ngram_jaccard import op6_ngram_jaccard
 from .packing import op4_best_fit_packing
 from .source_mixing import OP3_SQL, op3_source_mixing
 from .substring_dedup import op9_substring_dedup
 from .toxicity import op8_toxicity
+from .warc_fixity import OP10_SQL, op10_warc_fixity
 
-QUERIES = {f.__name__: f for f in (op3_source_mixing, op4_best_fit_packing, op6_ngram_jaccard, op8_toxicity, op9_substring_dedup)}
-ORACLES: dict[str, str] = {"op3_source_mixing": OP3_SQL}
+QUERIES = {f.__name__: f for f in (op3_source_mixing, op4_best_fit_packing, op5_media_columns, op6_ngram_jaccard, op8_toxicity, op9_substring_dedup, op10_warc_fixity)}
+ORACLES: dict[str, str] = {"op3_source_mixing": OP3_SQL, "op10_warc_fixity": OP10_SQL}
