@@ -57,12 +57,13 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
 
 
-def in_buckets(docs: DataFrame, doc_id: str, text: str, n_buckets: int) -> DataFrame:
+def in_buckets(docs: DataFrame, doc_id: str, text: str, n_buckets: int, keep: list[str] = ()) -> DataFrame:
     """(bucket, id, body): the id as a string (so that pandas keeps nulls and all digits), the text as UTF-8 bytes (null: empty)."""
     return docs.select(
         F.pmod(F.xxhash64(F.col(doc_id)), F.lit(n_buckets)).cast("int").alias("bucket"),
         F.col(doc_id).cast("string").alias("id"),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"),
+        *(F.col(c).cast("string").alias(f"kept_{k}") for k, c in enumerate(keep)),
     )
 
 

@@ -78,10 +78,12 @@ class Texts:
         return np.cumsum(mark)[:-1] > 0
 
 
-def _apply(docs: DataFrame, doc_id: str, text: str, finish: Callable, schema: str) -> DataFrame:
+def _apply(docs: DataFrame, doc_id: str, text: str, finish: Callable, schema: str, keep: list[str] = ()) -> DataFrame:
     n_bytes = C.text_bytes(docs, text)
     n_buckets, n_ranges = C.bucket_count(n_bytes), C.range_count(n_bytes / 25)
-    dealt = C.in_buckets(docs, doc_id, text, n_buckets)
+    dealt = C.in_buckets(docs, doc_id, text, n_buckets, keep)  # one shuffle of the texts; the three steps below share it
+
+    names = [f"kept_{k}" for k in range(len(keep))]
 
     def anchors(key, pdf: pd.DataFrame) -> pd.DataFrame:
         return C.key_rows(key[0], Texts(pdf["body"]).anchors()[1], n_ranges)
@@ -94,17 +96,17 @@ def _apply(docs: DataFrame, doc_id: str, text: str, finish: Callable, schema: st
     def end(key, pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         texts = Texts(pdf["body"])
         gone = texts.removed(C.received(back)[0])
-        out = [
-            (i, *finish(body, words, gone[a:b]))
-            for i, body, words, a, b in zip(pdf["id"], pdf["body"], texts.words, texts.starts, texts.starts[1:])
-        ]
-        return pd.DataFrame(out, columns=["id", *(x.split()[0] for x in schema.split(", "))])
+        out = [finish(body, words, gone[a:b]) for body, words, a, b in zip(pdf["body"], texts.words, texts.starts, texts.starts[1:])]
+        done = pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")], index=pdf.index)
+        return pd.concat([pdf[["id", *names]], done], axis=1)
 
     by = dealt.groupBy("bucket")
     first = C.shared_keys(by.applyInPandas(anchors, C.KEYS))
     second = C.shared_keys(by.cogroup(first.groupBy("bucket")).applyInPandas(windows, C.KEYS))
-    done = by.cogroup(second.groupBy("bucket")).applyInPandas(end, f"id string, {schema}")
-    return done.select(F.col("id").cast(docs.schema[doc_id].dataType).alias("doc_id"), *done.columns[1:])
+    kept = "".join(f"{x} string, " for x in names)
+    done = by.cogroup(second.groupBy("bucket")).applyInPandas(end, f"id string, {kept}{schema}")
+    back = [F.col(x).cast(docs.schema[c].dataType).alias(c) for x, c in zip(names, keep)]
+    return done.select(F.col("id").cast(docs.schema[doc_id].dataType).alias("doc_id"), *back, *done.columns[1 + len(names) :])
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -118,16 +120,16 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return _apply(docs, doc_id, text, finish, "n_words long, n_removed long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, kept, n_removed): texts without repeated passages.  A text that loses nothing stays as it is, white
-    space included; else kept words are joined by one space (all gone: empty text)."""
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] = ()) -> DataFrame:
+    """(doc_id, kept columns, kept, n_removed): texts without repeated passages.  A text that loses nothing stays as it
+    is, white space included; else kept words are joined by one space (all gone: empty text)."""
 
     def finish(body: bytes, words: list[bytes], gone: np.ndarray) -> tuple:
         n = int(gone.sum())
         kept = body if not n else b" ".join([w for w, x in zip(words, gone) if not x])
         return kept.decode("utf-8", "replace"), n
 
-    return _apply(docs, doc_id, text, finish, "kept string, n_removed long")
+    return _apply(docs, doc_id, text, finish, "kept string, n_removed long", keep)
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -222,22 +222,19 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return model
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with score (0 to 1) and evidence (the ids of the nearest examples, nearest first)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"))
 
-    def judge(frames):
-        m = shared.value
-        for pdf in frames:
-            out = []
-            for i, body in zip(pdf["id"], pdf["text"]):
-                found, sims = m.nearest(*m.vector(words_of(body)))
-                out.append((i, float(m.probability(m.vote(found, sims))), [m.ids[k] for k in found[:5]]))
-            yield pd.DataFrame(out, columns=["id", "score", "evidence"])
+    @F.pandas_udf("score double, evidence array<string>")
+    def judge(bodies: pd.Series) -> pd.DataFrame:
+        m, out = shared.value, []
+        for body in bodies:
+            found, sims = m.nearest(*m.vector(words_of(body)))
+            out.append((float(m.probability(m.vote(found, sims))), [m.ids[k] for k in found[:5]]))
+        return pd.DataFrame(out, columns=["score", "evidence"])
 
-    out = rows.mapInPandas(judge, "id string, score double, evidence array<string>")
-    return out.select(F.col("id").cast(docs.schema[doc_id].dataType).alias("doc_id"), "score", "evidence")
+    return docs.withColumn("judged", judge(F.col(text))).select(*(F.col(c) for c in docs.columns), "judged.score", "judged.evidence")
 
 
 def fold(doc_id: str = "doc_id"):
