@@ -21,6 +21,7 @@ an empty result.  Extra columns are not touched.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -37,32 +38,74 @@ PIECES = "id string, piece int, start long, length long, ids_crc32 long"
 _TOKENIZERS: dict[str, Tokens] = {}
 
 
+#: How the vocabulary cuts lower-cased text of ASCII and Latin letters (fixed patterns): contractions, words, digits, the
+#: rest; what makes a text leave that path; and what its words consist of.
+CUT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
+ODD = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]|<\|(?:startof|endof)text\|>")
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
+
 class Tokens(dict):
-    """A run of non-space characters (bytes) -> its token ids (little-endian unsigned 32 bit).
+    """A piece that the pre-tokenizer cuts (bytes) -> its token ids (little-endian unsigned 32 bit).
 
-    The vocabulary's pre-tokenizer never joins characters across white space, so runs are tokenized once and looked
-    up afterwards.  At most `most` runs are remembered."""
+    Pieces are tokenized once and looked up afterwards; words many at a time, as every word ends with a token that is marked
+    so.  Texts with other letters, control characters or special tokens take another way: their runs of non-space characters,
+    which the pre-tokenizer never joins, are tokenized as they stand.  At most `most` pieces are remembered."""
 
-    def __init__(self, path: str, most: int = 700_000) -> None:
+    def __init__(self, path: str, most: int = 1_200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-
-    def learn(self, runs: set[bytes]) -> None:
-        new = list(runs - self.keys())
-        if len(self) + len(new) > self.most:
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.runs: dict[bytes, bytes] = {}
+
+    def _single(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends, raw = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist(), ids.tobytes()
+        if len(ends) != len(words):
+            return [self._single(w) for w in words]
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def learn(self, new: set[bytes]) -> None:
+        """Pieces of other letters get None."""
+        words = []
+        for piece in new:
+            if piece[0] >= 97 and piece[0] != 123 and LATIN.fullmatch(text := piece.decode()):
+                words.append(text)
+            else:
+                self[piece] = None if max(piece) >= 128 else self._single(piece.decode())
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            self.update(zip([w.encode() for w in part], self._words(part)))
+
+    def _by_runs(self, body: bytes) -> bytes:
+        out = []
+        for run in body.split():
+            if run not in self.runs:
+                if len(self.runs) >= self.most:
+                    self.runs.clear()
+                self.runs[run] = self._single(run.decode())
+            out.append(self.runs[run])
+        return b"".join(out)
+
+    def encode_all(self, bodies) -> list[bytes]:
+        """The ids of each text."""
+        cut = [None if ODD.search(b) else CUT.findall(b.lower()) for b in bodies]
+        held = set().union(*(c for c in cut if c))
+        if len(self) + len(held) > self.most:
             self.clear()
-            new = list(runs)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for run, found in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                self[run] = np.array(found.ids, "<u4").tobytes()
-
-    def encode(self, body: bytes) -> bytes:
-        runs = body.split()
-        self.learn(set(runs))
-        return b"".join(map(self.__getitem__, runs))
+        self.learn(held - self.keys())
+        out = []
+        for body, pieces in zip(bodies, cut):
+            ids = None if pieces is None else list(map(self.__getitem__, pieces))
+            out.append(self._by_runs(body) if ids is None or None in ids else b"".join(ids))
+        return out
 
 
 def tokenizer(path: str) -> Tokens:
@@ -87,11 +130,9 @@ def pieces(docs: DataFrame, doc_id: str, text: str, path: str, capacity: int = C
         for pdf in frames:
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
-                runs = [b.split() for b in part["body"]]
-                known.learn(set().union(*runs))
                 out = []
-                for i, words in zip(part["id"], runs):
-                    ids = b"".join(map(known.__getitem__, words)) + close
+                for i, ids in zip(part["id"], known.encode_all(part["body"])):
+                    ids += close
                     for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[a : a + 4 * capacity]
                         out.append((i, k, a // 4, len(own) // 4, zlib.crc32(own), *([own] if keep_ids else [])))
