@@ -19,12 +19,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that op 8 scores under one half; the examples are labelled rows of these very documents."""
+    docs = docs.select(*COLUMNS)
     scored = toxicity.score(docs, toxicity.learn(spark, docs, sf_dir))
     return scored.where("score < 0.5").select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each component of op 6."""
+    docs = docs.select(*COLUMNS)
     found = ngram_jaccard.jaccard_components(docs)
     firsts = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -38,6 +40,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Emits each document as often as op 3 takes it (0 to 3 times)."""
+    docs = docs.select(*COLUMNS)
     size = source_mixing.word_count(F.col("text")).cast("long")
     taken = source_mixing.mix(docs).groupBy(F.col("doc_id").alias("its_id"), F.col("size").alias("its_size")).agg(F.max("copies").cast("int").alias("copies")).where("copies > 0")
     same = F.col("doc_id").eqNullSafe(F.col("its_id")) & (size == F.col("its_size"))

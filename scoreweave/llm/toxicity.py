@@ -247,6 +247,6 @@ def learn(spark, docs: DataFrame, sf_dir: str) -> Model:
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs = C.table(spark, sf_dir, "documents")
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = score(docs, learn(spark, docs, sf_dir))
     return found.select("doc_id", fold().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")

@@ -1,0 +1,498 @@
+"""The operators against brute force on small tables, and on rows that real tables hold as well: nulls, empty and long texts,
+repeated rows, empty tables, extra columns."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from scoreweave.llm import binary_search, common, license_scan, media, ngram_jaccard, packing, queries, source_mixing, substring_dedup, toxicity, url_filter, warc_fixity, webp
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, id string, size int, bucket int, score double, rank int, label string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Rows that real tables hold as well, with extra columns whose names the operators use inside."""
+    r = random.Random(5)
+    base = [f"w{r.randrange(4000)}" for _ in range(120)]
+    near = base[:60] + ["changed"] + base[61:]
+    long = [f"v{r.randrange(900)}" for _ in range(30000)]
+    texts = [None, "", " \n\t ", "one", "two words", "two words", " ".join(base), " ".join(base), " ".join(near), "x " + " ".join(base[20:60]), " ".join(long), "Released under the MIT License.\nCC-BY 4.0", "ñandú " * 50]
+    rows = [(k, t, "en", None if k % 3 == 0 else f"s{k % 2}", None) for k, t in enumerate(texts)] + [(6, " ".join(base), "en", "s0", 1), (None, "no id here", None, None, None)]
+    return spark.createDataFrame([(*r, "x", "y", 1, 2, 0.5, 3, "z") for r in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows_of(df):
+    return [(r["doc_id"], (r["text"] or "").encode()) for r in df.select("doc_id", "text").collect()]
+
+
+# ---------------------------------------------------------------- substring dedup
+
+
+def brute_removed(rows):
+    seen = Counter(tuple(w[i : i + 35]) for _, t in rows for w in [t.split()] for i in range(len(w) - 34))
+    out = []
+    for d, t in rows:
+        w, gone = t.split(), set()
+        for i in range(len(w) - 34):
+            if seen[tuple(w[i : i + 35])] > 1:
+                gone.update(range(i, i + 35))
+        kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
+        out.append((d, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("name", ["docs", "odd", "none"])
+def test_substring_dedup(name, request):
+    df = request.getfixturevalue(name)
+    got = [tuple(r) for r in substring_dedup.digests(df).collect()]
+    assert Counter(got) == Counter(brute_removed(rows_of(df)))
+
+
+def test_cover_realizes_every_shift():
+    assert {(a - b) % substring_dedup.PERIOD for a in substring_dedup.COVER for b in substring_dedup.COVER} == set(range(21))
+
+
+def test_text_without_repeats_stays(odd):
+    got = {(r["doc_id"], r["kept"]) for r in substring_dedup.remove_repeats(odd, keep=["lang"]).collect() if r["n_removed"] == 0}
+    assert (2, " \n\t ") in got and (0, "") in got
+
+
+# ---------------------------------------------------------------- n-gram Jaccard
+
+
+def brute_components(rows):
+    sets = defaultdict(set)
+    for d, t in rows:
+        w = t.lower().split()
+        sets[d] |= {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    ids = sorted(d for d in sets if d is not None)
+    parent = {d: d for d in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    held = defaultdict(list)
+    for d in ids:
+        for x in sets[d]:
+            held[x].append(d)
+    common_n = Counter((a, b) for ds in held.values() for k, a in enumerate(ds) for b in ds[k + 1 :])
+    for (a, b), n in common_n.items():
+        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), root(d)) for d in ids}
+
+
+@pytest.mark.parametrize("name", ["docs", "odd", "none"])
+def test_components(name, request):
+    df = request.getfixturevalue(name)
+    got = ngram_jaccard.jaccard_components(df).collect()
+    want = brute_components(rows_of(df))
+    assert len(got) == df.count()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == want
+    assert all(r["component_id"] is None for r in got if r["doc_id"] is None)
+
+
+def test_chain_of_near_copies(spark):
+    """Neighbours link, ends do not: one component, found through several links; a family of unlinked variants stays apart."""
+    r = random.Random(1)
+    word = [f"a{k}" for k in range(200)]
+    rows = []
+    for k in range(12):
+        rows.append((k, " ".join(word)))
+        for _ in range(2):
+            word[r.randrange(200)] = f"n{r.randrange(10**9)}"
+    base = [f"b{k}" for k in range(150)]
+    for k in range(40):
+        mine = list(base)
+        for at in r.sample(range(150), 8):
+            mine[at] = f"m{r.randrange(10**9)}"
+        rows.append((100 + k, " ".join(mine)))
+    rows.append((99, " ".join(base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_jaccard.jaccard_components(df).collect()}
+    assert got == brute_components([(d, t.encode()) for d, t in rows])
+
+
+# ---------------------------------------------------------------- mixing
+
+
+def test_mix_meets_targets(docs):
+    got = source_mixing.mix(docs).collect()
+    by = defaultdict(lambda: [0, 0.0, 0])
+    for r in got:
+        by[r["source"]][0] += r["taken"]
+        by[r["source"]][1] = r["target"]
+        by[r["source"]][2] = max(by[r["source"]][2], r["size"])
+        assert r["copies"] <= 3
+    assert abs(sum(v[1] for v in by.values()) - sum(r["size"] for r in got)) < 1e-3
+    for taken, target, largest in by.values():
+        assert abs(taken - target) <= largest
+
+
+@pytest.mark.parametrize("name", ["odd", "none"])
+def test_mix_of_odd_rows(name, request):
+    df = request.getfixturevalue(name)
+    a, b = (sorted(map(str, source_mixing.mix(df).collect())) for _ in range(2))
+    assert a == b and len(a) == df.count()
+
+
+def test_targets_stop_at_three_times(spark):
+    got = {r["source"]: r["target"] for r in source_mixing.targets(spark.createDataFrame([("a", 10), ("b", 1000), (None, 500)], "source string, source_size long")).collect()}
+    assert got["a"] == 30 and abs(got["b"] - 1480 * 2 / 3) < 1e-6 and abs(got[None] - 1480 / 3) < 1e-6
+
+
+# ---------------------------------------------------------------- packing
+
+
+@pytest.mark.parametrize("name", ["docs", "odd", "none"])
+def test_packing(name, request):
+    from tokenizers import Tokenizer
+
+    df = request.getfixturevalue(name)
+    got = packing.pack_documents(df).collect()
+    known = Tokenizer.from_file(packing.vocabulary())
+    want = Counter()
+    for d, t in rows_of(df):
+        ids = np.array(known.encode(t.decode(), add_special_tokens=False).ids + [1], "<u4")
+        for k, a in enumerate(range(0, len(ids), 4096)):
+            want[d, k, a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())] += 1
+    assert Counter(tuple(r)[:5] for r in got) == want
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in by.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 4096
+    assert len(by) <= 1.05 * sum(n for p in by.values() for _, n in p) / 4096 + 1
+
+
+def test_best_fit_is_best_fit_decreasing():
+    r = random.Random(2)
+    for _ in range(30):
+        lengths = sorted((r.randrange(1, 101) for _ in range(200)), reverse=True)
+        gaps = []
+        for n in lengths:
+            fit = [g for g in gaps if g >= n]
+            g = min(fit) if fit else 100
+            if fit:
+                gaps.remove(g)
+            gaps.append(g - n)
+        plan = packing.best_fit(Counter(lengths), 100)
+        assert max(first + n for _, _, n, first, _ in plan) == len(gaps)
+        assert sum(n for _, _, n, _, _ in plan) == 200
+
+
+def test_sequences_hold_their_documents(docs):
+    got = packing.sequences(docs.limit(20)).collect()
+    assert all(len(r["ids"]) == r["n_tokens"] <= 4096 for r in got)
+
+
+# ---------------------------------------------------------------- media
+
+
+@pytest.mark.parametrize("name", ["docs", "odd", "none"])
+def test_media_round_trip(name, request):
+    df = request.getfixturevalue(name)
+    got = Counter((r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in media.digests(media.store(df)).collect())
+    want = Counter()
+    for _, t in rows_of(df):
+        p = t + b"\xff" * ((-len(t)) % 576 if t else 576)
+        want[len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])] += 1
+    assert got == want
+
+
+class Stream(webp.Writer):
+    """Writes single code symbols, for images that the encoder does not make."""
+
+    def simple(self, *symbols):
+        self.put(1, 1), self.put(len(symbols) - 1, 1), self.put(1, 1)
+        for s in symbols:
+            self.put(s, 8)
+
+    def flat(self):
+        webp._put_flat(self, 8)
+
+    def byte(self, v):
+        self.put(webp.BACKWARDS[v], 8)
+
+
+def literal_image(w, pixels, main=False):
+    """An image of literals: all four channels in codes of 8 bits."""
+    w.put(0, 1)
+    if main:
+        w.put(0, 1)
+    for _ in range(4):
+        w.flat()
+    w.simple(0)
+    for a, r, g, b in pixels:
+        for v in (g, r, b, a):
+            w.byte(v)
+
+
+def start(width, height):
+    w = Stream()
+    w.put(0x2F, 8), w.put(width - 1, 14), w.put(height - 1, 14), w.put(1, 1), w.put(0, 3)
+    return w
+
+
+def argb(pixels):
+    return [a << 24 | r << 16 | g << 8 | b for a, r, g, b in pixels]
+
+
+def some_pixels(n, seed=0):
+    r = random.Random(seed)
+    return [tuple(r.randrange(256) for _ in range(4)) for _ in range(n)]
+
+
+def test_webp_literals():
+    w, px = start(5, 3), some_pixels(15)
+    w.put(0, 1)
+    literal_image(w, px, main=True)
+    assert webp.decode_bitstream(w.bytes())[2].tolist() == argb(px)
+
+
+def test_webp_back_references_and_cache():
+    w = start(4, 3)
+    w.put(0, 1)
+    w.put(1, 1), w.put(2, 4), w.put(0, 1)  # a colour cache of 4 entries, one group of codes
+    # green: 7 (literal), 256 + 1 (length 2), 280 + k (cache): four symbols in codes of two bits
+    p = (255, 1, 7, 2)
+    key = (argb([p])[0] * webp.CACHE_MULTIPLIER & 0xFFFFFFFF) >> 30
+    used = sorted((7, 257, 280 + key, 281 if key != 1 else 282))
+    lengths = [2 if s in used else 0 for s in range(284)]
+    w.put(0, 1), w.put(15, 4)  # normal code: all 19 lengths of the code-length code
+    for s in webp.LENGTH_ORDER:
+        w.put({0: 1, 2: 1}.get(s, 0), 3)
+    w.put(0, 1)
+    for n in lengths:
+        w.put(1 if n else 0, 1)
+    w.simple(1), w.simple(2), w.simple(255), w.simple(1)  # red, blue, alpha, distance code 2: the pixel to the left
+    code = {s: int(format(k, "02b")[::-1], 2) for k, s in enumerate(used)}
+    w.put(code[7], 2)  # the literal
+    w.put(code[257], 2)  # two more, copied
+    w.put(code[280 + key], 2)  # one from the cache
+    for _ in range(4):
+        w.put(code[257], 2)
+    assert webp.decode_bitstream(w.bytes() + b"\0\0")[2].tolist() == argb([p]) * 12
+
+
+def residual(px, guess):
+    return tuple((a - b) & 255 for a, b in zip(px, guess))
+
+
+@pytest.mark.parametrize("mode", range(14))
+def test_webp_predictor(mode):
+    width, height = 6, 5
+    px = some_pixels(width * height, mode)
+    at = lambda x, y: px[y * width + x]
+    bgra = lambda p: [p[3], p[2], p[1], p[0]]
+    out = []
+    for y in range(height):
+        for x in range(width):
+            if x == y == 0:
+                guess = (255, 0, 0, 0)
+            elif y == 0:
+                guess = at(x - 1, 0)
+            elif x == 0:
+                guess = at(0, y - 1)
+            else:
+                right = at(x + 1, y - 1) if x + 1 < width else at(0, y)
+                guess = tuple(bgra(webp._predicted(mode, bgra(at(x - 1, y)), bgra(at(x, y - 1)), bgra(at(x - 1, y - 1)), bgra(right))))
+            out.append(residual(at(x, y), guess))
+    w = start(width, height)
+    w.put(1, 1), w.put(0, 2), w.put(1, 3)
+    literal_image(w, [(255, 0, mode, 0)])
+    w.put(0, 1)
+    literal_image(w, out, main=True)
+    assert webp.decode_bitstream(w.bytes())[2].tolist() == argb(px)
+
+
+def test_webp_predictions_by_hand():
+    left, top, corner, right = [10] * 4, [20] * 4, [30] * 4, [41] * 4
+    want = {1: 10, 2: 20, 3: 41, 4: 30, 5: 22, 6: 20, 7: 15, 8: 25, 9: 30, 10: 25, 11: 20, 12: 0, 13: 8}
+    assert {m: webp._predicted(m, left, top, corner, right)[0] for m in want} == want
+
+
+def test_webp_cross_colour_and_subtract_green():
+    px = some_pixels(12, 3)
+    to_red, to_blue, red_to_blue = 17, 250, 130
+    signed = lambda v: v - 256 if v > 127 else v
+    mul = lambda t, c: signed(t) * signed(c) >> 5
+    out = []
+    for a, r, g, b in px:
+        r1, b1 = (r - g) & 255, (b - g) & 255  # subtract green first
+        out.append((a, (r1 - mul(to_red, g)) & 255, g, (b1 - mul(to_blue, g) - mul(red_to_blue, r1)) & 255))
+    w = start(4, 3)
+    w.put(1, 1), w.put(2, 2)
+    w.put(1, 1), w.put(1, 2), w.put(0, 3)
+    literal_image(w, [(255, red_to_blue, to_blue, to_red)])
+    w.put(0, 1)
+    literal_image(w, out, main=True)
+    assert webp.decode_bitstream(w.bytes())[2].tolist() == argb(px)
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 9, 16, 17, 100, 256])
+def test_webp_grey(n):
+    r = np.random.default_rng(n)
+    x = r.choice(256, n, replace=False).astype(np.uint8)[r.integers(0, n, (3, 577))]
+    width, height, pixels = webp.decode(webp.encode_grey(x))
+    assert (width, height) == (577, 3)
+    assert (pixels.reshape(3, 577) == 0xFF000000 + x.astype(np.uint32) * 0x10101).all()
+
+
+def test_webp_broken(spark):
+    good = webp.encode_grey(np.zeros((2, 576), np.uint8))
+    df = spark.createDataFrame([(good,), (good[:30],), (b"RIFFxxxx",), (None,)], "media binary")
+    got = media.decode_column(df).collect()
+    assert got[0]["width"] == 576 and got[0]["error"] is None
+    assert all(r["pixels"] is None and r["error"] for r in got[1:])
+
+
+# ---------------------------------------------------------------- toxicity
+
+
+def test_nearest_is_exact():
+    r = np.random.default_rng(0)
+    m = toxicity.Model()
+    m.idf = {bytes([97 + k]) * 3: (k, 1 + k / 10) for k in range(20)}
+    vectors = [m.vector([bytes([97 + k]) * 3 for k in r.integers(0, 20, r.integers(1, 12))]) for _ in range(300)]
+    m.ids, m.groups, m.toxic = [str(k) for k in range(300)], np.arange(300), r.integers(0, 2, 300).astype(float)
+    m.index(vectors)
+    dense = np.zeros((300, 20))
+    for k, (t, w) in enumerate(vectors):
+        dense[k, t] = w
+    for _ in range(50):
+        t, w = m.vector([bytes([97 + k]) * 3 for k in r.integers(0, 20, 6)])
+        q = np.zeros(20)
+        q[t] = w
+        sims = dense @ q
+        want = np.lexsort((np.arange(300), -np.round(sims, 12)))[: toxicity.NEAREST]
+        found, got = m.nearest(t, w)
+        assert np.allclose(np.sort(got), np.sort(sims[want]))
+
+
+def test_toxicity_learns(spark):
+    got = toxicity.op8_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").toPandas()
+    right = (got.predicted == got.toxic).mean()
+    assert right >= 0.95 and got.score.between(0, 1).all()
+
+
+def test_toxicity_of_odd_rows(odd, none, spark):
+    labels = spark.createDataFrame([(k, 1, None if k == 4 else int(k < 6)) for k in range(12)] + [(3, 0, 0)], "doc_id long, quality int, toxic int")
+    for df in (odd, none):
+        plain = df.select("doc_id", "text")
+        model = toxicity.fit(plain, labels)
+        assert toxicity.score(plain, model).where("score between 0 and 1").count() == df.count()
+    assert toxicity.fit(odd.select("doc_id", "text"), labels.limit(0)).ids == []
+
+
+# ---------------------------------------------------------------- searches and audits
+
+
+def test_binary_search_with_ties(spark):
+    r = random.Random(4)
+    rows = [(k, [1.0] * 64 if k % 3 == 0 else [r.choice([-1.0, 1.0]) for _ in range(64)]) for k in range(300)] + [(300, None), (301, [1.0]), (None, [1.0] * 64)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for x in binary_search.top_k(df, lambda i: i % 100 == 0, k=5).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append((x["distance"], x["neighbour_id"]))
+    code = {k: [bool(v and i < len(v) and v[i] > 0) for i in range(64)] for k, v in rows if k is not None}
+    for q in (0, 100, 200, 300):
+        want = sorted((sum(a != b for a, b in zip(code[q], c)), k) for k, c in code.items() if k != q)[:5]
+        assert got[q] == want
+    assert binary_search.top_k(df.limit(0), lambda i: i % 100 == 0).count() == 0
+
+
+def test_audit_descends_to_the_damage(spark):
+    rows = [(k, f"http://h/{k}", f"<p>{k}</p>") for k in range(9000)] + [(None, None, None), (5, "http://h/5", "<p>5</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    bad = pages.where("page_id is null or page_id <> 77").withColumn("html", F.when(F.col("page_id") == 4321, "oops").otherwise(F.col("html"))).union(spark.createDataFrame([(10**6, "u", "new")], pages.schema))
+    a, b = (warc_fixity.fixity(warc_fixity.warc_records(x)) for x in (pages, bad))
+    got = Counter((r["id"], r["status"]) for r in warc_fixity.audit(a, b).where("status <> 'intact'").collect())
+    assert got == {(77, "missing"): 1, (4321, "corrupt"): 2, (10**6, "extra"): 1}
+    assert warc_fixity.audit(a, a).where("status <> 'intact'").count() == 0
+    assert warc_fixity.audit(a, a).count() == 9001
+
+
+def test_urls(spark):
+    rows = [(0, None), (1, "no scheme"), (2, "http://EXAMPLE.net/en/x?y"), (3, "http://a.example.com/de/"), (4, "https://x.org/fr/a#b"), (5, "http://notnet/"), (6, "ftp://a.net?x"), (7, "http://a.net/x://y")]
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"]) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {0: ("", "", None), 1: ("", "", None), 2: ("example.net", "/en/x", "example.net/en/"), 3: ("a.example.com", "/de/", "example.com/de/"), 4: ("x.org", "/fr/a", "org/fr/"), 5: ("notnet", "/", None), 6: ("a.net", "", None), 7: ("a.net", "/x://y", "net/")}
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_url_trees_learn(spark):
+    """Held-out accuracy on URLs whose label follows from their shape."""
+    t = spark.range(3000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("http://a.shop/x/"), F.repeat(F.lit("7"), (F.col("id") % 9 + 6).cast("int")))).otherwise(F.concat(F.lit("http://b.shop/about-"), F.col("id") % 9)).alias("url"))
+    t = url_filter.lexical(url_filter.parsed(t)).withColumn("y", (F.col("page_id") % 2 == 0).cast("double"))
+    model = url_filter.train(t.where("page_id % 5 > 0"))
+    held = url_filter.predict(t.where("page_id % 5 = 0"), *model)
+    assert held.where("(score >= 0.5) = (y = 1)").count() / held.count() > 0.95
+
+
+def test_licenses_of_odd_rows(odd, none):
+    got = {r["doc_id"]: r for r in license_scan.scan(odd).collect()}
+    r = got[11]
+    assert (r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (2, 3, 5, "cc-by,mit") and r["score"] == 1.0
+    assert got[0]["n_words"] == 0 and got[0]["labels"] == "" and got[0]["first_word"] is None
+    assert license_scan.scan(odd).count() == odd.count() and license_scan.scan(none).count() == 0
+
+
+# ---------------------------------------------------------------- queries
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracle(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLES[name])
+    names = sorted(got.columns)
+    assert names == sorted(want.columns)
+    show = lambda v: f"{v:.6g}" if isinstance(v, float) else str(v)
+    rows = sorted(tuple(show(r[c]) for c in names) for r in got.collect())
+    assert rows == sorted(tuple(map(show, r)) for r in want.project(", ".join(names)).fetchall())
+
+
+def test_pipeline(spark, docs):
+    import corpus_pipeline as P
+
+    kept, now = [], docs
+    for name, stage in P.STAGES[:-1]:
+        now = common.materialize(stage(spark, now, SF), name)
+        assert now.columns == docs.columns
+        kept.append({r["doc_id"] for r in now.select("doc_id").collect()})
+    assert kept[0] >= kept[1] == kept[2] >= kept[3]
+    assert {r["doc_id"] for r in P.pack_sequences(spark, now, SF).collect()} == kept[3]
+
+
+def test_pipeline_with_odd_rows(spark, odd, none):
+    import corpus_pipeline as P
+
+    for df in (odd, none):
+        for name, stage in P.STAGES:
+            df = common.materialize(stage(spark, df, SF), name)
