@@ -189,7 +189,7 @@ class Bins:
 
 def stats_of(v: str, bins: list[Bin], shrink: float = 0.0, bayes: float = 0.0) -> list[dict]:
     n, b = np.array([x.n for x in bins], float), np.array([x.bads for x in bins], float)
-    g, rows, out, before = n - b, n.sum(), [], None
+    g, rows, out, before = n - b, float(n.sum()), [], None
     cap_b, cap_g = (np.where(x > 0, x / x.sum() if x.sum() else 0.0, 0.0) for x in (b, g))
     if bayes and b.sum() and g.sum():
         r = b.sum() / rows
@@ -217,7 +217,7 @@ def summary_of(v: str, bins: list[Bin], kind: str) -> dict:
     n = sum(r["count"] for r in rows)
     steps = [r["trend"] for r in rows if r["trend"]]
     up, down = steps.count("I"), steps.count("D")
-    return {"var": v, "var_type": kind, "iv": round(sum(r["iv"] for r in rows), 4), "ent": round(sum(r["ent"] * r["count"] for r in rows) / n, 4) if n else 0.0, "trend": "I" if up >= down else "D", "mon_trend": "Y" if min(up, down) == 0 else "N", "flip_ratio": min(up, down) / len(steps) if steps else 0.0, "num_bins": len(rows), "pure": "Y" if any(r["pure"] == "Y" for r in rows) else "N"}
+    return {"var": v, "var_type": kind, "iv": round(sum(r["iv"] for r in rows), 4), "ent": round(float(sum(r["ent"] * r["count"] for r in rows)) / n, 4) if n else 0.0, "trend": "I" if up >= down else "D", "mon_trend": "Y" if min(up, down) == 0 else "N", "flip_ratio": min(up, down) / len(steps) if steps else 0.0, "num_bins": len(rows), "pure": "Y" if any(r["pure"] == "Y" for r in rows) else "N"}
 
 
 def credible_interval(b: Bin, all_bads: int, all_n: int, prior: float = 10.0, draws: int = 1000, seed: int = 1) -> tuple[float, float]:

@@ -17,17 +17,17 @@ def measures(bins: DataFrame) -> DataFrame:
     """bins (var, bin, count, bads, goods, woe...) -> a row per variable with all measures, from one aggregate."""
     by = Window.partitionBy("var")
     t = bins.select("var", "bin", F.col("count").cast("double").alias("n"), F.col("bads").cast("double").alias("b"), F.col("goods").cast("double").alias("g"))
-    t = t.withColumns({"N": F.sum("n").over(by), "B": F.sum("b").over(by), "G": F.sum("g").over(by)})
+    t = t.withColumns({"all_n": F.sum("n").over(by), "all_b": F.sum("b").over(by), "all_g": F.sum("g").over(by)})
     bits = lambda p: F.when(p > 0, -p * F.log2(p)).otherwise(0.0)
-    h_in = bits(F.col("B") / F.col("N")) + bits(F.col("G") / F.col("N"))
-    h = F.col("n") / F.col("N") * (bits(F.col("b") / F.col("n")) + bits(F.col("g") / F.col("n")))
-    impure_in = 1 - (F.col("B") / F.col("N")) ** 2 - (F.col("G") / F.col("N")) ** 2
-    impure = F.col("n") / F.col("N") * (1 - (F.col("b") / F.col("n")) ** 2 - (F.col("g") / F.col("n")) ** 2)
-    eb, eg = F.col("n") * F.col("B") / F.col("N"), F.col("n") * F.col("G") / F.col("N")
+    h_in = bits(F.col("all_b") / F.col("all_n")) + bits(F.col("all_g") / F.col("all_n"))
+    h = F.col("n") / F.col("all_n") * (bits(F.col("b") / F.col("n")) + bits(F.col("g") / F.col("n")))
+    impure_in = 1 - (F.col("all_b") / F.col("all_n")) ** 2 - (F.col("all_g") / F.col("all_n")) ** 2
+    impure = F.col("n") / F.col("all_n") * (1 - (F.col("b") / F.col("n")) ** 2 - (F.col("g") / F.col("n")) ** 2)
+    eb, eg = F.col("n") * F.col("all_b") / F.col("all_n"), F.col("n") * F.col("all_g") / F.col("all_n")
     chi = F.when(eb > 0, (F.col("b") - eb) ** 2 / eb).otherwise(0.0) + F.when(eg > 0, (F.col("g") - eg) ** 2 / eg).otherwise(0.0)
     ratio = lambda o, e: F.when((o > 0) & (e > 0), o * F.log(o / e)).otherwise(0.0)
-    db, dg = (F.when(F.col(x) > 0, F.col(x) / F.col(y)).otherwise(1e-4) for x, y in (("b", "B"), ("g", "G")))
-    iv = (F.col("b") / F.col("B") - F.col("g") / F.col("G")) * F.log(db / dg)
+    db, dg = (F.when(F.col(x) > 0, F.col(x) / F.col(y)).otherwise(1e-4) for x, y in (("b", "all_b"), ("g", "all_g")))
+    iv = (F.col("b") / F.col("all_b") - F.col("g") / F.col("all_g")) * F.log(db / dg)
     first, last = (F.min_by(F.col(x), "bin") for x in ("g", "b")), (F.max_by(F.col(x), "bin") for x in ("g", "b"))
     (g1, b1), (g2, b2) = first, last
     odds = F.when((F.count("*") == 2) & (g2 > 0) & (b2 > 0) & (b1 > 0), F.try_divide(F.try_divide(g1, g2), F.try_divide(b1, b2)))
