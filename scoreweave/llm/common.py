@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 U64 = np.uint64
-BUCKET_BYTES = 8_000_000
-RANGE_KEYS = 2_000_000
+BUCKET_BYTES = 4_000_000
+RANGE_KEYS = 500_000
 LEAST_BUCKETS = 48
 #: Multiplier of the rolling hash and of its finalizer (fixed values).
 BASE, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -79,7 +79,7 @@ class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered for the words seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

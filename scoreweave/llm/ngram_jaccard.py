@@ -68,7 +68,7 @@ def prefix_of(tokens: np.ndarray, percent: int) -> np.ndarray:
 
 def _features(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
     n_bytes = C.text_bytes(docs, text)
-    n_buckets, n_ranges = C.bucket_count(n_bytes), C.range_count(n_bytes / 20)
+    n_buckets, n_ranges, n_wide = C.bucket_count(n_bytes), C.range_count(n_bytes / 20), C.range_count(n_bytes / 7)
     by = C.in_buckets(docs, doc_id, text, n_buckets).groupBy("bucket")
 
     def prefixes(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -83,7 +83,7 @@ def _features(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) ->
                 found = int(C.member(prefix_of(x, percent), repeated).sum())
                 if len(x) and found >= spared(least_overlap(len(x), percent), percent):
                     parts.append(x)
-        return C.key_rows(key[0], np.concatenate(parts) if parts else np.empty(0, C.U64), n_ranges)
+        return C.key_rows(key[0], np.concatenate(parts) if parts else np.empty(0, C.U64), n_wide)
 
     def order(key, pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         known, counts = C.received(back)
