@@ -32,7 +32,8 @@ from pyspark.sql.window import Window
 
 from . import common as C
 
-FEATURES = "id string, n_shingles long, sig binary, singles int, tokens binary, prefix array<bigint>"
+#: prefix: which of the tokens, by position, rarest first.
+FEATURES = "id string, n_shingles long, sig binary, singles int, tokens array<bigint>, prefix array<int>"
 #: Marks the hash of a text of fewer words than a shingle (fixed value).
 SHORT = 0x5851F42D4C957F2D
 
@@ -98,7 +99,7 @@ def _features(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) ->
                 if singles < room:
                     shared = x[held]
                     first = np.lexsort((shared, counts[at[held]]))[: room - singles]
-                    row = (i, size, xxhash.xxh3_128_digest(x.tobytes()), singles, shared.tobytes(), shared[first].view(np.int64))
+                    row = (i, size, xxhash.xxh3_128_digest(x.tobytes()), singles, shared.view(np.int64), first.astype(np.int32))
             out.append(row or (i, size, None, None, None, None))
         frame = pd.DataFrame(out, columns=["id", "n_shingles", "sig", "singles", "tokens", "prefix"])
         return frame.astype({"singles": "Int32"})
@@ -117,13 +118,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def overlap(frames):
         for pdf in frames:
-            held = {}
             inter = np.zeros(len(pdf), np.int64)
             for k, (a, b) in enumerate(zip(pdf["tokens_a"], pdf["tokens_b"])):
-                y = held.get(b)
-                if y is None:
-                    held = {b: (y := np.frombuffer(b, C.U64))}
-                inter[k] = C.member(np.frombuffer(a, C.U64), y).sum()
+                inter[k] = C.member(a.view(C.U64), b.view(C.U64)).sum()
             union = pdf["n_a"].to_numpy() + pdf["n_b"].to_numpy() - inter
             yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "common": inter, "far": 1 - inter / np.maximum(union, 1), "linked": 100 * inter >= percent * union})
 
@@ -150,11 +147,10 @@ def components(edges: DataFrame) -> DataFrame:
     return links.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
 
 
-def _links(classes: DataFrame, percent: int) -> DataFrame:
+def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Enough of the links (a, b) between different sets to connect all that are connected."""
     limit = 1 - percent / 100 + 1e-9
-    sets = C.materialize(classes.groupBy("sig").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("singles").alias("singles"), F.first("tokens").alias("tokens"), F.first("prefix").alias("prefix")), "sets")
-    lists = sets.select("rep", "n", "singles", F.posexplode("prefix").alias("k", "token")).select("token", "rep", "n", "singles", (F.col("k") + F.col("singles")).alias("at"))
+    lists = sets.select("rep", "n", "singles", F.posexplode(F.transform("prefix", lambda p: F.get("tokens", p))).alias("k", "token")).select("token", "rep", "n", "singles", (F.col("k") + F.col("singles")).alias("at"))
     centre = lists.groupBy("token").agg(F.min(F.struct((F.col("singles") / F.col("n")).alias("own"), F.col("rep").alias("centre"), F.col("n").alias("size"))).alias("c"), F.count("*").alias("held")).where("held > 1").select("token", "c.centre", "c.size")
     lists = C.materialize(lists.join(centre, "token"), "lists")
 
@@ -202,9 +198,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """(doc_id, n_shingles, component_id) for every row of docs; component_id is the smallest doc_id reachable by links."""
     features = C.materialize(_features(docs, doc_id, text, n, percent), "features")
     classes = features.where("sig is not null and id is not null")
-    links = C.materialize(_links(classes, percent), "edges")
-    first = classes.groupBy("sig").agg(F.min("id").alias("rep"))
-    same = classes.join(first, "sig").where("id <> rep").select("id", "rep")
+    sets = C.materialize(classes.groupBy("sig").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("singles").alias("singles"), F.first("tokens").alias("tokens"), F.first("prefix").alias("prefix")), "sets")
+    links = C.materialize(_links(sets, percent), "edges")
+    same = classes.select("id", "sig").join(sets.select("sig", "rep"), "sig").where("id <> rep").select("id", "rep")
     found = components(links.union(same))
     return features.select("id", "n_shingles").join(found, "id", "left").select(F.col("id").alias("doc_id"), F.col("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
