@@ -2,18 +2,24 @@
 
 *Fit* reads a bounded sample of labelled rows (`sample`, a documented parameter; chosen by a hash of the id).  Copies
 and near copies within the sample count once: rows that share one of four min-hashes of five-word shingles form a group and one stays.
-Terms are words and the first bytes of words (stems of 4 to 7).  A term enters the vocabulary if its likelihood-ratio statistic
-against the label exceeds 2 ln(number of terms), so that chance terms stay out at every sample size, and if it is LIFT
-times likelier in toxic examples.
-
-*Index.*  The examples' TF-IDF vectors form an inverted index in blocks of 64 examples; each term knows its greatest
-weight per block.  *Score.*  A text's blocks are visited by descending bound (sum of its weights times the blocks' maxima)
-until no block's bound can beat the k-th similarity found: the k nearest are exact.  Their votes weigh as their cosine;
-a logistic curve, fitted on the sample with each row's own group left out, turns the vote into a probability.  The
-nearest examples are returned as evidence.
-
-Only texts are inputs of a score.  Whole texts are read.  Null and empty texts, and texts without any vocabulary term,
-have no neighbour and get the curve's value at vote 0.  A doc_id with several labels is toxic if one of them says so;
+
+*All words.*  Every word of a text has a weight, and every example that stays is indexed, clean ones too.  Document
+frequencies of the examples' words are counted over all documents; a word that no example holds counts in the length of a
+text's vector as if one document held it.  Words in many examples lie in a matrix, the others in lists; weights are 32-bit
+numbers, and what comes within SLACK of the k-th similarity is summed again with 64 bits, so the k nearest are exact.  They
+are returned as evidence.
+
+*Marks.*  Beside that, the examples are compared by the terms that mark toxic ones: words and the first bytes of words (stems
+of 4 to 7) whose likelihood-ratio statistic against the label exceeds 2 ln(number of terms), so that chance terms stay out at
+every sample size, and that are LIFT times likelier in toxic examples.  These vectors form an inverted index in blocks of 64
+examples; each term knows its greatest weight per block.  A text's blocks are visited by descending bound (sum of its weights
+times the blocks' maxima) until no block's bound can beat the k-th similarity found.
+
+*Score.*  In either search the votes weigh as their cosine; a logistic curve over both votes, fitted on the sample with each
+row's own group left out, gives the probability.
+
+Only texts are inputs of a score.  Whole texts are read.  Null and empty texts, and texts without any word of an example,
+have no neighbour and get the curve's value at votes 0.  A doc_id with several labels is toxic if one of them says so;
 null labels are ignored; without labels of both kinds every score is the sample's toxic share.  Rows that repeat are
 scored each; extra columns are not touched.
 """
@@ -33,8 +39,10 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Labelled rows that are read at most, vocabulary terms at most, neighbours, examples per block; bytes of stems; how many
-#: times likelier a term must be under the label.
+#: times likelier a mark must be under the label.
 SAMPLE, TERMS, NEAREST, BLOCK, STEMS, LIFT = 16_384, 4_096, 15, 64, (4, 5, 6, 7), 10
+#: Words in the matrix at most, texts looked at together, keys in a row of counts; rounding of 32-bit sums at most.
+DENSE, TOGETHER, SPAN, SLACK = 1_024, 64, 4_096, 1e-4
 WORD = re.compile(rb"[a-z\x80-\xff]+")
 
 
@@ -47,11 +55,108 @@ def terms_of(words) -> set[bytes]:
     return set(words).union(*({b"^" + w[:n] for w in words if len(w) >= n} for n in STEMS))
 
 
+def counted(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words' hashes and how often each stands."""
+    seen = Counter(words)
+    return C.hash_words(list(seen)), np.fromiter(seen.values(), np.int64, len(seen))
+
+
+@dataclass
+class Whole:
+    """The examples' vectors over all words."""
+
+    keys: np.ndarray  # hashes of the examples' words, sorted
+    idf: np.ndarray
+    unseen: float  # the idf of other words
+    ids: list[str]
+    groups: np.ndarray
+    toxic: np.ndarray
+    cuts: np.ndarray = None  # where each word's entries begin
+    rows: np.ndarray = None
+    weights: np.ndarray = None
+    matrix: tuple[np.ndarray, np.ndarray] = None  # each word's line in the matrix (or -1), the matrix
+
+    def vector(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and weights of the words that examples hold; the unit length is that of all words."""
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        known = self.keys[at] == hashes
+        weight = (1 + np.log(counts)) * np.where(known, self.idf[at], self.unseen)
+        return at[known], weight[known] / np.sqrt((weight**2).sum() or 1.0)
+
+    def index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        rows = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
+        terms = np.concatenate([t for t, _ in vectors]).astype(np.int32)
+        order = np.argsort(terms, kind="stable")
+        self.cuts = np.searchsorted(terms[order], np.arange(len(self.keys) + 1))
+        self.rows, self.weights = rows[order], np.concatenate([w for _, w in vectors]).astype(np.float32)[order]
+
+    def _matrix(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.matrix is None:
+            n, line = np.diff(self.cuts), np.full(len(self.keys), -1)
+            often = np.argsort(-n, kind="stable")[:DENSE]
+            often = often[n[often] * 64 >= max(len(self.ids), 64 * 16)]
+            line[often], held = np.arange(len(often)), np.zeros((len(often), len(self.ids)), np.float32)
+            for k, t in enumerate(often):
+                held[k, self.rows[self.cuts[t] : self.cuts[t + 1]]] = self.weights[self.cuts[t] : self.cuts[t + 1]]
+            self.matrix = line, held
+        return self.matrix
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], without=None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the NEAREST examples (numbers, cosines), ties by number; examples of its group in `without` don't count."""
+        (line, held), n, out = self._matrix(), len(self.ids), []
+        for start in range(0, len(vectors), TOGETHER):
+            part = vectors[start : start + TOGETHER]
+            asked = np.zeros((len(part), len(held)), np.float32)
+            for k, (t, w) in enumerate(part):
+                asked[k, line[t[line[t] >= 0]]] = w[line[t] >= 0]
+            often = asked @ held
+            for k, (t, w) in enumerate(part):
+                rare, lines = line[t] < 0, line[t[line[t] >= 0]]
+                a, size = self.cuts[t[rare]], self.cuts[t[rare] + 1] - self.cuts[t[rare]]
+                at = np.arange(size.sum()) + np.repeat(a - np.cumsum(size) + size, size)
+                seldom = np.bincount(self.rows[at], np.repeat(w[rare], size) * self.weights[at], n)
+                sums = often[k] + seldom
+                if without is not None:
+                    sums[self.groups == without[start + k]] = 0
+                least = np.partition(sums, n - NEAREST)[n - NEAREST] - SLACK if n > NEAREST else 0.0
+                found = np.flatnonzero((sums > 0) & (sums >= least))
+                sims = seldom[found] + w[~rare] @ held[np.ix_(lines, found)].astype(float)
+                first = np.lexsort((found, -sims))[:NEAREST]
+                out.append((found[first], sims[first]))
+        return out
+
+
+def document_frequencies(docs: DataFrame, keys: np.ndarray, text: str) -> tuple[np.ndarray, int]:
+    """In how many documents each key's word stands, and the number of documents with a text."""
+    shared = docs.sparkSession.sparkContext.broadcast(keys)
+
+    def count(frames):
+        keys, n = shared.value, 0
+        held = np.zeros(len(keys), np.int64)
+        for pdf in frames:
+            for body in pdf["body"]:
+                h = C.hash_words(list(set(words_of(body))))
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                held[at[keys[at] == h]] += 1
+                n += 1
+        yield pd.DataFrame({"span": [-1], "held": [np.array([n]).tobytes()]})
+        cut = [(k, held[k * SPAN : (k + 1) * SPAN]) for k in range(-(-len(keys) // SPAN))]
+        yield pd.DataFrame([(k, x.tobytes()) for k, x in cut if x.any()], columns=["span", "held"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"span": pdf["span"][:1], "held": [sum(np.frombuffer(x, np.int64) for x in pdf["held"]).tobytes()]})
+
+    parts = docs.select(F.col(text).alias("body")).where(F.length("body") > 0).mapInPandas(count, "span int, held binary")
+    found = {r["span"]: np.frombuffer(r["held"], np.int64) for r in parts.groupBy("span").applyInPandas(add, "span int, held binary").collect()}  # a number per key
+    return np.concatenate([found[k] for k in range(-(-len(keys) // SPAN))]), int(found[-1][0])
+
+
 @dataclass
 class Model:
-    """The inverted index over the examples, with the curve."""
+    """The inverted index over the examples' marks, the vectors over all words, and the curve."""
 
-    slope: float = 0.0
+    slope: tuple[float, float] = (0.0, 0.0)
+    whole: Whole = None
     base: float = -20.0
     idf: dict[bytes, tuple[int, float]] = field(default_factory=dict)
     terms: dict[bytes, tuple[bytes, ...]] = field(default_factory=dict)  # of the words seen lately
@@ -116,8 +221,18 @@ class Model:
     def vote(self, found: np.ndarray, sims: np.ndarray) -> float:
         return float((sims * self.toxic[found]).sum() / (sims.sum() + 1.0)) if len(found) else 0.0
 
-    def probability(self, vote):
-        return 1 / (1 + np.exp(-np.clip(self.base + self.slope * vote, -30, 30)))
+    def votes(self, bodies, without=None) -> tuple[np.ndarray, list[list[str]]]:
+        """The two votes (by marks, by all words) on each text, and the nearest examples by all words."""
+        if self.whole is None:
+            return np.zeros((len(bodies), 2)), [[] for _ in bodies]
+        texts = [words_of(body) for body in bodies]
+        near = self.whole.nearest([self.whole.vector(*counted(x)) for x in texts], without)
+        marked = [self.nearest(*self.vector(x), -1 if without is None else without[k]) for k, x in enumerate(texts)]
+        by_all = [float((s * self.whole.toxic[f]).sum() / (s.sum() + 1.0)) for f, s in near]
+        return np.array([(self.vote(*m), v) for m, v in zip(marked, by_all)]).reshape(-1, 2), [[self.whole.ids[k] for k in f[:5]] for f, _ in near]
+
+    def probability(self, votes):
+        return 1 / (1 + np.exp(-np.clip(self.base + votes @ np.array(self.slope), -30, 30)))
 
 
 def _groups(hashes: np.ndarray) -> np.ndarray:
@@ -137,17 +252,24 @@ def _groups(hashes: np.ndarray) -> np.ndarray:
     return np.array([root(k) for k in range(len(hashes))], np.int64)
 
 
-def _curve(votes: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Logistic curve (slope >= 0, base) by Newton's method with a small ridge."""
-    x, w = np.column_stack((votes, np.ones(len(votes)))), np.array([0.0, np.log((toxic.mean() + 1e-3) / (1 - toxic.mean() + 1e-3))])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - toxic) + 1e-2 * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), grad)
-        w = w - np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
-            break
-    return max(0.0, float(w[0])), float(w[1])
+def _curve(votes: np.ndarray, toxic: np.ndarray) -> tuple[tuple[float, float], float]:
+    """Logistic curve (slopes >= 0, base) by Newton's method with a small ridge; a vote whose slope were negative is left out."""
+    used = np.ones(votes.shape[1], bool)
+    while True:
+        x, w = np.column_stack((votes[:, used], np.ones(len(votes)))), np.zeros(used.sum() + 1)
+        w[-1] = np.log((toxic.mean() + 1e-3) / (1 - toxic.mean() + 1e-3))
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            grad = x.T @ (p - toxic) + 1e-2 * w
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w)), grad)
+            w = w - np.clip(step, -5, 5)
+            if np.abs(step).max() < 1e-6:
+                break
+        if (w[:-1] >= 0).all():
+            slope = np.zeros(len(used))
+            slope[used] = w[:-1]
+            return tuple(map(float, slope)), float(w[-1])
+        used[np.flatnonzero(used)[np.argmin(w[:-1])]] = False
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, terms: int = TERMS) -> Model:
@@ -199,26 +321,46 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     tested = counts.withColumn("df", F.col("neg") + F.col("pos")).withColumn("g", 2 * (part(F.col("pos"), F.lit(float(p))) + part(F.col("neg"), F.lit(float(n)))))
     good = tested.where(((F.col("pos") + 0.5) * n > LIFT * (F.col("neg") + 0.5) * p) & (F.col("g") > float(2 * np.log(max(distinct, 2))))).orderBy(F.col("g").desc(), "term").limit(terms)
     found = good.withColumn("idf", F.log(1 + total / F.col("df"))).select("term", "idf").collect()  # at most `terms` rows
-    if not found:
-        return model
     model.idf = {bytes(r["term"]): (k, r["idf"]) for k, r in enumerate(sorted(found, key=lambda r: bytes(r["term"])))}
     vocabulary = spark.sparkContext.broadcast(model)
 
     def vectors(frames):
         for pdf in frames:
-            out = [(i, y, *vocabulary.value.vector(words_of(body))) for i, body, y in zip(pdf["id"], pdf["text"], pdf["toxic"])]
-            yield pd.DataFrame(out, columns=["id", "toxic", "terms", "weights"])
-
-    rows = rows.mapInPandas(vectors, "id string, toxic int, terms array<bigint>, weights array<double>").collect()  # at most `sample` rows of vocabulary terms
-    rows = sorted(rows, key=lambda r: (tuple(t for _, t in sorted(zip(r["weights"], r["terms"]), reverse=True)[:3]), r["id"]))  # alike examples share blocks
-    kept = set(kept.values())
-    bank = [(r, (np.array(r["terms"], np.int64), np.array(r["weights"]))) for r in rows if r["id"] in kept and r["terms"]]
+            out = []
+            for i, body, y in zip(pdf["id"], pdf["text"], pdf["toxic"]):
+                if i in known.value:
+                    words = words_of(body)
+                    h, n = counted(words)
+                    out.append((i, y, *vocabulary.value.vector(words), h.tobytes(), n.astype(np.int32).tobytes()))
+            yield pd.DataFrame(out, columns=["id", "toxic", "terms", "weights", "hashes", "counts"])
+
+    # At most `sample` rows with their distinct words.
+    examples = rows.mapInPandas(vectors, "id string, toxic int, terms array<bigint>, weights array<double>, hashes binary, counts binary").collect()
+    examples = sorted(examples, key=lambda r: (tuple(t for _, t in sorted(zip(r["weights"], r["terms"]), reverse=True)[:3]), r["id"]))  # alike examples share blocks
+    bank = [(r, (np.array(r["terms"], np.int64), np.array(r["weights"]))) for r in examples if r["terms"]]
     model.ids, model.toxic = [r["id"] for r, _ in bank], np.array([float(r["toxic"] > 0) for r, _ in bank])
-    model.groups = np.array([of[r["id"]] for r, _ in bank])
+    model.groups = np.array([of[r["id"]] for r, _ in bank], np.int64)
     model.index([v for _, v in bank])
-    tried = [r for r in rows if r["id"] in kept]
-    votes = np.array([model.vote(*model.nearest(np.array(r["terms"], np.int64), np.array(r["weights"]), of[r["id"]])) if r["terms"] else 0.0 for r in tried])
-    model.slope, model.base = _curve(votes, np.array([float(r["toxic"] > 0) for r in tried]))
+    texts = [(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.int32)) for r in examples]
+    keys = np.unique(np.concatenate([h for h, _ in texts])) if texts else np.empty(0, np.uint64)
+    if not len(keys):
+        return model
+    df, n_docs = document_frequencies(docs, keys, text)
+    model.whole = Whole(keys, np.log(1 + n_docs / df), float(np.log(1 + n_docs)), [r["id"] for r in examples], np.array([of[r["id"]] for r in examples]), np.array([float(r["toxic"] > 0) for r in examples]))
+    model.whole.index([model.whole.vector(*x) for x in texts])
+    del examples, bank, texts
+    indexed = spark.sparkContext.broadcast(model)
+
+    def tried(frames):
+        for pdf in frames:
+            pdf = pdf[pdf["id"].isin(known.value)]
+            for start in range(0, len(pdf), TOGETHER):
+                part = pdf[start : start + TOGETHER]
+                votes, _ = indexed.value.votes(list(part["text"]), [of[i] for i in part["id"]])
+                yield pd.DataFrame({"toxic": part["toxic"].to_numpy(), "marks": votes[:, 0], "all": votes[:, 1]})
+
+    votes = np.array(rows.mapInPandas(tried, "toxic int, marks double, all double").collect())  # at most `sample` rows
+    model.slope, model.base = _curve(votes[:, 1:], (votes[:, 0] > 0).astype(float))
     return model
 
 
@@ -229,9 +371,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     @F.pandas_udf("score double, evidence array<string>")
     def judge(bodies: pd.Series) -> pd.DataFrame:
         m, out = shared.value, []
-        for body in bodies:
-            found, sims = m.nearest(*m.vector(words_of(body)))
-            out.append((float(m.probability(m.vote(found, sims))), [m.ids[k] for k in found[:5]]))
+        for start in range(0, len(bodies), TOGETHER):
+            votes, near = m.votes(list(bodies[start : start + TOGETHER]))
+            out += zip(m.probability(votes).tolist(), near)
         return pd.DataFrame(out, columns=["score", "evidence"])
 
     return docs.withColumn("judged", judge(F.col(text))).select(*(F.col(c) for c in docs.columns), "judged.score", "judged.evidence")

@@ -401,6 +401,45 @@ def test_toxicity_learns(spark):
     assert right >= 0.95 and got.score.between(0, 1).all()
 
 
+def test_all_words_are_searched():
+    r = np.random.default_rng(1)
+    texts = [[b"w%d" % x for x in r.zipf(1.3, 60) % 5000] for _ in range(400)]
+    keys = np.unique(np.concatenate([common.hash_words(t) for t in texts]))
+    idf = {int(k): 1 + x for k, x in zip(keys, r.random(len(keys)))}
+    m = toxicity.Whole(keys, np.array(list(idf.values())), 3.0, [str(k) for k in range(400)], np.arange(400) // 2, np.zeros(400))
+    m.index([m.vector(*toxicity.counted(t)) for t in texts])
+    assert 0 < len(m._matrix()[1]) < len(keys)
+
+    def full(words):
+        h, n = toxicity.counted(words)
+        v = {int(k): (1 + np.log(c)) * idf.get(int(k), 3.0) for k, c in zip(h, n)}
+        return {k: x / np.sqrt(sum(y * y for y in v.values())) for k, x in v.items()}
+
+    bank = [full(t) for t in texts]
+    asked = [t[:30] + [b"unseen"] for t in texts[:100]]
+    for without in (None, [k // 2 for k in range(100)]):
+        got = m.nearest([m.vector(*toxicity.counted(t)) for t in asked], without)
+        for k, (t, (found, sims)) in enumerate(zip(asked, got)):
+            q = full(t)
+            want = np.array([0.0 if without and j // 2 == without[k] else sum(x * b.get(w, 0.0) for w, x in q.items()) for j, b in enumerate(bank)])
+            assert np.allclose(sims, np.sort(want)[::-1][: toxicity.NEAREST], atol=1e-6) and np.allclose(sims, want[found], atol=1e-6)
+
+
+def test_toxicity_in_words_that_mark_little(spark):
+    """Clean examples are found, and toxic texts whose words all stand in clean texts too are found by the company they keep."""
+    r = random.Random(8)
+    rows = []
+    for k in range(400):
+        kind = k % 4 == 0
+        rows.append((k, " ".join(r.choices([f"w{chr(97 + x % 26)}{chr(97 + x // 26)}" for x in range(120)], [4 if (x < 60) == kind else 1 for x in range(120)], k=60)), int(kind)))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int").where("doc_id < 300")
+    model = toxicity.fit(docs, labels)
+    assert len(model.whole.ids) == 300
+    got = {x["doc_id"]: x for x in toxicity.score(docs, model).where("doc_id >= 300").collect()}
+    assert all(len(x["evidence"]) == 5 for x in got.values()) and np.mean([(got[k]["score"] >= 0.5) == y for k, _, y in rows[300:]]) > 0.95
+
+
 def test_toxicity_of_odd_rows(odd, none, spark):
     labels = spark.createDataFrame([(k, 1, None if k == 4 else int(k < 6)) for k in range(12)] + [(3, 0, 0)], "doc_id long, quality int, toxic int")
     for df in (odd, none):
