@@ -11,7 +11,7 @@ hold; a code that a third of the rows share costs one entry.  As the number of c
 logarithm.
 
 Rows: missing components, null vectors and short ones have bits 0.  Ties are ordered by id.  A query is never its own
-neighbour; rows that repeat an id with other vectors are other neighbours.  Rows without an id are left out.  With fewer than
+neighbour; rows that repeat an id and its code count once, with another code they are other neighbours.  Rows without an id are left out.  With fewer than
 k other rows, a query gets all of them.  Extra columns are not touched.
 """
 
@@ -40,7 +40,7 @@ def distance(a, b, n: int):
 def top_k(vectors: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embedding", k: int = NEAREST, bits: int = BITS, segment: int = SEGMENT) -> DataFrame:
     """(query_id, neighbour_id, distance, rank) for the rows where is_query holds, against all rows."""
     m = -(-bits // segment)
-    rows = C.materialize(codes_of(vectors, vec_id, vector, bits, segment), "codes")
+    rows = C.materialize(codes_of(vectors, vec_id, vector, bits, segment).distinct(), "codes")
     first = F.row_number().over(Window.partitionBy("code").orderBy("id"))
     entries = rows.withColumn("n", first).where(F.col("n") <= k + 1).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     entries = C.materialize(entries, "entries")
@@ -59,7 +59,8 @@ def top_k(vectors: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "e
         close = near.withColumn("n", at).where(F.col("n") <= k + 1)
         found = close.join(entries, "code").select("query_id", "asked", "distance", F.explode("ids").alias("neighbour_id")).where("neighbour_id <> query_id")
         if best is not None:
-            found = found.union(best.select("query_id", "asked", "distance", "neighbour_id")).distinct()
+            found = found.union(best.select("query_id", "asked", "distance", "neighbour_id"))
+        found = found.distinct()
         best = C.materialize(found.withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= k).select("query_id", "asked", "distance", "neighbour_id", "rank"), "best")
         last = best.where(F.col("rank") == k).select("query_id", "asked", F.col("distance").alias("kth"))
         state = asking.select("query_id", "asked").join(last, ["query_id", "asked"], "left")

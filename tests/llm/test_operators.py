@@ -466,6 +466,16 @@ def test_binary_search_with_ties(spark):
     assert binary_search.top_k(df.limit(0), lambda i: i % 100 == 0).count() == 0
 
 
+def test_binary_search_with_repeated_rows(spark):
+    r = random.Random(6)
+    base = [r.choice([-1.0, 1.0]) for _ in range(64)]
+    rows = [(k, base if k % 3 == 0 else [-x if r.random() < 0.03 else x for x in base]) for k in range(40)]
+    df = spark.createDataFrame(rows * 3, "vec_id long, embedding array<double>")
+    got = [(x["distance"], x["neighbour_id"], x["rank"]) for x in binary_search.top_k(df, lambda i: i == 0, k=20).orderBy("rank").collect()]
+    want = sorted((sum((a > 0) != (b > 0) for a, b in zip(base, v)), k) for k, v in rows if k)[:20]
+    assert got == [(*x, n) for n, x in enumerate(want, 1)]
+
+
 def test_audit_descends_to_the_damage(spark):
     rows = [(k, f"http://h/{k}", f"<p>{k}</p>") for k in range(9000)] + [(None, None, None), (5, "http://h/5", "<p>5</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
