@@ -1,63 +1,121 @@
 """Exact top-k search over binary codes by multi-index hashing.
 
-A vector's code has a bit per dimension (set if the component is positive), cut into segments of SEGMENT bits; each
-segment has its own index of the distinct codes.  Round r looks up, in the segments one after the other, all values at
-Hamming distance exactly r from the query's segment.  By the pigeonhole principle, after segment j of m in round r every
-code within m * r + j has been met: so a query looks into segment j only while m * r + j does not exceed its k-th
-verified distance, and ends when that distance is covered.  Nothing is missed, whatever the data.
+A vector's code has a bit per dimension (set if the component is positive), cut into m segments whose width follows the
+logarithm of the number of codes, so that a segment's value is shared by few codes at any size; each segment has its own index
+of the distinct codes.  Round r looks up, in the segments one after the other, all values at Hamming distance exactly r from
+the query's segment.  By the pigeonhole principle, after segment j of m in round r every code within m * r + j has been met: so
+a query looks into segment j only while m * r + j does not exceed its k-th verified distance, and ends when that distance is
+covered.  Nothing is missed, whatever the data.
+
+*Probe or scan.*  Values at distance r are probed one by one (C(width, r) of them) while these are fewer than the segment's
+distinct values; beyond that, the distinct values themselves are gone through, in blocks of VALUES.  A query costs no more than
+the segment's distinct values in a round, and neither way needs a broadcast: probes and blocks meet the queries in shuffles.
 
 Equal codes are one entry of the index with their k + 1 smallest ids, which is all that a list ordered by (distance, id) can
-hold; a code that a third of the rows share costs one entry.  As the number of codes grows, SEGMENT should stay near its
-logarithm.
+hold; a code that a third of the rows share costs one entry.
 
 Rows: missing components, null vectors and short ones have bits 0.  Ties are ordered by id.  A query is never its own
-neighbour; rows that repeat an id and its code count once, with another code they are other neighbours.  Rows without an id are left out.  With fewer than
-k other rows, a query gets all of them.  Extra columns are not touched.
+neighbour; rows that repeat an id and its code count once, with another code they are other neighbours, and an id that asks
+with several codes gets the k nearest to any of them.  Rows without an id are left out.  With fewer than k other rows, a query
+gets all of them; an empty table gives an empty result.  Extra columns are not touched, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from math import comb
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common as C
 
-BITS, SEGMENT, NEAREST = 64, 16, 10
+BITS, NEAREST = 64, 10
+#: Bits of a segment at least and at most; distinct values of a segment in a block.
+NARROW, WIDE, VALUES = 8, 24, 4096
+
+
+def codes_of(vectors: DataFrame, vec_id: str, vector: str, bits: int) -> DataFrame:
+    """(id, words): the code as an array of 32-bit words."""
+    bit = lambda i: F.when(F.get(F.col(vector), F.lit(i)) > 0, F.lit(1 << i % 32).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    words = [sum((bit(i) for i in range(a + 1, min(a + 32, bits))), bit(a)) for a in range(0, bits, 32)]
+    return vectors.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).alias("id"), F.array(*words).alias("words"))
+
 
+def segments_of(words, bits: int, width: int):
+    """The array of the code's segments, each of `width` bits (the last may be narrower)."""
 
-def codes_of(vectors: DataFrame, vec_id: str, vector: str, bits: int, segment: int) -> DataFrame:
-    """(id, code): the code as an array of segments."""
-    bit = lambda i: F.when(F.get(F.col(vector), F.lit(i)) > 0, F.lit(1 << i % segment)).otherwise(F.lit(0))
-    parts = [sum((bit(i) for i in range(a + 1, min(a + segment, bits))), bit(a)) for a in range(0, bits, segment)]
-    return vectors.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).alias("id"), F.array(*parts).alias("code"))
+    def part(a: int, b: int):
+        found, at = F.lit(0).cast("bigint"), a
+        while at < b:
+            n = min(b, (at // 32 + 1) * 32) - at
+            piece = F.shiftright(words[at // 32], at % 32).bitwiseAND(F.lit((1 << n) - 1).cast("bigint"))
+            found, at = found + F.shiftleft(piece, at - a), at + n
+        return found.cast("int")
+
+    return F.array(*(part(a, min(a + width, bits)) for a in range(0, bits, width)))
+
+
+def width_for(n_codes: int, bits: int) -> int:
+    """Segments of equal width, as near as can be to the logarithm of the number of codes."""
+    near = min(max(n_codes, 2).bit_length() - 1, WIDE)
+    parts = max(1, round(bits / max(NARROW, near)))
+    return -(-bits // parts)
 
 
 def distance(a, b, n: int):
     return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, n)), F.bit_count(a[0].bitwiseXOR(b[0])))
 
 
-def top_k(vectors: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embedding", k: int = NEAREST, bits: int = BITS, segment: int = SEGMENT) -> DataFrame:
+def masks(width: int, r: int):
+    """All numbers of `width` bits with r of them set, made in the JVM by adding one higher bit after another."""
+    found = "array(0)"
+    for _ in range(r):
+        found = f"flatten(transform({found}, x -> transform(filter(sequence(0, {width - 1}), i -> shiftleft(1, i) > x), i -> x | shiftleft(1, i))))"
+    return F.expr(found)
+
+
+def top_k(vectors: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embedding", k: int = NEAREST, bits: int = BITS, width: int | None = None) -> DataFrame:
     """(query_id, neighbour_id, distance, rank) for the rows where is_query holds, against all rows."""
-    m = -(-bits // segment)
-    rows = C.materialize(codes_of(vectors, vec_id, vector, bits, segment).distinct(), "codes")
-    first = F.row_number().over(Window.partitionBy("code").orderBy("id"))
-    entries = rows.withColumn("n", first).where(F.col("n") <= k + 1).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    entries = C.materialize(entries, "entries")
+    rows = C.materialize(codes_of(vectors, vec_id, vector, bits).distinct(), "codes")
+    first = F.row_number().over(Window.partitionBy("words").orderBy("id"))
+    kept = rows.withColumn("n", first).where(F.col("n") <= k + 1).groupBy("words").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    kept = C.materialize(kept, "entries")
+    width = width or width_for(kept.count(), bits)
+    m, last_width = -(-bits // width), bits - width * (-(-bits // width) - 1)
+    entries = kept.select(segments_of(F.col("words"), bits, width).alias("code"), "ids")
     index = C.materialize(entries.select("code", F.posexplode("code").alias("part", "value")), "segments")
-    queries = rows.where(is_query(F.col("id"))).select(F.col("id").alias("query_id"), F.col("code").alias("asked")).distinct()
+    values = index.select("part", "value").distinct()
+    held = {r["part"]: r["count"] for r in values.groupBy("part").count().collect()}  # a number per segment
+    if not held:
+        return rows.select(F.col("id").alias("query_id"), F.col("id").alias("neighbour_id"), F.lit(0).alias("distance"), F.lit(0).alias("rank"))
+    n_blocks = F.element_at(F.create_map(*[F.lit(x) for p, n in held.items() for x in (p, -(-n // VALUES))]), F.col("part"))
+    blocks = values.withColumn("block", F.pmod(F.xxhash64("value"), n_blocks).cast("int")).groupBy("part", "block").agg(F.collect_list("value").alias("values"))
+    blocks = C.materialize(blocks, "blocks")
+    size = lambda p: width if p < m - 1 else last_width
+    queries = rows.where(is_query(F.col("id"))).select(F.col("id").alias("query_id"), segments_of(F.col("words"), bits, width).alias("asked"))
     asking, best = C.materialize(queries.withColumn("far", F.lit(None).cast("int")), "asking"), None
     in_order = Window.partitionBy("query_id", "asked").orderBy("distance", "neighbour_id")
-    for r in range(segment + 1):
-        masks = F.expr(f"filter(sequence(0, {(1 << segment) - 1}), x -> bit_count(x) = {r})")
-        wanted = asking.select("query_id", "asked", "far", F.posexplode("asked").alias("part", "own")).where(F.col("far").isNull() | (m * r + F.col("part") <= F.col("far")))
-        probes = wanted.select("query_id", "asked", "part", F.explode(F.transform(masks, lambda x: x.bitwiseXOR(F.col("own")))).alias("value"))
-        met = probes.join(index, ["part", "value"]).select("query_id", "asked", "code").distinct()
+    for r in range(width + 1):
+        wanted = asking.select("query_id", "asked", F.posexplode("asked").alias("part", "own"), "far").where(F.col("far").isNull() | (m * r + F.col("part") <= F.col("far")))
+        probing = [p for p, n in held.items() if comb(size(p), r) <= n]
+        ways = []
+        for w in {size(p) for p in probing}:
+            asked = wanted.where(F.col("part").isin([p for p in probing if size(p) == w]))
+            ways.append(asked.select("query_id", "asked", "part", F.explode(F.transform(masks(w, r), lambda x: x.bitwiseXOR(F.col("own")))).alias("value")))
+        scanning = [p for p in held if p not in probing]
+        if scanning:
+            asked = wanted.where(F.col("part").isin(scanning)).withColumn("block", F.explode(F.sequence(F.lit(0), (n_blocks - 1).cast("int"))))
+            near_values = F.filter("values", lambda v: F.bit_count(v.bitwiseXOR(F.col("own"))) == r)
+            ways.append(asked.join(blocks.hint("merge"), ["part", "block"]).select("query_id", "asked", "part", F.explode(near_values).alias("value")))
+        probes = reduce(DataFrame.union, ways)
+        met = probes.join(index.hint("merge"), ["part", "value"]).select("query_id", "asked", "code").distinct()
         near = met.select("query_id", "asked", "code", distance(F.col("asked"), F.col("code"), m).cast("int").alias("distance"))
         # k + 1 codes hold k ids besides the query's, so no code behind them in order of distance is needed; ties stay in.
         at = F.rank().over(Window.partitionBy("query_id", "asked").orderBy("distance"))
         close = near.withColumn("n", at).where(F.col("n") <= k + 1)
-        found = close.join(entries, "code").select("query_id", "asked", "distance", F.explode("ids").alias("neighbour_id")).where("neighbour_id <> query_id")
+        found = close.join(entries.hint("merge"), "code").select("query_id", "asked", "distance", F.explode("ids").alias("neighbour_id")).where("neighbour_id <> query_id")
         if best is not None:
             found = found.union(best.select("query_id", "asked", "distance", "neighbour_id"))
         found = found.distinct()
@@ -67,7 +125,10 @@ def top_k(vectors: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "e
         asking = C.materialize(state.where(F.col("kth").isNull() | (F.col("kth") > m * r + m - 1)).select("query_id", "asked", F.col("kth").alias("far")), "asking")
         if asking.isEmpty():
             break
-    return best.select("query_id", "neighbour_id", "distance", "rank")
+    # An id that asks with several codes: the nearest to any of them.
+    whole = best.select("query_id", "neighbour_id", "distance").distinct()
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbour_id"))
+    return whole.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def op7_binary_top_k(spark, sf_dir: str) -> DataFrame:

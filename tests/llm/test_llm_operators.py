@@ -333,7 +333,7 @@ def test_webp_predictor(mode):
 
 def test_webp_predictions_by_hand():
     left, top, corner, right = [10] * 4, [20] * 4, [30] * 4, [41] * 4
-    want = {1: 10, 2: 20, 3: 41, 4: 30, 5: 22, 6: 20, 7: 15, 8: 25, 9: 30, 10: 25, 11: 20, 12: 0, 13: 8}
+    want = {1: 10, 2: 20, 3: 41, 4: 30, 5: 22, 6: 20, 7: 15, 8: 25, 9: 30, 10: 25, 11: 10, 12: 0, 13: 8}
     assert {m: webp._predicted(m, left, top, corner, right)[0] for m in want} == want
 
 
@@ -466,6 +466,19 @@ def test_binary_search_with_ties(spark):
     assert binary_search.top_k(df.limit(0), lambda i: i % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("width", [5, 13, 20])
+def test_binary_search_probes_and_scans(spark, width, monkeypatch):
+    """Few values per segment (they are scanned, in several blocks), segments across words, an id with two codes, clashing columns."""
+    monkeypatch.setattr(binary_search, "VALUES", 7)
+    r = random.Random(width)
+    rows = [(k, [r.choice([-1.0, 1.0]) for _ in range(40)], 1, 2, "x") for k in range(150)] + [(0, [1.0] * 40, 1, 2, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, code int, part int, words string")
+    got = [(x["distance"], x["neighbour_id"], x["rank"]) for x in binary_search.top_k(df, lambda i: i == 0, k=12, bits=40, width=width).orderBy("rank").collect()]
+    far = lambda a, b: sum((x > 0) != (y > 0) for x, y in zip(a, b))
+    want = sorted({(far(q[1], x[1]), x[0]) for q in (rows[0], rows[-1]) for x in rows if x[0]})[:12]
+    assert got == [(*x, n) for n, x in enumerate(want, 1)]
+
+
 def test_binary_search_with_repeated_rows(spark):
     r = random.Random(6)
     base = [r.choice([-1.0, 1.0]) for _ in range(64)]
