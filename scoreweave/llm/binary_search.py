@@ -11,6 +11,9 @@ covered.  Nothing is missed, whatever the data.
 distinct values; beyond that, the distinct values themselves are gone through, in blocks of VALUES.  A query costs no more than
 the segment's distinct values in a round, and neither way needs a broadcast: probes and blocks meet the queries in shuffles.
 
+*Lists in blocks.*  The codes behind a segment's value are kept in blocks of LIST; a block is compared with the query where
+they meet, and only codes within the k-th distance known so far come out of it.
+
 Equal codes are one entry of the index with their k + 1 smallest ids, which is all that a list ordered by (distance, id) can
 hold; a code that a third of the rows share costs one entry.
 
@@ -32,8 +35,8 @@ from pyspark.sql.window import Window
 from . import common as C
 
 BITS, NEAREST = 64, 10
-#: Bits of a segment at least and at most; distinct values of a segment in a block.
-NARROW, WIDE, VALUES = 8, 24, 4096
+#: Bits of a segment at least and at most; distinct values of a segment in a block; codes in a block of a list.
+NARROW, WIDE, VALUES, LIST = 8, 24, 4096, 256
 
 
 def codes_of(vectors: DataFrame, vec_id: str, vector: str, bits: int) -> DataFrame:
@@ -58,10 +61,9 @@ def segments_of(words, bits: int, width: int):
 
 
 def width_for(n_codes: int, bits: int) -> int:
-    """Segments of equal width, as near as can be to the logarithm of the number of codes."""
+    """Segments of equal width, as near to the logarithm of the number of codes as can be from below."""
     near = min(max(n_codes, 2).bit_length() - 1, WIDE)
-    parts = max(1, round(bits / max(NARROW, near)))
-    return -(-bits // parts)
+    return -(-bits // -(-bits // max(NARROW, near)))
 
 
 def distance(a, b, n: int):
@@ -83,9 +85,14 @@ def top_k(vectors: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "e
     kept = rows.withColumn("n", first).where(F.col("n") <= k + 1).groupBy("words").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     kept = C.materialize(kept, "entries")
     width = width or width_for(kept.count(), bits)
+    n_words = -(-bits // 32)
     m, last_width = -(-bits // width), bits - width * (-(-bits // width) - 1)
-    entries = kept.select(segments_of(F.col("words"), bits, width).alias("code"), "ids")
-    index = C.materialize(entries.select("code", F.posexplode("code").alias("part", "value")), "segments")
+    index = kept.select("words", F.posexplode(segments_of(F.col("words"), bits, width)).alias("part", "value"))
+    # Lists of more than LIST codes are cut by a hash of the code; their lengths are counted with partial sums.
+    long = index.groupBy("part", "value").count().where(F.col("count") > LIST)
+    cut = F.pmod(F.xxhash64("words"), F.coalesce(F.ceil(F.col("count") / LIST), F.lit(1)))
+    index = index.join(long, ["part", "value"], "left").groupBy("part", "value", cut.alias("cut")).agg(F.collect_list("words").alias("list"))
+    index = C.materialize(index.select("part", "value", "list"), "lists")
     values = index.select("part", "value").distinct()
     held = {r["part"]: r["count"] for r in values.groupBy("part").count().collect()}  # a number per segment
     if not held:
@@ -94,28 +101,30 @@ def top_k(vectors: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "e
     blocks = values.withColumn("block", F.pmod(F.xxhash64("value"), n_blocks).cast("int")).groupBy("part", "block").agg(F.collect_list("value").alias("values"))
     blocks = C.materialize(blocks, "blocks")
     size = lambda p: width if p < m - 1 else last_width
-    queries = rows.where(is_query(F.col("id"))).select(F.col("id").alias("query_id"), segments_of(F.col("words"), bits, width).alias("asked"))
+    queries = rows.where(is_query(F.col("id"))).select(F.col("id").alias("query_id"), F.col("words").alias("asked"))
     asking, best = C.materialize(queries.withColumn("far", F.lit(None).cast("int")), "asking"), None
     in_order = Window.partitionBy("query_id", "asked").orderBy("distance", "neighbour_id")
     for r in range(width + 1):
-        wanted = asking.select("query_id", "asked", F.posexplode("asked").alias("part", "own"), "far").where(F.col("far").isNull() | (m * r + F.col("part") <= F.col("far")))
+        wanted = asking.select("query_id", "asked", F.posexplode(segments_of(F.col("asked"), bits, width)).alias("part", "own"), "far").where(F.col("far").isNull() | (m * r + F.col("part") <= F.col("far")))
         probing = [p for p, n in held.items() if comb(size(p), r) <= n]
         ways = []
         for w in {size(p) for p in probing}:
             asked = wanted.where(F.col("part").isin([p for p in probing if size(p) == w]))
-            ways.append(asked.select("query_id", "asked", "part", F.explode(F.transform(masks(w, r), lambda x: x.bitwiseXOR(F.col("own")))).alias("value")))
+            ways.append(asked.select("query_id", "asked", "far", "part", F.explode(F.transform(masks(w, r), lambda x: x.bitwiseXOR(F.col("own")))).alias("value")))
         scanning = [p for p in held if p not in probing]
         if scanning:
             asked = wanted.where(F.col("part").isin(scanning)).withColumn("block", F.explode(F.sequence(F.lit(0), (n_blocks - 1).cast("int"))))
             near_values = F.filter("values", lambda v: F.bit_count(v.bitwiseXOR(F.col("own"))) == r)
-            ways.append(asked.join(blocks.hint("merge"), ["part", "block"]).select("query_id", "asked", "part", F.explode(near_values).alias("value")))
+            ways.append(asked.join(blocks.hint("merge"), ["part", "block"]).select("query_id", "asked", "far", "part", F.explode(near_values).alias("value")))
         probes = reduce(DataFrame.union, ways)
-        met = probes.join(index.hint("merge"), ["part", "value"]).select("query_id", "asked", "code").distinct()
-        near = met.select("query_id", "asked", "code", distance(F.col("asked"), F.col("code"), m).cast("int").alias("distance"))
+        far = lambda x: distance(F.col("asked"), x, n_words).cast("int")
+        within = F.filter("list", lambda x: F.col("far").isNull() | (far(x) <= F.col("far")))
+        met = probes.join(index.hint("merge"), ["part", "value"]).select("query_id", "asked", F.explode(within).alias("words")).distinct()
+        near = met.select("query_id", "asked", "words", far(F.col("words")).alias("distance"))
         # k + 1 codes hold k ids besides the query's, so no code behind them in order of distance is needed; ties stay in.
         at = F.rank().over(Window.partitionBy("query_id", "asked").orderBy("distance"))
         close = near.withColumn("n", at).where(F.col("n") <= k + 1)
-        found = close.join(entries.hint("merge"), "code").select("query_id", "asked", "distance", F.explode("ids").alias("neighbour_id")).where("neighbour_id <> query_id")
+        found = close.join(kept.hint("merge"), "words").select("query_id", "asked", "distance", F.explode("ids").alias("neighbour_id")).where("neighbour_id <> query_id")
         if best is not None:
             found = found.union(best.select("query_id", "asked", "distance", "neighbour_id"))
         found = found.distinct()
