@@ -5,15 +5,15 @@ and near copies within the sample count once: rows that share one of four min-ha
 
 *All words.*  Every word of a text has a weight, and every example that stays is indexed, clean ones too.  Document
 frequencies of the examples' words are counted over all documents; a word that no example holds counts in the length of a
-text's vector as if one document held it.  Words in many examples lie in a matrix, the others in lists; weights are 32-bit
-numbers, and what comes within SLACK of the k-th similarity is summed again with 64 bits, so the k nearest are exact.  They
-are returned as evidence.
+text's vector as if one document held it.  The index is block-max: examples stand in blocks of 64, alike ones together (cut
+again and again along the main direction of their frequent words).  Lists of seldom words are short and summed for all
+examples; of frequent words each block knows the greatest weight.  Both give a bound per block, blocks are visited by
+descending bound, and the search ends when no bound reaches the k-th cosine.  Weights are 32-bit numbers, and what comes
+within SLACK of the k-th cosine is summed again with 64 bits, so the k nearest are exact.  They are returned as evidence.
 
-*Marks.*  Beside that, the examples are compared by the terms that mark toxic ones: words and the first bytes of words (stems
-of 4 to 7) whose likelihood-ratio statistic against the label exceeds 2 ln(number of terms), so that chance terms stay out at
-every sample size, and that are LIFT times likelier in toxic examples.  These vectors form an inverted index in blocks of 64
-examples; each term knows its greatest weight per block.  A text's blocks are visited by descending bound (sum of its weights
-times the blocks' maxima) until no block's bound can beat the k-th similarity found.
+*Marks.*  Beside that, the examples are compared by the terms that mark toxic ones: words and the first letters of words (stems
+of 4 to 7 bytes) whose likelihood-ratio statistic against the label exceeds 2 ln(number of terms), so that chance terms stay
+out at every sample size, and that are LIFT times likelier in toxic examples.  These vectors have an index of the same kind.
 
 *Score.*  In either search the votes weigh as their cosine; a logistic curve over both votes, fitted on the sample with each
 row's own group left out, gives the probability.
@@ -38,10 +38,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Labelled rows that are read at most, vocabulary terms at most, neighbours, examples per block; bytes of stems; how many
-#: times likelier a mark must be under the label.
-SAMPLE, TERMS, NEAREST, BLOCK, STEMS, LIFT = 16_384, 4_096, 15, 64, (4, 5, 6, 7), 10
-#: Words in the matrix at most, texts looked at together, keys in a row of counts; rounding of 32-bit sums at most.
+#: Labelled rows that are read at most, neighbours, examples per block, blocks visited at a time; bytes of stems; how many times
+#: likelier a mark must be under the label.
+SAMPLE, NEAREST, BLOCK, STEP, STEMS, LIFT = 4_096, 15, 64, 8, (4, 5, 6, 7), 10
+#: Frequent words at most (the others are in lists), texts looked at together, keys in a row of counts; rounding of 32-bit sums at most.
 DENSE, TOGETHER, SPAN, SLACK = 1_024, 64, 4_096, 1e-4
 WORD = re.compile(rb"[a-z\x80-\xff]+")
 
@@ -51,14 +51,95 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def terms_of(words) -> set[bytes]:
-    """The terms that distinct words stand for: the words and their stems."""
-    return set(words).union(*({b"^" + w[:n] for w in words if len(w) >= n} for n in STEMS))
+    """The terms that distinct words stand for: the words and their stems, which end where a letter ends."""
+    return set(words).union(*({b"^" + w[:n] for w in words if len(w) >= n and (len(w) == n or w[n] & 0xC0 != 0x80)} for n in STEMS))
 
 
-def counted(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def hashed(words: Counter) -> tuple[np.ndarray, np.ndarray]:
     """The distinct words' hashes and how often each stands."""
-    seen = Counter(words)
-    return C.hash_words(list(seen)), np.fromiter(seen.values(), np.int64, len(seen))
+    return C.hash_words(list(words)), np.fromiter(words.values(), np.int64, len(words))
+
+
+def _alike(x: np.ndarray) -> np.ndarray:
+    """An order of the rows in which alike ones are near: halves along the main direction, down to BLOCK rows."""
+
+    def cut(rows: np.ndarray) -> list[np.ndarray]:
+        if len(rows) <= BLOCK:
+            return [rows]
+        y = x[rows] - x[rows].mean(axis=0)
+        way = np.random.default_rng(0).standard_normal(x.shape[1]).astype(x.dtype)
+        for _ in range(8):
+            way = y.T @ (y @ way)
+            way /= np.linalg.norm(way) or 1
+        rows = rows[np.argsort(y @ way, kind="stable")]
+        half = -(-len(rows) // 2 // BLOCK) * BLOCK
+        return cut(rows[:half]) + cut(rows[half:])
+
+    return np.concatenate(cut(np.arange(len(x)))) if len(x) else np.empty(0, np.int64)
+
+
+class BlockMax:
+    """Exact search for the nearest of a bounded set of sparse unit vectors (terms, weights) by cosine."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, groups: np.ndarray) -> None:
+        rows = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
+        terms = np.concatenate([t for t, _ in vectors]).astype(np.int32) if vectors else np.empty(0, np.int32)
+        weights = np.concatenate([w for _, w in vectors]).astype(np.float32) if vectors else np.empty(0, np.float32)
+        n = np.bincount(terms, minlength=n_terms)
+        often = np.argsort(-n, kind="stable")[:DENSE]
+        often = often[n[often] * 64 >= max(len(vectors), 64 * 16)]
+        self.line, self.blocks = np.full(n_terms, -1), -(-len(vectors) // BLOCK)
+        self.line[often] = np.arange(len(often))
+        held = np.zeros((len(vectors), len(often)), np.float32)
+        in_held = self.line[terms] >= 0
+        held[rows[in_held], self.line[terms[in_held]]] = weights[in_held]
+        self.order = _alike(held)  # which vector stands at a place
+        place = np.empty(len(vectors), np.int32)
+        place[self.order] = np.arange(len(vectors), dtype=np.int32)
+        full = np.zeros((self.blocks * BLOCK, len(often)), np.float32)
+        full[: len(vectors)] = held[self.order]
+        self.held = np.ascontiguousarray(full.reshape(self.blocks, BLOCK, -1).transpose(0, 2, 1))
+        self.maxima = np.ascontiguousarray(self.held.max(axis=2).T)
+        self.groups = np.full(self.blocks * BLOCK, -1)
+        self.groups[: len(vectors)] = groups[self.order]
+        by_term = np.argsort(terms, kind="stable")
+        self.cuts = np.searchsorted(terms[by_term], np.arange(n_terms + 1))
+        self.places, self.weights = place[rows[by_term]], weights[by_term]
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], without=None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the NEAREST of the set (numbers, cosines above 0), ties by number; those of its group in `without` don't count."""
+        asked, out = np.zeros((len(vectors), len(self.maxima)), np.float32), []
+        for k, (t, w) in enumerate(vectors):
+            asked[k, self.line[t[self.line[t] >= 0]]] = w[self.line[t] >= 0]
+        bounds = asked @ self.maxima
+        for k, (t, w) in enumerate(vectors):
+            if not len(t) or not self.blocks:
+                out.append((np.empty(0, np.int64), np.empty(0)))
+                continue
+            rare, lines = self.line[t] < 0, self.line[t[self.line[t] >= 0]]
+            a, size = self.cuts[t[rare]], self.cuts[t[rare] + 1] - self.cuts[t[rare]]
+            at = np.arange(size.sum()) + np.repeat(a - np.cumsum(size) + size, size)
+            seldom = np.bincount(self.places[at], np.repeat(w[rare], size) * self.weights[at], self.blocks * BLOCK).astype(float)
+            if without is not None:
+                seldom[self.groups == without[k]] = -np.inf
+            seldom = seldom.reshape(self.blocks, BLOCK)
+            bound = bounds[k] + seldom.max(axis=1) + SLACK
+            seen, sums, least, few = np.argsort(-bound, kind="stable"), np.empty(0), 0.0, w[~rare].astype(np.float32)
+            for start in range(0, self.blocks, STEP):
+                now = seen[start : start + STEP]
+                if bound[now[0]] <= max(least - SLACK, SLACK):
+                    seen = seen[:start]
+                    break
+                sums = np.append(sums, np.matmul(few, self.held[now[:, None], lines]) + seldom[now])
+                if len(sums) > NEAREST:
+                    least = np.partition(sums, len(sums) - NEAREST)[len(sums) - NEAREST]
+            near = np.flatnonzero((sums > 0) & (sums >= least - SLACK))
+            near = seen[near // BLOCK] * BLOCK + near % BLOCK
+            sims = seldom.reshape(-1)[near] + self.held[(near // BLOCK)[:, None], lines, (near % BLOCK)[:, None]].astype(float) @ w[~rare]
+            number = self.order[near]
+            first = np.lexsort((number, -sims))[:NEAREST]
+            out.append((number[first], sims[first]))
+        return out
 
 
 @dataclass
@@ -71,10 +152,7 @@ class Whole:
     ids: list[str]
     groups: np.ndarray
     toxic: np.ndarray
-    cuts: np.ndarray = None  # where each word's entries begin
-    rows: np.ndarray = None
-    weights: np.ndarray = None
-    matrix: tuple[np.ndarray, np.ndarray] = None  # each word's line in the matrix (or -1), the matrix
+    bank: BlockMax = None
 
     def vector(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and weights of the words that examples hold; the unit length is that of all words."""
@@ -84,46 +162,7 @@ class Whole:
         return at[known], weight[known] / np.sqrt((weight**2).sum() or 1.0)
 
     def index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        rows = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
-        terms = np.concatenate([t for t, _ in vectors]).astype(np.int32)
-        order = np.argsort(terms, kind="stable")
-        self.cuts = np.searchsorted(terms[order], np.arange(len(self.keys) + 1))
-        self.rows, self.weights = rows[order], np.concatenate([w for _, w in vectors]).astype(np.float32)[order]
-
-    def _matrix(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.matrix is None:
-            n, line = np.diff(self.cuts), np.full(len(self.keys), -1)
-            often = np.argsort(-n, kind="stable")[:DENSE]
-            often = often[n[often] * 64 >= max(len(self.ids), 64 * 16)]
-            line[often], held = np.arange(len(often)), np.zeros((len(often), len(self.ids)), np.float32)
-            for k, t in enumerate(often):
-                held[k, self.rows[self.cuts[t] : self.cuts[t + 1]]] = self.weights[self.cuts[t] : self.cuts[t + 1]]
-            self.matrix = line, held
-        return self.matrix
-
-    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], without=None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each vector the NEAREST examples (numbers, cosines), ties by number; examples of its group in `without` don't count."""
-        (line, held), n, out = self._matrix(), len(self.ids), []
-        for start in range(0, len(vectors), TOGETHER):
-            part = vectors[start : start + TOGETHER]
-            asked = np.zeros((len(part), len(held)), np.float32)
-            for k, (t, w) in enumerate(part):
-                asked[k, line[t[line[t] >= 0]]] = w[line[t] >= 0]
-            often = asked @ held
-            for k, (t, w) in enumerate(part):
-                rare, lines = line[t] < 0, line[t[line[t] >= 0]]
-                a, size = self.cuts[t[rare]], self.cuts[t[rare] + 1] - self.cuts[t[rare]]
-                at = np.arange(size.sum()) + np.repeat(a - np.cumsum(size) + size, size)
-                seldom = np.bincount(self.rows[at], np.repeat(w[rare], size) * self.weights[at], n)
-                sums = often[k] + seldom
-                if without is not None:
-                    sums[self.groups == without[start + k]] = 0
-                least = np.partition(sums, n - NEAREST)[n - NEAREST] - SLACK if n > NEAREST else 0.0
-                found = np.flatnonzero((sums > 0) & (sums >= least))
-                sims = seldom[found] + w[~rare] @ held[np.ix_(lines, found)].astype(float)
-                first = np.lexsort((found, -sims))[:NEAREST]
-                out.append((found[first], sims[first]))
-        return out
+        self.bank = BlockMax(vectors, len(self.keys), self.groups)
 
 
 def document_frequencies(docs: DataFrame, keys: np.ndarray, text: str) -> tuple[np.ndarray, int]:
@@ -153,83 +192,48 @@ def document_frequencies(docs: DataFrame, keys: np.ndarray, text: str) -> tuple[
 
 @dataclass
 class Model:
-    """The inverted index over the examples' marks, the vectors over all words, and the curve."""
+    """The indexes over the examples' marks and over all words, and the curve."""
 
     slope: tuple[float, float] = (0.0, 0.0)
     whole: Whole = None
     base: float = -20.0
     idf: dict[bytes, tuple[int, float]] = field(default_factory=dict)
-    terms: dict[bytes, tuple[bytes, ...]] = field(default_factory=dict)  # of the words seen lately
+    heads: frozenset[bytes] = frozenset()  # the first bytes that a word with a mark has
     ids: list[str] = field(default_factory=list)
     groups: np.ndarray = None
     toxic: np.ndarray = None
-    postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    maxima: np.ndarray = None
+    bank: BlockMax = None
+
+    def know(self, marks: list[tuple[bytes, float]]) -> None:
+        self.idf = {t: (k, x) for k, (t, x) in enumerate(sorted(marks))}
+        self.heads = frozenset(t.removeprefix(b"^")[: STEMS[0]] for t in self.idf)
 
-    def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and unit weights."""
+    def vector(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and unit weights of the marks."""
         hit: Counter = Counter()
-        for w, n in Counter(words).items():
-            found = self.terms.get(w)
-            if found is None:
-                if len(self.terms) >= 500_000:
-                    self.terms.clear()
-                found = self.terms[w] = tuple(t for t in terms_of((w,)) if t in self.idf)
-            for t in found:
-                hit[t] += n
+        for w in [w for w in words if w[: STEMS[0]] in self.heads]:
+            for t in terms_of((w,)):
+                if t in self.idf:
+                    hit[t] += words[w]
         if not hit:
             return np.empty(0, np.int64), np.empty(0)
-        found = [self.idf[t] for t in hit]
-        weight = (1 + np.log(list(hit.values()))) * np.array([x[1] for x in found])
+        found = sorted((*self.idf[t], n) for t, n in hit.items())
+        weight = (1 + np.log([x[2] for x in found])) * np.array([x[1] for x in found])
         return np.array([x[0] for x in found]), weight / np.sqrt((weight**2).sum())
 
     def index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        n_terms, n = len(self.idf), len(vectors)
-        rows = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
-        terms = np.concatenate([t for t, _ in vectors]) if n else np.empty(0, np.int64)
-        weights = np.concatenate([w for _, w in vectors]) if n else np.empty(0)
-        self.maxima = np.zeros((n_terms, -(-n // BLOCK)))
-        np.maximum.at(self.maxima, (terms, rows // BLOCK), weights)
-        order = np.lexsort((rows, terms))
-        cuts = np.searchsorted(terms[order], np.arange(n_terms + 1))
-        self.postings = [(rows[o := order[a:b]], weights[o]) for a, b in zip(cuts, cuts[1:])]
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The NEAREST examples (numbers, cosines), ties by number; examples of the group `without` don't count."""
-        if not len(terms) or not len(self.ids):
-            return np.empty(0, np.int64), np.empty(0)
-        bound = weights @ self.maxima[terms]
-        best, sims, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or bound[block] < least - 1e-12:
-                break
-            low, score = block * BLOCK, np.zeros(BLOCK)
-            for t, w in zip(terms, weights):
-                if self.maxima[t, block]:
-                    at, held = self.postings[t]
-                    a, b = np.searchsorted(at, (low, low + BLOCK))
-                    score[at[a:b] - low] += w * held[a:b]
-            new = low + np.flatnonzero(score > 0)
-            if without >= 0:
-                new = new[self.groups[new] != without]
-            best, sims = np.concatenate((best, new)), np.concatenate((sims, score[new - low]))
-            first = np.lexsort((best, -sims))[:NEAREST]
-            best, sims = best[first], sims[first]
-            least = sims[-1] if len(sims) == NEAREST else 0.0
-        return best, sims
-
-    def vote(self, found: np.ndarray, sims: np.ndarray) -> float:
-        return float((sims * self.toxic[found]).sum() / (sims.sum() + 1.0)) if len(found) else 0.0
+        self.bank = BlockMax(vectors, len(self.idf), self.groups)
 
     def votes(self, bodies, without=None) -> tuple[np.ndarray, list[list[str]]]:
-        """The two votes (by marks, by all words) on each text, and the nearest examples by all words."""
+        """The two votes (by marks, by all words) on each text, and the nearest examples by all words.  Examples vote as their cosine."""
         if self.whole is None:
             return np.zeros((len(bodies), 2)), [[] for _ in bodies]
-        texts = [words_of(body) for body in bodies]
-        near = self.whole.nearest([self.whole.vector(*counted(x)) for x in texts], without)
-        marked = [self.nearest(*self.vector(x), -1 if without is None else without[k]) for k, x in enumerate(texts)]
-        by_all = [float((s * self.whole.toxic[f]).sum() / (s.sum() + 1.0)) for f, s in near]
-        return np.array([(self.vote(*m), v) for m, v in zip(marked, by_all)]).reshape(-1, 2), [[self.whole.ids[k] for k in f[:5]] for f, _ in near]
+        texts = [Counter(words_of(body)) for body in bodies]
+        near = self.whole.bank.nearest([self.whole.vector(*hashed(x)) for x in texts], without)
+        marked = self.bank.nearest([self.vector(x) for x in texts], without)
+        vote = lambda toxic, f, s: float((s * toxic[f]).sum() / (s.sum() + 1.0)) if len(f) else 0.0
+        votes = [(vote(self.toxic, *m), vote(self.whole.toxic, *w)) for m, w in zip(marked, near)]
+        return np.array(votes).reshape(-1, 2), [[self.whole.ids[k] for k in f[:5]] for f, _ in near]
 
     def probability(self, votes):
         return 1 / (1 + np.exp(-np.clip(self.base + votes @ np.array(self.slope), -30, 30)))
@@ -272,7 +276,7 @@ def _curve(votes: np.ndarray, toxic: np.ndarray) -> tuple[tuple[float, float], f
         used[np.flatnonzero(used)[np.argmin(w[:-1])]] = False
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, terms: int = TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """labels: (doc_id, label) rows that may be learnt from."""
     spark, model = docs.sparkSession, Model()
     one = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).cast("string").alias("id")).agg(F.max(F.col(label)).cast("int").alias("toxic"))
@@ -319,9 +323,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     p, n, distinct = sum(1 for (_, y) in kept if y), sum(1 for (_, y) in kept if not y), counts.count()
     total, part = F.lit(float(p + n)), lambda o, of: F.when(o > 0, o * F.log(o / (F.col("df") * of / (p + n)))).otherwise(0.0)
     tested = counts.withColumn("df", F.col("neg") + F.col("pos")).withColumn("g", 2 * (part(F.col("pos"), F.lit(float(p))) + part(F.col("neg"), F.lit(float(n)))))
-    good = tested.where(((F.col("pos") + 0.5) * n > LIFT * (F.col("neg") + 0.5) * p) & (F.col("g") > float(2 * np.log(max(distinct, 2))))).orderBy(F.col("g").desc(), "term").limit(terms)
-    found = good.withColumn("idf", F.log(1 + total / F.col("df"))).select("term", "idf").collect()  # at most `terms` rows
-    model.idf = {bytes(r["term"]): (k, r["idf"]) for k, r in enumerate(sorted(found, key=lambda r: bytes(r["term"])))}
+    good = tested.where(((F.col("pos") + 0.5) * n > LIFT * (F.col("neg") + 0.5) * p) & (F.col("g") > float(2 * np.log(max(distinct, 2)))))
+    found = good.withColumn("idf", F.log(1 + total / F.col("df"))).select("term", "idf").collect()  # a part of the sample's terms
+    model.know([(bytes(r["term"]), r["idf"]) for r in found])
     vocabulary = spark.sparkContext.broadcast(model)
 
     def vectors(frames):
@@ -329,14 +333,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             out = []
             for i, body, y in zip(pdf["id"], pdf["text"], pdf["toxic"]):
                 if i in known.value:
-                    words = words_of(body)
-                    h, n = counted(words)
+                    words = Counter(words_of(body))
+                    h, n = hashed(words)
                     out.append((i, y, *vocabulary.value.vector(words), h.tobytes(), n.astype(np.int32).tobytes()))
             yield pd.DataFrame(out, columns=["id", "toxic", "terms", "weights", "hashes", "counts"])
 
     # At most `sample` rows with their distinct words.
     examples = rows.mapInPandas(vectors, "id string, toxic int, terms array<bigint>, weights array<double>, hashes binary, counts binary").collect()
-    examples = sorted(examples, key=lambda r: (tuple(t for _, t in sorted(zip(r["weights"], r["terms"]), reverse=True)[:3]), r["id"]))  # alike examples share blocks
+    examples = sorted(examples, key=lambda r: r["id"])
     bank = [(r, (np.array(r["terms"], np.int64), np.array(r["weights"]))) for r in examples if r["terms"]]
     model.ids, model.toxic = [r["id"] for r, _ in bank], np.array([float(r["toxic"] > 0) for r, _ in bank])
     model.groups = np.array([of[r["id"]] for r, _ in bank], np.int64)

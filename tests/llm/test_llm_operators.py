@@ -375,24 +375,29 @@ def test_webp_broken(spark):
 # ---------------------------------------------------------------- toxicity
 
 
-def test_nearest_is_exact():
-    r = np.random.default_rng(0)
+@pytest.mark.parametrize("n", [1, 15, 300])
+def test_nearest_is_exact(n):
+    r = np.random.default_rng(n)
     m = toxicity.Model()
-    m.idf = {bytes([97 + k]) * 3: (k, 1 + k / 10) for k in range(20)}
-    vectors = [m.vector([bytes([97 + k]) * 3 for k in r.integers(0, 20, r.integers(1, 12))]) for _ in range(300)]
-    m.ids, m.groups, m.toxic = [str(k) for k in range(300)], np.arange(300), r.integers(0, 2, 300).astype(float)
+    m.know([(bytes([97 + k]) * 3, 1 + k / 10) for k in range(20)])
+    some = lambda k: Counter(bytes([97 + x]) * 3 for x in r.integers(0, 20, k))
+    m.groups = np.arange(n)
+    vectors = [m.vector(some(r.integers(1, 12))) for _ in range(n)]
     m.index(vectors)
-    dense = np.zeros((300, 20))
+    dense = np.zeros((n, 20))
     for k, (t, w) in enumerate(vectors):
-        dense[k, t] = w
-    for _ in range(50):
-        t, w = m.vector([bytes([97 + k]) * 3 for k in r.integers(0, 20, 6)])
+        dense[k, t] = w.astype(np.float32)
+    asked = [m.vector(some(6)) for _ in range(50)] + [m.vector(Counter())]
+    for (t, w), (found, got) in zip(asked, m.bank.nearest(asked)):
         q = np.zeros(20)
         q[t] = w
         sims = dense @ q
-        want = np.lexsort((np.arange(300), -np.round(sims, 12)))[: toxicity.NEAREST]
-        found, got = m.nearest(t, w)
-        assert np.allclose(np.sort(got), np.sort(sims[want]))
+        want = [k for k in np.lexsort((np.arange(n), -np.round(sims, 9))) if sims[k] > 0][: toxicity.NEAREST]
+        assert np.allclose(got, sims[want]) and np.allclose(sims[found], got)
+
+
+def test_stems_end_with_a_letter():
+    assert b"^stra" in toxicity.terms_of(["straße".encode()]) and b"^stra\xc3" not in toxicity.terms_of(["straße".encode()])
 
 
 def test_toxicity_learns(spark):
@@ -407,18 +412,18 @@ def test_all_words_are_searched():
     keys = np.unique(np.concatenate([common.hash_words(t) for t in texts]))
     idf = {int(k): 1 + x for k, x in zip(keys, r.random(len(keys)))}
     m = toxicity.Whole(keys, np.array(list(idf.values())), 3.0, [str(k) for k in range(400)], np.arange(400) // 2, np.zeros(400))
-    m.index([m.vector(*toxicity.counted(t)) for t in texts])
-    assert 0 < len(m._matrix()[1]) < len(keys)
+    m.index([m.vector(*toxicity.hashed(Counter(t))) for t in texts])
+    assert 0 < len(m.bank.maxima) < len(keys)
 
     def full(words):
-        h, n = toxicity.counted(words)
+        h, n = toxicity.hashed(Counter(words))
         v = {int(k): (1 + np.log(c)) * idf.get(int(k), 3.0) for k, c in zip(h, n)}
         return {k: x / np.sqrt(sum(y * y for y in v.values())) for k, x in v.items()}
 
     bank = [full(t) for t in texts]
     asked = [t[:30] + [b"unseen"] for t in texts[:100]]
     for without in (None, [k // 2 for k in range(100)]):
-        got = m.nearest([m.vector(*toxicity.counted(t)) for t in asked], without)
+        got = m.bank.nearest([m.vector(*toxicity.hashed(Counter(t))) for t in asked], without)
         for k, (t, (found, sims)) in enumerate(zip(asked, got)):
             q = full(t)
             want = np.array([0.0 if without and j // 2 == without[k] else sum(x * b.get(w, 0.0) for w, x in q.items()) for j, b in enumerate(bank)])
