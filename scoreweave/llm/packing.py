@@ -1,21 +1,25 @@
 """Best-fit packing of documents into token sequences of bounded length.
 
 Texts are tokenized (BPE, cached per run of non-space characters) and closed by END; longer documents are cut into
-full pieces and a rest.  The packing is best-fit decreasing in bulk rounds.
-
-*Sizes are classes.*  A length and a gap are whole numbers up to the capacity, so documents and gaps are sorted as run
-lengths: at most CAPACITY classes of documents, and runs of equal sequences that share a gap.  A round takes one class of
-documents: a successor sweep over the sorted gaps finds the tightest gap, the k-th document of the class goes to the
-k-th sequence of the run (conflicts are resolved by rank), the run's gap shrinks, and the sweep goes on until the
-class is placed; what fits nowhere opens new sequences.  This is exactly best-fit decreasing.  The sweep's state is
-bounded by the capacity, not by the documents: a round places a class of a billion documents in as few steps as ten.
-
-*Rows stay distributed.*  Spark counts the classes, range-sorts the pieces for their rank within the class, and each
-piece finds its run by (length, rank).  Nothing of the size of the corpus meets in a task or on the driver, and
-every pass can be recomputed when an executor is lost.
-
-Rows: null and empty texts are the END token alone.  Rows that repeat a doc_id are packed each.  An empty table gives
-an empty result.  Extra columns are not touched.
+full pieces and a rest.  The pieces are packed in bulk-synchronous rounds of best fit:
+
+1. as many sequences as the tokens need are opened;
+2. waiting pieces and open gaps are range-sorted together, largest first.  A gap that holds several of the largest waiting
+   piece offers as many equal slots, so that a round places several pieces in a sequence;
+3. every part sweeps its rows from large to small: a slot is laid down, a piece takes the slot laid down last, which is its
+   successor: the tightest that holds it.  Pieces and slots that find no partner in their part are numbered;
+4. conflicts between the parts are resolved by rank: from each part's two counts follows which ranks of one part's pieces take
+   which ranks of another part's slots.  Only these counts, two per PART rows, reach the driver;
+5. the gaps shrink by what their sequences took, and the next round begins.  If a piece is larger than every gap, the pieces
+   of that kind get new sequences.
+
+Rounds end when nothing waits; each one places a piece at least, and as a sweep leaves no piece that fits a free slot, their
+number follows the logarithm of the ratio of the largest and the smallest piece rather than the number of pieces.  Every
+round's tables are written to the shared folder, so a lost executor costs a part of a round.
+
+Rows: null and empty texts are the END token alone.  Rows that repeat a doc_id are packed each.  Very long texts are cut into
+pieces, ties are broken by the place of the piece in the written table.  An empty table gives an empty result.  Extra columns
+are not touched, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,26 +27,29 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from bisect import bisect_left, insort
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from . import common as C
 
 CAPACITY, END = 4096, 1
+#: Rows of a part in a sweep.
+PART = 20_000
 PIECES = "id string, piece int, start long, length long, ids_crc32 long"
 _TOKENIZERS: dict[str, Tokens] = {}
 
 
 #: How the vocabulary cuts lower-cased text of ASCII and Latin letters (fixed patterns): contractions, words, digits, the
-#: rest; what makes a text leave that path; and what its words consist of.
+#: rest; what makes a text leave that path; and what its words consist of (not U+0130, whose lower case is a letter and a mark).
 CUT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
 ODD = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]|<\|(?:startof|endof)text\|>")
-LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 
 
 class Tokens(dict):
@@ -52,7 +59,7 @@ class Tokens(dict):
     so.  Texts with other letters, control characters or special tokens take another way: their runs of non-space characters,
     which the pre-tokenizer never joins, are tokenized as they stand.  At most `most` pieces are remembered."""
 
-    def __init__(self, path: str, most: int = 1_200_000) -> None:
+    def __init__(self, path: str, most: int = 250_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -141,71 +148,125 @@ def pieces(docs: DataFrame, doc_id: str, text: str, path: str, capacity: int = C
     return rows.mapInPandas(cut, PIECES + (", ids binary" if keep_ids else ""))
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Documents per length -> runs (length, first rank, documents, first sequence, offset): the documents of a
-    length with ranks from the first on, one to each sequence from the first on.  Best-fit decreasing."""
-    gaps: list[int] = []  # the gaps there are, ascending
-    open_at: dict[int, list[tuple[int, int]]] = {}  # gap -> runs (first sequence, sequences)
-    plan, sequences = [], 0
-
-    def leave(gap: int, first: int, n: int) -> None:
-        if gap:
-            if gap not in open_at:
-                insort(gaps, gap)
-            open_at.setdefault(gap, []).append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(gaps, length)
-            if at == len(gaps):
-                each = capacity // length
-                for n, deep in ((left // each, each), (1 if left % each else 0, left % each)):
-                    for k in range(deep if n else 0):
-                        plan.append((length, rank, n, sequences, k * length))
-                        rank += n
-                    if n:
-                        leave(capacity - deep * length, sequences, n)
-                        sequences += n
-                break
-            gap = gaps[at]
-            first, n = open_at[gap].pop()
-            if not open_at[gap]:
-                del open_at[gap], gaps[at]
-            use = min(n, left)
-            plan.append((length, rank, use, first, capacity - gap))
-            leave(gap - length, first, use)
-            if use < n:
-                leave(gap, first + use, n - use)
-            rank, left = rank + use, left - use
-    return plan
+def sweep(is_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in descending size, gaps before pieces of their size -> (gap of each matched piece, -1 elsewhere; free gaps).
+
+    A piece takes the gap laid down last, as a closing bracket its opening one: rows of equal depth alternate."""
+    level = np.cumsum(np.where(is_gap, 1, -1))
+    floor = np.minimum.accumulate(np.minimum(level, 0))
+    depth = level - floor + ~is_gap
+    unmatched = ~is_gap & (level < np.concatenate(([0], floor[:-1])))
+    rows = np.flatnonzero(~unmatched)
+    rows = rows[np.argsort(depth[rows], kind="stable")]
+    pairs = np.flatnonzero(is_gap[rows[:-1]] & ~is_gap[rows[1:]] & (depth[rows[:-1]] == depth[rows[1:]]))
+    partner = np.full(len(is_gap), -1)
+    partner[rows[pairs + 1]] = rows[pairs]
+    free = is_gap.copy()
+    free[rows[pairs]] = False
+    return partner, np.flatnonzero(free)
+
+
+def between_parts(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(part, waiting pieces, free gaps) in order -> runs (part of the pieces, first rank, pieces, part of the gaps, last rank, number).
+
+    The same sweep over whole parts: pieces of a part take free gaps of the parts before it, the latest and tightest first.
+    Piece rank first + i takes gap rank last - i and both have the number + i."""
+    stack, runs, number = [], [], 0
+    for part, pieces, gaps in sorted(counts):
+        rank = 0
+        while rank < pieces and stack:
+            other, free = stack.pop()
+            n = min(free, pieces - rank)
+            runs.append((part, rank, n, other, free - 1, number))
+            rank, number = rank + n, number + n
+            if free > n:
+                stack.append((other, free - n))
+        if gaps:
+            stack.append((part, gaps))
+    return runs
+
+
+#: kind 0: a piece with its sequence; 1: a waiting piece; 2: a free slot.
+SWEPT = "kind int, key long, length long, sequence long, slot int, part int, rank long"
+
+
+def _swept(events: DataFrame, n_parts: int) -> DataFrame:
+    """events (size, is_piece, key, slot), key being the piece's or the sequence's -> SWEPT rows."""
+    keys = [F.col("size").desc(), F.col("is_piece").asc(), F.col("key").asc(), F.col("slot").asc()]
+
+    def match(frames):
+        part = TaskContext.get().partitionId()
+        rows = pd.concat(list(frames) or [pd.DataFrame(columns=["size", "is_piece", "key", "slot"])])  # about PART rows
+        is_gap = rows["is_piece"].to_numpy(np.int64) == 0
+        if not len(is_gap):
+            return
+        size, key, slot = (rows[c].to_numpy(np.int64) for c in ("size", "key", "slot"))
+        partner, free = sweep(is_gap)
+        done, waiting = np.flatnonzero(partner >= 0), np.flatnonzero(~is_gap & (partner < 0))
+        for kind, at, to in ((0, done, partner[done]), (1, waiting, waiting), (2, free, free)):
+            yield pd.DataFrame({"kind": np.full(len(at), kind, np.int32), "key": key[at], "length": size[at], "sequence": key[to], "slot": slot[to].astype(np.int32), "part": np.full(len(at), part, np.int32), "rank": np.arange(len(at))})
+
+    return events.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys).mapInPandas(match, SWEPT)
+
+
+def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """parts (key, length), written -> (key, sequence_id, offset)."""
+    spark = parts.sparkSession
+    waiting, gaps, placed, opened = parts.select("key", "length"), None, [], 0
+    while True:
+        state = waiting.agg(F.count("*"), F.sum("length"), F.min("length"), F.max("length")).first()
+        if not state[0]:
+            break
+        n, total, least, most = state
+        widest, n_gaps = gaps.agg(F.max("gap"), F.count_if(F.col("gap") >= least)).first() if gaps is not None else (0, 0)
+        if most > (widest or 0):
+            if gaps is not None:
+                total = waiting.where(F.col("length") > (widest or 0)).agg(F.sum("length")).first()[0]
+            new = -(-total // capacity)
+            fresh = spark.range(opened, opened + new).select(F.col("id").alias("sequence"), F.lit(capacity).cast("long").alias("gap"))
+            gaps = fresh if gaps is None else gaps.union(fresh)
+            opened, n_gaps = opened + new, n_gaps + new
+        # Equal slots for the largest waiting piece; about two per waiting piece in all are enough.
+        slots = F.greatest(F.lit(1), F.least(F.floor(F.col("gap") / most), F.lit(1 + 2 * n // max(n_gaps, 1)))).cast("int")
+        offers = gaps.where(F.col("gap") >= least).withColumn("n", slots)
+        offers = offers.select(F.floor(F.col("gap") / F.col("n")).cast("long").alias("size"), F.lit(0).alias("is_piece"), F.col("sequence").alias("key"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("slot"))
+        events = offers.union(waiting.select("length", F.lit(1), "key", F.lit(0)))
+        swept = C.materialize(_swept(events, 1 + (2 * n + n_gaps) // PART), "swept")
+        counts = swept.where("kind > 0").groupBy("part").agg(F.count_if(F.col("kind") == 1), F.count_if(F.col("kind") == 2)).collect()  # two numbers per part
+        runs = between_parts([tuple(r) for r in counts])
+        # At most two runs per part.
+        table = F.broadcast(spark.createDataFrame(runs, "of int, first long, n long, other int, last long, number long"))
+        pieces = swept.where("kind = 1").join(table, (F.col("part") == F.col("of")) & F.col("rank").between(F.col("first"), F.col("first") + F.col("n") - 1), "left")
+        pieces = pieces.select("key", "length", (F.col("number") + F.col("rank") - F.col("first")).alias("match"))
+        free = swept.where("kind = 2").join(table, (F.col("part") == F.col("other")) & F.col("rank").between(F.col("last") - F.col("n") + 1, F.col("last")))
+        free = free.select("sequence", "slot", (F.col("number") + F.col("last") - F.col("rank")).alias("match"))
+        own = swept.where("kind = 0").select("key", "length", "sequence", "slot")
+        if runs:
+            own = own.union(pieces.where("match is not null").join(free, "match").select("key", "length", "sequence", "slot"))
+        placed.append(C.materialize(own.withColumn("turn", F.lit(len(placed))), "placed"))
+        taken = gaps.union(placed[-1].select("sequence", -F.col("length"))).groupBy("sequence").agg(F.sum("gap").alias("gap"))
+        gaps = C.materialize(taken.where("gap > 0"), "gaps")
+        waiting = pieces.where("match is null").select("key", "length")
+    if not placed:
+        return parts.select("key", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).where(F.lit(False))
+    before = Window.partitionBy("sequence").orderBy("turn", "slot", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most `capacity` rows
+    return reduce(DataFrame.union, placed).select("key", F.col("sequence").alias("sequence_id"), (F.sum("length").over(before) - F.col("length")).alias("offset"))
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces -> with sequence_id and offset.  parts is read twice: pass it materialized."""
-    counts = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}  # at most `capacity` rows
-    runs = np.array(sorted(best_fit(counts, capacity)) or [(0, 0, 0, 0, 0)], np.int64)
-    starts = (runs[:, 0] << 48) + runs[:, 1]
-    ordered = C.ranked(parts, "length", ["id", "piece"])
-
-    def place(frames):
-        for pdf in frames:
-            rank = pdf["rank"].to_numpy() - 1
-            at = np.searchsorted(starts, (pdf["length"].to_numpy() << 48) + rank, side="right") - 1
-            yield pdf.drop(columns="rank").assign(sequence_id=runs[at, 3] + rank - runs[at, 1], offset=runs[at, 4])
-
-    return ordered.mapInPandas(place, C.widened(parts, sequence_id=T.LongType(), offset=T.LongType()))
+    """pieces -> with sequence_id and offset."""
+    parts = C.materialize(parts.withColumn("key", F.monotonically_increasing_id()), "pieces")  # written once, so keys are fixed
+    return parts.join(place(parts, capacity), "key").drop("key")
 
 
 def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every row of docs."""
-    found = C.materialize(pieces(docs, doc_id, text, path or vocabulary(), capacity, end), "pieces")
-    return pack(found, capacity).select(F.col("id").cast(docs.schema[doc_id].dataType).alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(pieces(docs, doc_id, text, path or vocabulary(), capacity, end), capacity).select(F.col("id").cast(docs.schema[doc_id].dataType).alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(sequence_id, n_tokens, ids): the packed sequences themselves, at most the capacity of ids each."""
-    found = pack(C.materialize(pieces(docs, doc_id, text, path or vocabulary(), capacity, end, keep_ids=True), "pieces"), capacity)
+    found = pack(pieces(docs, doc_id, text, path or vocabulary(), capacity, end, keep_ids=True), capacity)
     one = found.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
 
     def join(frames):
