@@ -279,7 +279,11 @@ class Stream(webp.Writer):
             self.put(s, 8)
 
     def flat(self):
-        webp._put_flat(self, 8)
+        """Symbols 0 to 255 in codes of 8 bits."""
+        webp._put_code(self, np.where(np.arange(280) < 256, 8, 0))
+
+    def flat_of(self, n):
+        webp._put_code(self, np.where(np.arange(n) < 256, 8, 0))
 
     def byte(self, v):
         self.put(webp.BACKWARDS[v], 8)
@@ -290,8 +294,8 @@ def literal_image(w, pixels, main=False):
     w.put(0, 1)
     if main:
         w.put(0, 1)
-    for _ in range(4):
-        w.flat()
+    for n in (280, 256, 256, 256):
+        w.flat_of(n)
     w.simple(0)
     for a, r, g, b in pixels:
         for v in (g, r, b, a):
@@ -409,6 +413,46 @@ def test_webp_grey(n):
     assert (pixels.reshape(3, 577) == 0xFF000000 + x.astype(np.uint32) * 0x10101).all()
 
 
+def grey_images():
+    r = np.random.default_rng(3)
+    words = [bytes(r.integers(97, 123, r.integers(1, 9)).astype(np.uint8)) for _ in range(300)]
+    text = b" ".join(words[int(k)] for k in r.zipf(1.4, 4000) % 300)
+    long = np.frombuffer((text + text[:500] * 3)[:20 * 576], np.uint8)
+    yield "text", long[: len(long) // 576 * 576].reshape(-1, 576)
+    yield "left", np.cumsum(r.integers(0, 3, (9, 576)), axis=1).astype(np.uint8)
+    yield "top", np.cumsum(r.integers(0, 3, (300, 576)), axis=0).astype(np.uint8)
+    yield "same", np.full((40, 576), 65, np.uint8)
+    yield "period", np.resize(np.arange(19, dtype=np.uint8), (30, 576))
+    yield "skewed", np.minimum(r.geometric(0.5, (60, 576)), 40).astype(np.uint8)
+    yield "fibonacci", np.repeat(np.arange(24, dtype=np.uint8), [int(1.62**k) + 1 for k in range(24)])[: 576 * 100].reshape(-1, 576)
+
+
+@pytest.mark.parametrize("name, x", list(grey_images()), ids=lambda v: v if isinstance(v, str) else "")
+def test_webp_chooses_what_pays(name, x, monkeypatch):
+    """Every image comes back, by the fast way and symbol by symbol, and is stored in fewer bytes."""
+    stored = webp.encode_grey(x)
+    fast = webp.decode(stored)[2]
+    assert (fast == 0xFF000000 + x.reshape(-1).astype(np.uint32) * 0x10101).all()
+    used = Counter()
+    for f in ("undo_predictor", "undo_palette"):
+        monkeypatch.setattr(webp, f, lambda *a, f=f, g=getattr(webp, f): (used.update([f]), g(*a))[1])
+    slow = webp._green_only
+    monkeypatch.setattr(webp, "_green_only", lambda bits, codes, n, width: (used.update(["green"]), slow(bits, codes, n, width))[1])
+    webp.decode(stored)
+    assert used["undo_predictor"] == (name in ("left", "top", "period", "fibonacci")) and used["undo_palette"] == (len(np.unique(x)) <= 16)
+    assert len(stored) < 0.8 * x.size
+    assert len(webp.back_references(x.reshape(-1))) > 0 or name not in ("text", "period")
+
+
+def test_webp_fast_way_is_the_slow_way(monkeypatch):
+    for _, x in grey_images():
+        stored = webp.encode_grey(x)
+        fast = webp.decode(stored)[2]
+        with monkeypatch.context() as m:
+            m.setattr(webp, "_green_only", lambda bits, codes, n, width: webp._one_by_one(bits, [codes], n, width, None, 0, 0, 0))
+            assert (webp.decode(stored)[2] == fast).all()
+
+
 def test_webp_broken(spark):
     good = webp.encode_grey(np.zeros((2, 576), np.uint8))
     df = spark.createDataFrame([(good,), (good[:30],), (b"RIFFxxxx",), (None,)], "media binary")
