@@ -1,6 +1,6 @@
 """Helpers that several training-data operators share.
 
-Documents are dealt into *buckets* of bounded size by a hash of their id.  A bucket is the unit in which
+Documents are dealt into *buckets* of bounded size by a hash of their id and text.  A bucket is the unit in which
 numpy looks at whole texts; what buckets have in common is found by sending each bucket's distinct 64-bit
 keys, once per bucket, to key ranges and sending the repeated ones back (``shared_keys``).  A key that a third
 of all documents hold therefore arrives once per bucket, not once per document.
@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); one of our own only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="scoreweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -60,7 +62,7 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 def in_buckets(docs: DataFrame, doc_id: str, text: str, n_buckets: int, keep: list[str] = ()) -> DataFrame:
     """(bucket, id, body): the id as a string (so that pandas keeps nulls and all digits), the text as UTF-8 bytes (null: empty)."""
     return docs.select(
-        F.pmod(F.xxhash64(F.col(doc_id)), F.lit(n_buckets)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n_buckets)).cast("int").alias("bucket"),
         F.col(doc_id).cast("string").alias("id"),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"),
         *(F.col(c).cast("string").alias(f"kept_{k}") for k, c in enumerate(keep)),
@@ -124,54 +126,102 @@ def member(x: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
     return sorted_keys[at] == x
 
 
-def key_rows(bucket: int, keys: np.ndarray, n_ranges: int) -> pd.DataFrame:
-    """The distinct keys of a bucket with their counts, cut at the range borders; one row per range that has any."""
-    keys, counts = np.unique(keys, return_counts=True)
+#: How counts travel: as numbers, or (op 9) only whether a key occurs more than once.
+COUNT, TWICE = np.uint16, np.uint8
+
+
+def key_rows(bucket: int, keys: np.ndarray, n_ranges: int, checks: np.ndarray | None = None, kind=COUNT) -> pd.DataFrame:
+    """The distinct keys of a bucket with their counts, cut at the range borders; one row per range that has any.
+
+    With checks, a second hash each, keys are told apart by all 128 bits.  Counts end at what their kind holds."""
+    if checks is None:
+        keys, counts = np.unique(keys, return_counts=True)
+    else:
+        order = np.lexsort((checks, keys))
+        keys, checks = keys[order], checks[order]
+        first = _first_of(keys, checks)
+        keys, checks, counts = keys[first], checks[first], np.diff(np.append(first, len(keys)))
     where = ((keys >> U64(32)) * U64(n_ranges)) >> U64(32)
     ranges, starts = np.unique(where, return_index=True)
     ends = np.append(starts[1:], len(keys))
-    counts = counts.astype(np.uint32)
+    counts = np.minimum(counts, np.iinfo(kind).max).astype(kind)
     return pd.DataFrame(
         {
             "range": ranges.astype(np.int32),
             "bucket": np.full(len(ranges), bucket, np.int32),
-            "keys": [keys[a:b].tobytes() for a, b in zip(starts, ends)],
+            "keys": [keys[a:b].tobytes() + (b"" if checks is None else checks[a:b].tobytes()) for a, b in zip(starts, ends)],
             "counts": [counts[a:b].tobytes() for a, b in zip(starts, ends)],
         }
     )
 
 
-def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    keys = np.frombuffer(b"".join(pdf["keys"]), U64)
-    counts = np.frombuffer(b"".join(pdf["counts"]), np.uint32).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(keys) else np.empty(0, np.int64)
-    sums = np.add.reduceat(counts[order], first) if len(first) else np.empty(0, np.int64)
-    total = np.empty(len(keys), np.int64)
-    total[order] = np.repeat(sums, np.diff(np.append(first, len(keys))))
-    out, at = [], 0
-    for bucket, blob in zip(pdf["bucket"], pdf["keys"]):
-        n = len(blob) // 8
-        part, sums = keys[at : at + n], total[at : at + n]
-        keep = sums > 1
-        if keep.any():
-            out.append((bucket, part[keep].tobytes(), np.minimum(sums[keep], 2**32 - 1).astype(np.uint32).tobytes()))
-        at += n
-    return pd.DataFrame(out, columns=["bucket", "keys", "counts"])
-
-
-def shared_keys(keys: DataFrame) -> DataFrame:
-    """keys: rows of key_rows.  For each bucket, its keys that occur more than once anywhere, with the total counts."""
-    return keys.groupBy("range").applyInPandas(_meet, SHARED)
-
-
-def received(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The keys and counts that came back to a bucket, sorted by key."""
-    keys = np.frombuffer(b"".join(pdf["keys"]), U64)
-    counts = np.frombuffer(b"".join(pdf["counts"]), np.uint32)
-    order = np.argsort(keys)
-    return keys[order], counts[order]
+def _first_of(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Where sorted (key, check) pairs begin anew."""
+    if not len(keys):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])))
+
+
+def shared_keys(keys: DataFrame, checked: bool = False, kind=COUNT) -> DataFrame:
+    """keys: rows of key_rows.  For each bucket, its keys that occur more than once anywhere, with the total counts (none if
+    only TWICE was asked for)."""
+
+    def halves(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+        both = np.frombuffer(blob, U64)
+        return (both[: len(both) // 2], both[len(both) // 2 :]) if checked else (both, both[:0])
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [halves(x) for x in pdf["keys"]]
+        keys = np.concatenate([p[0] for p in parts])
+        checks = np.concatenate([p[1] for p in parts])
+        counts = np.frombuffer(b"".join(pdf["counts"]), kind).astype(np.int64)
+        order = np.lexsort((checks, keys)) if checked else np.argsort(keys, kind="stable")
+        ordered = keys[order]
+        first = _first_of(ordered, checks[order] if checked else ordered)
+        sums = np.add.reduceat(counts[order], first) if len(first) else np.empty(0, np.int64)
+        total = np.empty(len(keys), np.int64)
+        total[order] = np.repeat(sums, np.diff(np.append(first, len(keys))))
+        out, at = [], 0
+        for bucket, (own, second) in zip(pdf["bucket"], parts):
+            sums = total[at : at + len(own)]
+            keep = sums > 1
+            if keep.any():
+                back = b"" if kind is TWICE else np.minimum(sums[keep], np.iinfo(kind).max).astype(kind).tobytes()
+                out.append((bucket, own[keep].tobytes() + (second[keep].tobytes() if checked else b""), back))
+            at += len(own)
+        return pd.DataFrame(out, columns=["bucket", "keys", "counts"])
+
+    return keys.groupBy("range").applyInPandas(meet, SHARED)
+
+
+def received(pdf: pd.DataFrame, checked: bool = False, kind=COUNT) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that came back to a bucket, sorted, with their checks or else their counts."""
+    both = [np.frombuffer(x, U64) for x in pdf["keys"]]
+    if checked:
+        keys = np.concatenate([x[: len(x) // 2] for x in both]) if both else np.empty(0, U64)
+        more = np.concatenate([x[len(x) // 2 :] for x in both]) if both else np.empty(0, U64)
+        order = np.lexsort((more, keys))
+    else:
+        keys = np.concatenate(both) if both else np.empty(0, U64)
+        more = np.frombuffer(b"".join(pdf["counts"]), kind)
+        order = np.argsort(keys)
+    return keys[order], more[order] if len(more) else more
+
+
+def member_of_pairs(x: np.ndarray, check: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Which pairs (x, check) are among the sorted pairs (keys, checks)."""
+    if not len(keys) or not len(x):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(keys, x)
+    at[at == len(keys)] = 0
+    found = (keys[at] == x) & (checks[at] == check)
+    twin = np.flatnonzero(~found & (keys[at] == x))  # another pair of the same key stands before it, if any
+    for k in twin.tolist():
+        j = int(at[k])
+        while j < len(keys) and keys[j] == x[k]:
+            found[k] |= bool(checks[j] == check[k])
+            j += 1
+    return found
 
 
 def widened(df: DataFrame, **more: T.DataType) -> T.StructType:

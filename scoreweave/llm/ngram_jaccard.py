@@ -17,8 +17,12 @@ step below is exact; each one only leaves out pairs that cannot link.
    |d(x, c) - d(y, c)| must not exceed the limit.  What is left is joined within the lists in blocks of size, with length and position filters,
    in the first list that holds both, and verified.
 
+Lists are keyed by a number of the set, not by an id, so that ids which repeat with other texts don't mix.  Components are found
+among distinct sets only; copies, however many share a text, join their set's component once at the end.
+
 Rows: null or empty texts have no shingle, form a component of their own and link with nothing.  Rows that repeat a
-doc_id count as linked.  A null doc_id gets a null component.  Extra columns are not touched.
+doc_id count as linked.  A null doc_id gets a null component.  Very long texts are handled whole, each in one bucket.  An empty
+table gives an empty result.  Extra columns are not touched, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ from . import common as C
 
 #: prefix: which of the tokens, by position, rarest first.
 FEATURES = "id string, n_shingles long, sig binary, singles int, tokens array<bigint>, prefix array<int>"
+#: How many of a set's earlier tokens a list keeps, to tell that a pair has met before.
+EARLIER = 32
 #: Marks the hash of a text of fewer words than a shingle (fixed value).
 SHORT = 0x5851F42D4C957F2D
 
@@ -74,7 +80,7 @@ def _features(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) ->
 
     def prefixes(key, pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [prefix_of(x, percent) for x in sets_of(pdf["body"], n)]
-        return C.key_rows(key[0], np.concatenate(parts) if parts else np.empty(0, C.U64), n_ranges)
+        return C.key_rows(key[0], np.concatenate(parts) if parts else np.empty(0, C.U64), n_ranges, kind=C.TWICE)
 
     def count(key, pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         repeated, _ = C.received(back)
@@ -104,7 +110,7 @@ def _features(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) ->
         frame = pd.DataFrame(out, columns=["id", "n_shingles", "sig", "singles", "tokens", "prefix"])
         return frame.astype({"singles": "Int32"})
 
-    repeated = C.shared_keys(by.applyInPandas(prefixes, C.KEYS))
+    repeated = C.shared_keys(by.applyInPandas(prefixes, C.KEYS), kind=C.TWICE)
     counted = C.shared_keys(by.cogroup(repeated.groupBy("bucket")).applyInPandas(count, C.KEYS))
     done = by.cogroup(counted.groupBy("bucket")).applyInPandas(order, FEATURES)
     return done.withColumn("id", F.col("id").cast(docs.schema[doc_id].dataType))
@@ -166,7 +172,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     rest = rest.join(label_of, "label", "left").withColumn("label", F.coalesce("over", "label")).drop("over")
     mixed = rest.groupBy("token").agg(F.min("label").alias("one"), F.max("label").alias("two")).where("one <> two").select("token")
     rest = rest.join(mixed, "token").join(known, ["rep", "centre"], "left").withColumn("far", F.when(F.col("rep") == F.col("centre"), 0.0).otherwise(F.col("far")))
-    earlier = F.collect_list("token").over(Window.partitionBy("rep").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = F.collect_list("token").over(Window.partitionBy("rep").orderBy("at").rowsBetween(-EARLIER, -1))
     rest = C.materialize(rest.select("token", "rep", "n", "singles", "at", earlier.alias("earlier"), "label", "centre", "far", "common", F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).alias("block")), "rest")
 
     # What two sets can share: what each shares with the centre at most, and of the rest what is not one set's alone.
@@ -188,7 +194,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         & (F.col("far_a").isNull() | F.col("far_b").isNull() | (F.abs(F.col("far_a") - F.col("far_b")) <= limit))
         & (F.col("a") != F.col("centre"))
         & (F.col("b") != F.col("centre"))
-        & ~F.arrays_overlap("earlier_a", "earlier_b"),  # each pair once: in the first list that holds both
+        & ~F.arrays_overlap("earlier_a", "earlier_b"),  # a pair meets in the first list that holds both, and seldom again
     )
     more = _verified(pairs.select("a", "b").distinct(), sets, percent)
     return tested.where("linked").select("a", "b").union(more.where("linked").select("a", "b"))
@@ -198,11 +204,19 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """(doc_id, n_shingles, component_id) for every row of docs; component_id is the smallest doc_id reachable by links."""
     features = C.materialize(_features(docs, doc_id, text, n, percent), "features")
     classes = features.where("sig is not null and id is not null")
-    sets = C.materialize(classes.groupBy("sig").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("singles").alias("singles"), F.first("tokens").alias("tokens"), F.first("prefix").alias("prefix")), "sets")
-    links = C.materialize(_links(sets, percent), "edges")
-    same = classes.select("id", "sig").join(sets.select("sig", "rep"), "sig").where("id <> rep").select("id", "rep")
-    found = components(links.union(same))
-    return features.select("id", "n_shingles").join(found, "id", "left").select(F.col("id").alias("doc_id"), F.col("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    sets = classes.groupBy("sig").agg(F.min("id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("singles").alias("singles"), F.first("tokens").alias("tokens"), F.first("prefix").alias("prefix"))
+    sets = C.materialize(sets.withColumn("rep", F.monotonically_increasing_id()), "sets")  # written once, so numbers are fixed
+    links = C.materialize(_links(sets.drop("sig", "first_id"), percent), "edges")
+    member = C.materialize(classes.select("id", "sig").join(sets.select("sig", "rep"), "sig").select("id", "rep"), "members")
+    twin = member.groupBy("id").agg(F.min("rep").alias("one"), F.max("rep").alias("two")).where("one <> two")  # ids with several texts
+    found = components(links.union(member.join(twin.select("id", "one"), "id").where("rep <> one").select("rep", "one")))
+    labelled = sets.select("rep", "first_id").join(found, F.col("rep") == F.col("id"), "left").select("rep", "first_id", F.coalesce("component", "rep").alias("component"))
+    least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    labelled = labelled.join(least, "component").select("rep", "component_id")
+    by_id = member.join(labelled, "rep").groupBy("id").agg(F.min("component_id").alias("component_id"))
+    rows = features.select("id", "n_shingles")
+    known = rows.where("id is not null").join(by_id, "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    return known.union(rows.where("id is null").select("id", "n_shingles", "id"))
 
 
 def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -9,9 +9,12 @@ modulo PERIOD.  An anchor is ANCHOR = 15 words long and d + ANCHOR <= WINDOW, so
 2. *extension*: each 35-word window that holds a repeated anchor is hashed whole; these hashes make the same trip;
 3. the words under a repeated window go.
 
-Windows are judged on the input.  Hashes have 64 bits: two different windows are confused with a chance of 2**-64
-a pair.  Rows are independent of their ids: rows that repeat a doc_id (or have none) are documents of their own, so an
-exact copy loses its text as any repeat does.  Null text has no words.  Extra columns are not touched.
+Windows are judged on the input.  Anchors, which only nominate windows, have 64-bit hashes; windows are told apart by 128
+bits of two independent hashes of their words, so that different ones are confused with a chance of 2**-128 a pair.
+
+Rows are independent of their ids: rows that repeat a doc_id (or have none) are documents of their own, so an exact copy loses
+its text as any repeat does.  Null and empty texts have no words.  Very long texts are handled whole, each in one bucket.  An
+empty table gives an empty result.  Extra columns are not touched, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WINDOW, ANCHOR, PERIOD = 35, 15, 21
+#: Tells the second hash of a word from the first (fixed value).
+OTHER = 0xD6E8FEB86659FD93
 #: A perfect difference set modulo 21 (fixed values).
 COVER = (3, 6, 7, 12, 14)
 
@@ -41,6 +46,10 @@ class Texts:
         self.doc = np.repeat(np.arange(len(lens)), lens)
         self.h = np.concatenate([C.hash_words(w) for w in self.words]) if len(lens) else np.empty(0, C.U64)
 
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each window: of the words' hashes, and of these mixed otherwise."""
+        return C.window_hashes(self.h, WINDOW), C.window_hashes(C.finalize(self.h ^ C.U64(OTHER)), WINDOW)
+
     def inside(self, k: int) -> np.ndarray:
         """Which window starts have their k words in one document."""
         return self.doc[: max(0, len(self.doc) - k + 1)] == self.doc[k - 1 :]
@@ -55,7 +64,7 @@ class Texts:
         return where, C.window_hashes(self.h, ANCHOR)[where]
 
     def candidates(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows that hold a repeated anchor."""
+        """Both hashes of the windows that hold a repeated anchor."""
         where, hashes = self.anchors()
         where = where[C.member(hashes, repeated)]
         use = self.inside(WINDOW)
@@ -64,14 +73,15 @@ class Texts:
         np.add.at(mark, np.clip(where - reach, 0, len(use)), 1)
         np.add.at(mark, np.clip(where + 1, 0, len(use)), -1)
         starts = np.flatnonzero(use & (np.cumsum(mark)[:-1] > 0))
-        return starts, C.window_hashes(self.h, WINDOW)[starts]
+        one, two = self.windows()
+        return one[starts], two[starts]
 
-    def removed(self, repeated: np.ndarray) -> np.ndarray:
+    def removed(self, repeated: np.ndarray, checks: np.ndarray) -> np.ndarray:
         """Which words lie under a repeated window."""
         n = len(self.doc)
         if not len(repeated) or n < WINDOW:
             return np.zeros(n, bool)
-        hit = np.flatnonzero(self.inside(WINDOW) & C.member(C.window_hashes(self.h, WINDOW), repeated))
+        hit = np.flatnonzero(self.inside(WINDOW) & C.member_of_pairs(*self.windows(), repeated, checks))
         mark = np.zeros(n + 1, np.int32)
         mark[hit] += 1
         np.add.at(mark, hit + WINDOW, -1)
@@ -86,23 +96,23 @@ def _apply(docs: DataFrame, doc_id: str, text: str, finish: Callable, schema: st
     names = [f"kept_{k}" for k in range(len(keep))]
 
     def anchors(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return C.key_rows(key[0], Texts(pdf["body"]).anchors()[1], n_ranges)
+        return C.key_rows(key[0], Texts(pdf["body"]).anchors()[1], n_ranges, kind=C.TWICE)
 
     def windows(key, pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         repeated, _ = C.received(back)
-        hashes = Texts(pdf["body"]).candidates(repeated)[1] if len(repeated) else np.empty(0, C.U64)
-        return C.key_rows(key[0], hashes, n_ranges)
+        hashes, checks = Texts(pdf["body"]).candidates(repeated) if len(repeated) else (np.empty(0, C.U64), np.empty(0, C.U64))
+        return C.key_rows(key[0], hashes, n_ranges, checks, C.TWICE)
 
     def end(key, pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         texts = Texts(pdf["body"])
-        gone = texts.removed(C.received(back)[0])
+        gone = texts.removed(*C.received(back, checked=True))
         out = [finish(body, words, gone[a:b]) for body, words, a, b in zip(pdf["body"], texts.words, texts.starts, texts.starts[1:])]
         done = pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")], index=pdf.index)
         return pd.concat([pdf[["id", *names]], done], axis=1)
 
     by = dealt.groupBy("bucket")
-    first = C.shared_keys(by.applyInPandas(anchors, C.KEYS))
-    second = C.shared_keys(by.cogroup(first.groupBy("bucket")).applyInPandas(windows, C.KEYS))
+    first = C.shared_keys(by.applyInPandas(anchors, C.KEYS), kind=C.TWICE)
+    second = C.shared_keys(by.cogroup(first.groupBy("bucket")).applyInPandas(windows, C.KEYS), checked=True, kind=C.TWICE)
     kept = "".join(f"{x} string, " for x in names)
     done = by.cogroup(second.groupBy("bucket")).applyInPandas(end, f"id string, {kept}{schema}")
     back = [F.col(x).cast(docs.schema[c].dataType).alias(c) for x, c in zip(names, keep)]

@@ -98,7 +98,7 @@ class BlockMax:
         place[self.order] = np.arange(len(vectors), dtype=np.int32)
         full = np.zeros((self.blocks * BLOCK, len(often)), np.float32)
         full[: len(vectors)] = held[self.order]
-        self.held = np.ascontiguousarray(full.reshape(self.blocks, BLOCK, -1).transpose(0, 2, 1))
+        self.held = np.ascontiguousarray(full.reshape(self.blocks, BLOCK, len(often)).transpose(0, 2, 1))
         self.maxima = np.ascontiguousarray(self.held.max(axis=2).T)
         self.groups = np.full(self.blocks * BLOCK, -1)
         self.groups[: len(vectors)] = groups[self.order]
