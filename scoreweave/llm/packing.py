@@ -186,7 +186,9 @@ def between_parts(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, in
     return runs
 
 
-#: kind 0: a piece with its sequence; 1: a waiting piece; 2: a free slot.
+#: Slots and pieces of different parts meet by broadcast as long as they are counted to be so few; beyond that, in a shuffle.
+FEW = 50_000
+#: kind 0: a piece with its sequence; 1: a waiting piece; 2: a free slot; 3: the part's counts of both (in key and length).
 SWEPT = "kind int, key long, length long, sequence long, slot int, part int, rank long"
 
 
@@ -205,6 +207,7 @@ def _swept(events: DataFrame, n_parts: int) -> DataFrame:
         done, waiting = np.flatnonzero(partner >= 0), np.flatnonzero(~is_gap & (partner < 0))
         for kind, at, to in ((0, done, partner[done]), (1, waiting, waiting), (2, free, free)):
             yield pd.DataFrame({"kind": np.full(len(at), kind, np.int32), "key": key[at], "length": size[at], "sequence": key[to], "slot": slot[to].astype(np.int32), "part": np.full(len(at), part, np.int32), "rank": np.arange(len(at))})
+        yield pd.DataFrame({"kind": [3], "key": [len(waiting)], "length": [len(free)], "sequence": [0], "slot": [0], "part": [part], "rank": [0]})
 
     return events.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys).mapInPandas(match, SWEPT)
 
@@ -232,7 +235,7 @@ def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         offers = offers.select(F.floor(F.col("gap") / F.col("n")).cast("long").alias("size"), F.lit(0).alias("is_piece"), F.col("sequence").alias("key"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("slot"))
         events = offers.union(waiting.select("length", F.lit(1), "key", F.lit(0)))
         swept = C.materialize(_swept(events, 1 + (2 * n + n_gaps) // PART), "swept")
-        counts = swept.where("kind > 0").groupBy("part").agg(F.count_if(F.col("kind") == 1), F.count_if(F.col("kind") == 2)).collect()  # two numbers per part
+        counts = swept.where("kind = 3").select("part", "key", "length").collect()  # two numbers per part
         runs = between_parts([tuple(r) for r in counts])
         # At most two runs per part.
         table = F.broadcast(spark.createDataFrame(runs, "of int, first long, n long, other int, last long, number long"))
@@ -242,7 +245,7 @@ def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         free = free.select("sequence", "slot", (F.col("number") + F.col("last") - F.col("rank")).alias("match"))
         own = swept.where("kind = 0").select("key", "length", "sequence", "slot")
         if runs:
-            own = own.union(pieces.where("match is not null").join(free, "match").select("key", "length", "sequence", "slot"))
+            own = own.union(pieces.where("match is not null").join(F.broadcast(free) if sum(r[2] for r in runs) <= FEW else free, "match").select("key", "length", "sequence", "slot"))
         placed.append(C.materialize(own.withColumn("turn", F.lit(len(placed))), "placed"))
         taken = gaps.union(placed[-1].select("sequence", -F.col("length"))).groupBy("sequence").agg(F.sum("gap").alias("gap"))
         gaps = C.materialize(taken.where("gap > 0"), "gaps")

@@ -7,7 +7,7 @@ uint32 ARGB.  Where one group of codes without a colour cache varies in green on
 images are read symbol by symbol.
 
 The encoder writes grey samples: subtract-green; a palette, packed, for up to 16 values; the predictor (left or top) where it
-lowers the entropy; back-references to the last place with the same eight samples; prefix codes of the samples, lengths and
+lowers the entropy; back-references to the last place with the same eight samples that has the next four, too; prefix codes of the samples, lengths and
 distances that occur.  The colour cache and cross-colour cannot pay for grey samples: a cache code only splits the share of
 the sample it stands for, and red and blue are constant after subtract-green.
 """
@@ -559,16 +559,19 @@ def back_references(samples: np.ndarray) -> list[tuple[int, int, int]]:
     if n < 2:
         return []
     data = samples.tobytes()
-    keys = np.ndarray((n,), "<u8", data, 0, (1,)) * np.uint64(0x9E3779B97F4A7C15) & ~np.uint64(2**32 - 1)
+    eight = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,)).copy()
+    keys = eight[:n] * np.uint64(0x9E3779B97F4A7C15) & ~np.uint64(2**32 - 1)
     ordered = np.sort(keys | np.arange(n, dtype=np.uint64))  # by a hash of the samples, then by place
     order = (ordered & np.uint64(2**32 - 1)).astype(np.int64)
     same = np.flatnonzero(ordered[1:] >> np.uint64(32) == ordered[:-1] >> np.uint64(32))
+    starts, sources = order[same + 1], order[same]
+    equal = (eight[starts] == eight[sources]) & (eight[starts + REACH - 8] == eight[sources + REACH - 8])
     before = np.full(n, -1)
-    before[order[same + 1]] = order[same]
-    starts = np.sort(order[same + 1])
+    before[starts[equal]] = sources[equal]
+    starts = np.flatnonzero(before >= 0)
     found, free, starts, sources = [], 0, starts.tolist(), before[starts].tolist()
     for i, j in zip(starts, sources):
-        if i < free or data[i : i + REACH] != data[j : j + REACH]:
+        if i < free:
             continue
         size, most = REACH, min(4096, len(data) - i)
         step = REACH
@@ -583,8 +586,8 @@ def back_references(samples: np.ndarray) -> list[tuple[int, int, int]]:
     return found
 
 
-#: Samples that a back-reference has at least.
-REACH = 8
+#: Samples that a back-reference has at least (8 to 16).
+REACH = 12
 
 
 def _entropy(values: np.ndarray) -> float:
