@@ -1,19 +1,23 @@
 """License scan: an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-A block is a line.  A template matches a block that contains at least PERCENT of the template's distinct words.
+A block is a window of BLOCK words, and windows overlap by half, so that a notice may wrap over lines: every run of BLOCK / 2
+words of the whole text lies in a window.  A template matches a window that contains at least PERCENT of the template's
+distinct words, or all of them if the template has fewer than SHORT.  A template whose words are a part of another matching
+template's is left out there: `licensed under CC BY-NC 4.0` is not `licensed under CC BY 4.0`.
 
 1. The templates' words are counted over all documents and ordered rarest first (one global order).
-2. *Prefix filter*: a block that misses at most m - t of a template's m words (t: the least overlap) has one of its m - t + 1
-   rarest words.  Documents without any such word are not looked at again; lines meet templates only through them.
-3. *Length filter*: the line has at least t of the vocabulary.  *Positional filter*: with the shared word at position i of the
-   template and j of the line (both in global order), the overlap is at most min(i, j) + 1 + min of what follows.
-4. What is left is verified; every block over the threshold is found.
+2. *Prefix filter*: a window that misses at most m - t of a template's m words (t: the least overlap) has one of its m - t + 1
+   rarest words.  Documents without any such word are not looked at again; windows meet templates only through them.
+3. *Length filter*: the window has at least t of the vocabulary.  *Positional filter*: with the shared word at position i of the
+   template and j of the window (both in global order), the overlap is at most min(i, j) + 1 + min of what follows.
+4. What is left is verified; every window over the threshold is found.
 
 Beside the blocks, fixed phrases are located by their words in the whole text (the base labels).  The templates are a
 parameter of the operator: a list, not a table that grows with the corpus, so its prefix words are broadcast.
 
 Rows: null text is empty: no words, no labels, score 0.  Rows are told apart by id and text, so rows that repeat an id get
-their own result each.  Without any label: empty strings, and null positions without a phrase.  Extra columns are not touched.
+their own result each.  Without any label: empty strings, and null positions without a phrase.  Very long texts are many
+windows, looked at in one row.  An empty table gives an empty result.  Extra columns are not touched, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-PERCENT = 80
+#: Words of a window; share of a template's words; templates of fewer words must be held whole.
+BLOCK, PERCENT, SHORT = 64, 80, 12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of lower-cased text (fixed pattern).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -35,7 +40,7 @@ RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Templates: (label, words as they stand in notices).
 TEMPLATES = (
-    ("gpl", "this work is licensed under the GNU General Public License"),
+    ("gpl", "licensed under the GNU General Public License"),
     ("gpl", "you can redistribute it and/or modify it under the terms of the GNU General Public License"),
     ("lgpl", "licensed under the GNU Lesser General Public License"),
     ("agpl", "licensed under the GNU Affero General Public License"),
@@ -57,7 +62,13 @@ def words_of(template: str) -> list[str]:
 
 
 def least(m: int, percent: int) -> int:
-    return -(-m * percent // 100)
+    return m if m < SHORT else -(-m * percent // 100)
+
+
+def wider(templates) -> list[list[int]]:
+    """For each template, those whose words are all of its words and more."""
+    sets = [set(words_of(t)) for _, t in templates]
+    return [[k for k, other in enumerate(sets) if own < other] for own in sets]
 
 
 def lowered(text):
@@ -78,7 +89,7 @@ def vocabulary_order(docs: DataFrame, text: str, templates) -> list[str]:
 
 
 def block_matches(docs: DataFrame, doc_id: str, text: str, templates=TEMPLATES, percent: int = PERCENT) -> DataFrame:
-    """(id, same, line, label, containment): each line that contains a template, with the template's label; `same` is the
+    """(id, same, block, label, containment): each window that contains a template, with the template's label; `same` is the
     hash of the text."""
     order = vocabulary_order(docs, text, templates)
     rank = {w: k for k, w in enumerate(order)}
@@ -89,8 +100,12 @@ def block_matches(docs: DataFrame, doc_id: str, text: str, templates=TEMPLATES,
     may = F.lit(False)
     for w in first:
         may = may | F.contains(low, F.lit(w))
-    lines = docs.where(may).select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("same"), F.posexplode(F.split(lowered(F.col(text)), "\n")).alias("line", "block"))
-    held = F.array_intersect(F.lit(order), words(F.col("block")))
+    all_words, step = words(lowered(F.col(text))), BLOCK // 2
+    lines = docs.where(may).select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("same"), all_words.alias("all"))
+    last = F.greatest(F.lit(0), F.ceil((F.size("all") - BLOCK) / step)).cast("int")
+    windows = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("all", k * step + 1, BLOCK))
+    lines = lines.select("id", "same", F.posexplode(windows).alias("line", "block"))
+    held = F.array_intersect(F.lit(order), F.col("block"))
     lines = lines.select("id", "same", "line", held.alias("held")).where(F.size("held") >= min(p[4] for p in prefix))
     spark = docs.sparkSession
     lists = F.broadcast(spark.createDataFrame(prefix, "word string, template int, i int, m int, t int"))  # a few words of each template
@@ -102,7 +117,10 @@ def block_matches(docs: DataFrame, doc_id: str, text: str, templates=TEMPLATES,
     labels = F.create_map(*[x for k, label, _ in known for x in (F.lit(k), F.lit(label))])
     shared = F.array_intersect(F.col("held"), wholes[F.col("template")])
     met = met.withColumn("shared", shared).where((F.element_at("shared", 1) == F.col("word")) & (F.size("shared") >= F.col("t")))
-    return met.select("id", "same", "line", labels[F.col("template")].alias("label"), (F.size("shared") / F.col("m")).alias("containment"))
+    found = met.groupBy("id", "same", "line").agg(F.collect_set(F.struct("template", (F.size("shared") / F.col("m")).alias("containment"))).alias("hits"))
+    more = F.create_map(*[x for k, ws in enumerate(wider(templates)) for x in (F.lit(k), F.lit(ws) if ws else F.array().cast("array<int>"))])
+    best = F.filter("hits", lambda h: ~F.exists("hits", lambda o: F.array_contains(more[h["template"]], o["template"])))
+    return found.select("id", "same", F.col("line").alias("block"), F.explode(best).alias("hit")).select("id", "same", "block", labels[F.col("hit.template")].alias("label"), "hit.containment")
 
 
 def phrase_places(all_words, phrase: str):
@@ -121,7 +139,7 @@ def phrase_places(all_words, phrase: str):
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, phrases=PHRASES, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks) for every row of docs."""
     matches = block_matches(docs, doc_id, text, templates, percent)
-    found = matches.groupBy(F.col("id").alias("its_id"), F.col("same").alias("its_same")).agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"), F.count_distinct("line").alias("n_blocks"))
+    found = matches.groupBy(F.col("id").alias("its_id"), F.col("same").alias("its_same")).agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"), F.count_distinct("block").alias("n_blocks"))
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     may = F.lit(False)
     for phrase in phrases:  # a document with the phrase has all of its words somewhere
@@ -160,7 +178,8 @@ def op1_license_scan(spark, sf_dir: str) -> DataFrame:
 
 def oracle(templates=TEMPLATES, phrases=PHRASES, percent: int = PERCENT) -> str:
     quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-    rows = ", ".join(f"('{label}', {quoted(words_of(t))}, {least(len(words_of(t)), percent)})" for label, t in templates)
+    more = wider(templates)
+    rows = ", ".join(f"({k}, '{label}', {quoted(words_of(t))}, {least(len(words_of(t)), percent)}, {more[k]}::INT[])" for k, (label, t) in enumerate(templates))
     places = ", ".join(
         "list_filter(range(0, len(w)), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{p}'" for k, p in enumerate(phrase.split())) + f") AS at_{n}"
         for n, phrase in enumerate(phrases)
@@ -169,12 +188,13 @@ def oracle(templates=TEMPLATES, phrases=PHRASES, percent: int = PERCENT) -> str:
     own = " || ".join(f"(CASE WHEN len(at_{n}) > 0 THEN ['{label}'] ELSE [] END)" for n, label in enumerate(phrases.values()))
     return rf"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
-templates AS (SELECT * FROM (VALUES {rows}) AS t(label, ws, least)),
-blocks AS (SELECT r, unnest(string_split(low, chr(10))) AS block, generate_subscripts(string_split(low, chr(10)), 1) AS line FROM docs),
-hits AS (SELECT r, line, label, len(list_intersect(ws, regexp_extract_all(block, '{WORD}'))) / len(ws) AS containment
-  FROM blocks, templates WHERE len(list_intersect(ws, regexp_extract_all(block, '{WORD}'))) >= least),
-found AS (SELECT r, list(DISTINCT label) AS found, max(containment) AS best, count(DISTINCT line) AS n_blocks FROM hits GROUP BY r),
+templates AS (SELECT * FROM (VALUES {rows}) AS t(k, label, ws, least, more)),
 ws AS (SELECT r, doc_id, regexp_extract_all(low, '{WORD}') AS w FROM docs),
+numbered AS (SELECT r, w, unnest(range(0, 1 + CAST(greatest(0, ceil((len(w) - {BLOCK}) / {BLOCK // 2})) AS BIGINT))) AS line FROM ws),
+blocks AS (SELECT r, line, w[line * {BLOCK // 2} + 1 : line * {BLOCK // 2} + {BLOCK}] AS block FROM numbered),
+all_hits AS (SELECT r, line, k, label, more, len(list_intersect(ws, block)) / len(ws) AS containment FROM blocks, templates WHERE len(list_intersect(ws, block)) >= least),
+hits AS (SELECT * FROM all_hits h WHERE NOT EXISTS (SELECT 1 FROM all_hits o WHERE o.r = h.r AND o.line = h.line AND list_contains(h.more, o.k))),
+found AS (SELECT r, list(DISTINCT label) AS found, max(containment) AS best, count(DISTINCT line) AS n_blocks FROM hits GROUP BY r),
 spots AS (SELECT r, doc_id, len(w) AS n_words, {places} FROM ws),
 base AS (SELECT r, doc_id, n_words, {flat} AS places, {own} AS own FROM spots)
 SELECT doc_id, n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,

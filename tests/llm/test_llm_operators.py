@@ -619,6 +619,25 @@ def test_licenses_of_odd_rows(odd, none):
     assert license_scan.scan(odd).count() == odd.count() and license_scan.scan(none).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("you can redistribute it and/or modify\nit under the terms of the GNU General\nPublic License", "gpl"),
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted", "bsd"),
+        ("This work is licensed under the GNU General Public License, version 3.", "gpl"),
+        ("Licensed under the GNU Lesser General\nPublic License", "lgpl"),
+        ("Licensed under the GNU Affero General Public License", "agpl"),
+        ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc"),
+        ("Licensed under CC BY 4.0", "cc-by"),
+        ("word " * 1000 + "Released under\nthe MIT License" + " word" * 1000, "mit"),
+        ("the license of the public general is under no one", ""),
+    ],
+)
+def test_license_labels(spark, text, labels):
+    r = license_scan.scan(spark.createDataFrame([(1, text, 1, "x")], "doc_id long, text string, line int, block string")).first()
+    assert r["labels"] == labels and (r["score"] > 0) == bool(labels)
+
+
 # ---------------------------------------------------------------- queries
 
 
