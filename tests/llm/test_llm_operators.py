@@ -602,6 +602,36 @@ def test_urls(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_urls_by_brute_force(spark):
+    """Host, path and rule of the whole query, and its verdicts where a rule decides."""
+
+    def expect(url):
+        u = url or ""
+        at = u.find("://")
+        if at < 0:
+            return "", "", None
+        rest = u[at + 3 :]
+        end = min((k for k in map(rest.find, "/?#") if k >= 0), default=len(rest))
+        host, tail = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:end]), rest[end:]
+        path = tail[: min((k for k in map(tail.find, "?#") if k >= 0), default=len(tail))]
+        fits = [r for r in url_filter.RULES for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        return host, path, max(fits, key=len, default=None)
+
+    got = url_filter.op2_url_filter(spark, SF).collect()
+    urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").collect()}
+    assert len(got) == len(urls)
+    for r in got:
+        assert (r["host"], r["path"], r["rule"]) == expect(urls[r["page_id"]])
+        assert r["verdict"] == url_filter.RULES[r["rule"]] if r["rule"] else r["verdict"] in ("allow", "block")
+
+
+def test_urls_with_clashing_columns(spark):
+    rows = [(k, f"http://h{k}.{'net' if k % 2 else 'org/fr'}/" + "x" * (k * 900), "mine", 1.0, "s", 2.0, "gone") for k in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, features string, length double, suffix string, labels double, host string")
+    got = url_filter.judge(df).collect()
+    assert len(got) == 30 and all((r["features"], r["length"], r["suffix"], r["labels"]) == ("mine", 1.0, "s", 2.0) and r["host"] != "gone" for r in got)
+
+
 def test_url_trees_learn(spark):
     """Held-out accuracy on URLs whose label follows from their shape."""
     t = spark.range(3000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("http://a.shop/x/"), F.repeat(F.lit("7"), (F.col("id") % 9 + 6).cast("int")))).otherwise(F.concat(F.lit("http://b.shop/about-"), F.col("id") % 9)).alias("url"))
