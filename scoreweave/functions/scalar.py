@@ -27,11 +27,11 @@ def number(c: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def clean_text(c: Column, peel: int = 4) -> Column:
-    """Trimmed, without matching outer quotes (peeled up to `peel` times), null tokens as null."""
+def clean_text(c: Column) -> Column:
+    """Trimmed, without matching outer quotes (however deep), null tokens as null."""
     out = F.trim(c.cast("string"))
-    for _ in range(peel):
-        out = F.trim(F.regexp_replace(out, r"(?s)^([\"'])(.*)\1$", "$2"))
+    deep = F.length(F.regexp_extract(out, r"^[\"'\s]+", 0))  # no more pairs than quotes at the start
+    out = F.aggregate(F.sequence(F.lit(0), deep), out, lambda text, _: F.trim(F.regexp_replace(text, r"(?s)^([\"'])(.*)\1$", "$2")))
     return F.when(~F.lower(out).isin(*NULL_TOKENS), out)
 
 

@@ -85,6 +85,7 @@ class Bins:
     by_var: dict[str, list[Bin]]
     kinds: dict[str, str]
     first: dict[str, list[Bin]] = field(default=None)
+    too_many: list[str] = field(default_factory=list)  # factors with more categories than the limit
 
     def __post_init__(self) -> None:
         self.first = self.first or {v: list(b) for v, b in self.by_var.items()}
@@ -299,7 +300,8 @@ def get_bins(df: DataFrame, target: str, variables: list[str], config: P.Split =
         counts = df.where(F.col(target).isNotNull()).groupBy(F.col(f"`{v}`").alias("value")).agg(F.count("*").alias("n"), F.sum(F.col(target).cast("long")).alias("bads")).collect()  # at most max_categories rows
         one = [Bin(r["n"], r["bads"], (), (r["value"],)) for r in sorted((r for r in counts if r["value"] is not None), key=lambda r: str(r["value"]))]
         by_var[v] = _grouped(one, config.max_bins) + [Bin(r["n"], r["bads"], missing=True) for r in counts if r["value"] is None]
-    return Bins({v: by_var[v] for v in variables if by_var.get(v)}, {v: kinds[v] for v in variables if by_var.get(v)})
+    too_many = [v for v in variables if kinds[v] == "factor" and distinct[v] > max_categories]
+    return Bins({v: by_var[v] for v in variables if by_var.get(v)}, {v: kinds[v] for v in variables if by_var.get(v)}, too_many=too_many)
 
 
 def _grouped(one: list[Bin], most: int) -> list[Bin]:

@@ -34,17 +34,49 @@ def histogram(df: DataFrame, actual: str, score: str, digits: int | None = None)
     return kept.groupBy((F.bround(p, digits) if digits is not None else p).alias("p")).agg(F.count("*").alias("n"), F.sum(F.col(actual).cast("long")).alias("events"))
 
 
+#: Parts of a running sum.
+PARTS = 64
+
+
+def running(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """df with running sums `{c}_in` from the highest key down and totals `{c}_all`; equal keys must be one row.
+
+    Rows are dealt into PARTS by approximate quantiles of the key and summed within their part; what lies in higher parts is
+    added from PARTS sums, so no window spans all rows."""
+    edges = sorted(set(df.select(F.col(key).cast("double").alias(key)).approxQuantile(key, [k / PARTS for k in range(1, PARTS)], 0.002)))
+    t = df.withColumn("_part", bucket(F.col(key).cast("double"), edges, right=False))
+    sums = t.groupBy("_part").agg(*(F.sum(c).alias(f"_{c}") for c in columns))  # at most PARTS rows
+    above = Window.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = [F.coalesce(F.sum(f"_{c}").over(above), F.lit(0)).alias(f"_{c}_ahead") for c in columns]
+    sums = sums.select("_part", *ahead, *(F.sum(f"_{c}").over(whole()).alias(f"{c}_all") for c in columns))
+    own = Window.partitionBy("_part").orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = t.join(F.broadcast(sums), "_part")
+    return found.withColumns({f"{c}_in": F.col(f"_{c}_ahead") + F.sum(c).over(own) for c in columns}).drop("_part", *(f"_{c}_ahead" for c in columns))
+
+
 def cumulated(hist: DataFrame) -> DataFrame:
     """hist with running rows and events from the highest score down, and totals."""
-    down = Window.orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return hist.withColumns(
-        {
-            "rows_in": F.sum("n").over(down),
-            "tp": F.sum("events").over(down),
-            "rows": F.sum("n").over(whole()),
-            "pos": F.sum("events").over(whole()),
-        }
-    ).withColumns({"fp": F.col("rows_in") - F.col("tp"), "neg": F.col("rows") - F.col("pos")})
+    t = running(hist, "p", ["n", "events"])
+    t = t.select("p", "n", "events", F.col("n_in").alias("rows_in"), F.col("events_in").alias("tp"), F.col("n_all").alias("rows"), F.col("events_all").alias("pos"))
+    return t.withColumns({"fp": F.col("rows_in") - F.col("tp"), "neg": F.col("rows") - F.col("pos")})
+
+
+def precision_recall(hist: DataFrame) -> DataFrame:
+    """(p, precision, recall): the curve's points."""
+    return cumulated(hist).select("p", (F.col("tp") / F.col("rows_in")).alias("precision"), (F.col("tp") / F.nullif("pos", F.lit(0))).alias("recall"))
+
+
+def ks_curve(hist: DataFrame) -> DataFrame:
+    """(p, event_share, non_event_share, distance): the cumulative shares whose greatest distance is K-S."""
+    tpr, fpr = F.col("tp") / F.nullif("pos", F.lit(0)), F.col("fp") / F.nullif("neg", F.lit(0))
+    return cumulated(hist).select("p", tpr.alias("event_share"), fpr.alias("non_event_share"), (tpr - fpr).alias("distance"))
+
+
+def score_distribution(df: DataFrame, actual: str, score: str, bins: int = 20) -> DataFrame:
+    """(bin, n, events, share): rows and events per equal-width bin of a probability, the last bin closed."""
+    b = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
+    t = df.where(F.col(actual).isNotNull() & F.col(score).isNotNull()).groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.sum(F.col(actual).cast("long")).alias("events"))
+    return t.withColumn("share", F.bround(F.col("n") / F.sum("n").over(whole()), 6))  # at most `bins` rows
 
 
 def roc(hist: DataFrame) -> DataFrame:
@@ -114,13 +146,17 @@ def row_deciles(df: DataFrame, score: str, groups: int = 10, ties: list[str] = (
 
     The positions come from the score histogram: a score's rows share the run of positions that the histogram gives them and are
     numbered within it, so no window spans all rows."""
-    hist = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("_p")).count()
-    down = Window.orderBy(F.col("_p").desc())
-    ahead = hist.select("_p", F.coalesce(F.sum("count").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"), F.sum("count").over(whole()).alias("_rows"))
+    at = positions(df, score, ties)
+    decile = F.greatest(F.lit(1), F.ceil(groups * (F.col("_at") - 1) / F.greatest(F.col("_rows") - 1, F.lit(1)))).cast("int")
+    return at.withColumn("decile", decile).drop("_at", "_rows")
+
+
+def positions(df: DataFrame, score: str, ties: list[str] = ()) -> DataFrame:
+    """df without null scores, with _at (1: the highest score; ties in order of `ties`) and _rows."""
+    hist = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("_p")).agg(F.count("*").alias("_n"))
+    ahead = running(hist, "_p", ["_n"]).select("_p", (F.col("_n_in") - F.col("_n")).alias("_ahead"), F.col("_n_all").alias("_rows"))
     own = F.row_number().over(Window.partitionBy(score).orderBy(*(ties or [F.lit(0)])))
-    at = F.col("_ahead") + own
-    decile = F.greatest(F.lit(1), F.ceil(groups * (at - 1) / F.greatest(F.col("_rows") - 1, F.lit(1)))).cast("int")
-    return df.join(ahead, F.col(score) == F.col("_p")).withColumn("decile", decile).drop("_p", "_ahead", "_rows")
+    return df.join(ahead, F.col(score) == F.col("_p")).withColumn("_at", F.col("_ahead") + own).drop("_p", "_ahead")
 
 
 def gains(df: DataFrame, actual: str, score: str, groups: int = 10, ties: list[str] = ()) -> DataFrame:
@@ -167,17 +203,14 @@ def calibration_error(df: DataFrame, actual: str, score: str, bins: int = 10) ->
 
 
 def precision_at(df: DataFrame, actual: str, score: str, shares: tuple[float, ...] = (0.1, 0.2), ties: list[str] = ()) -> DataFrame:
-    """For the top share of rows: precision and the share of all events in it.  Uses the same positions as the deciles."""
-    hist = cumulated(histogram(df, actual, score))
-    out = None
-    for share in shares:
-        k = F.greatest(F.lit(1), F.floor(F.col("rows") * F.lit(share)))
-        # whole scores above the cut, and the cut score's events in proportion
-        inside = F.greatest(F.lit(0), F.least(F.col("n"), k - (F.col("rows_in") - F.col("n"))))
-        one = hist.select((F.col("events") * inside / F.col("n")).alias("got"), k.alias("k"), "pos").agg(F.sum("got").alias("got"), F.max("k").alias("k"), F.max("pos").alias("pos"))
-        one = one.select(F.lit(share).alias("share"), F.col("k").cast("long").alias("k"), F.bround(F.col("got") / F.col("k"), 5).alias("precision"), F.bround(F.try_divide("got", "pos"), 5).alias("capture"))
-        out = one if out is None else out.union(one)
-    return out
+    """For the top share of rows, in order of score and ties: precision and the share of all events in it."""
+    at = positions(df.where(F.col(actual).isNotNull()), score, ties)
+    k = {share: F.greatest(F.lit(1), F.floor(F.col("_rows") * F.lit(share))).cast("long") for share in shares}
+    y = F.col(actual).cast("long")
+    got = [x for i, s in enumerate(shares) for x in (F.sum(F.when(F.col("_at") <= k[s], y).otherwise(0)).alias(f"got{i}"), F.max(k[s]).alias(f"k{i}"))]
+    one = at.agg(F.sum(y).alias("pos"), *got)
+    each = [F.struct(F.lit(s).alias("share"), F.col(f"k{i}").alias("k"), F.bround(F.col(f"got{i}") / F.col(f"k{i}"), 5).alias("precision"), F.bround(F.try_divide(f"got{i}", "pos"), 5).alias("capture")) for i, s in enumerate(shares)]
+    return one.select(F.explode(F.array(*each)).alias("x")).select("x.*")
 
 
 def psi(expected: DataFrame, actual: DataFrame, column: str, bins: int = 10, mode: str = "clip", eps: float = 1e-6, right: bool = False, digits: int = 4) -> DataFrame:
@@ -221,9 +254,8 @@ def profit(df: DataFrame, actual: str, score: str, exposure: Column | float = 10
     good = e * margin * term - origination - servicing * term
     bad = -(e * lgd * (1 + recovery) - e * margin * term * 0.25 + origination)
     t = df.where(F.col(actual).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.sum(F.when(F.col(actual) == 1, bad).otherwise(good)).alias("worth"), F.sum(F.col(actual).cast("long")).alias("bads"))
-    down = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    total, rows = F.sum("worth").over(whole()), F.sum("n").over(whole())
-    return t.select("threshold", F.bround(total - F.sum("worth").over(down), 2).alias("profit"), (1 - F.sum("n").over(down) / rows).alias("approval_rate"), F.sum("n").over(down).alias("rejected"), F.sum("bads").over(down).alias("rejected_bads"), F.bround(total, 2).alias("profit_of_all"))
+    t = running(t, "threshold", ["worth", "n", "bads"])
+    return t.select("threshold", F.bround(F.col("worth_all") - F.col("worth_in"), 2).alias("profit"), (1 - F.col("n_in") / F.col("n_all")).alias("approval_rate"), F.col("n_in").alias("rejected"), F.col("bads_in").alias("rejected_bads"), F.bround("worth_all", 2).alias("profit_of_all"))
 
 
 def best_profit(curve: DataFrame) -> DataFrame:

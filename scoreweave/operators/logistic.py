@@ -8,6 +8,7 @@ come to the driver, rows never do.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from math import erfc, exp, sqrt
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 
+#: The 97.5 % point of the normal distribution (fixed value).
+NORMAL_95 = 1.959963984540054
+
 
 @dataclass
 class Logit:
@@ -32,8 +36,12 @@ class Logit:
         return dict(zip(["(Intercept)", *self.variables], (float(b) for b in self.beta)))
 
     def table(self, spark) -> DataFrame:
-        rows = [(v, b, float(e), float(b / e) if e else None) for (v, b), e in zip(self.coefficients.items(), self.errors)]
-        return spark.createDataFrame(rows, "Variable string, coefficient double, std_error double, z double")
+        """Coefficients with standard error, z, two-sided p-value, odds ratio and its 95 % interval."""
+        rows = []
+        for (v, b), e in zip(self.coefficients.items(), map(float, self.errors)):
+            ratio = [exp(min(x, 700.0)) for x in (b, b - NORMAL_95 * e, b + NORMAL_95 * e)]
+            rows.append((v, b, e, b / e if e else None, erfc(abs(b / e) / sqrt(2)) if e else None, *ratio))
+        return spark.createDataFrame(rows, "Variable string, coefficient double, std_error double, z double, p_value double, odds_ratio double, odds_low double, odds_high double")
 
 
 def choose_columns(df: DataFrame, target: str) -> list[str]:
@@ -48,27 +56,56 @@ def patterns(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
     return full.groupBy(*(F.col(f"`{c}`") for c in columns)).agg(F.count("*").cast("double").alias("_n"), F.sum("_y").cast("double").alias("_e")).persist()
 
 
-def fit(grouped: DataFrame, columns: list[str], start: np.ndarray | None = None, ridge: float = 1e-8, most: int = 25) -> Logit:
+#: Patterns that are looked at on the driver, once they are counted to be so few.
+FEW = 20_000
+
+
+class Local:
+    """Few patterns as arrays: the same sums as over the table, without a job for each."""
+
+    def __init__(self, grouped: DataFrame, columns: list[str]) -> None:
+        rows = np.array([tuple(map(float, r)) for r in grouped.select(*(F.col(f"`{c}`") for c in columns), "_n", "_e").collect()]).reshape(-1, len(columns) + 2)
+        self.values, self.n, self.e = dict(zip(columns, rows.T)), rows[:, -2], rows[:, -1]
+
+    def sums(self, columns: list[str], beta: np.ndarray) -> tuple[float | None, np.ndarray, np.ndarray]:
+        if not len(self.n):
+            return None, np.zeros(len(beta)), np.eye(len(beta))
+        x = np.column_stack([np.ones(len(self.n)), *(self.values[c] for c in columns)])
+        mu = 1 / (1 + np.exp(-x @ beta))
+        q = np.clip(mu, 1e-15, 1 - 1e-15)
+        loglik = float((self.e * np.log(q) + (self.n - self.e) * np.log(1 - q)).sum())
+        return loglik, x.T @ (self.e - self.n * mu), (x * (self.n * mu * (1 - mu))[:, None]).T @ x
+
+
+def _sums(grouped: DataFrame, columns: list[str], beta: np.ndarray) -> tuple[float | None, np.ndarray, np.ndarray]:
+    """Log-likelihood, gradient and Hessian in one aggregate."""
     x = [F.lit(1.0), *(F.col(f"`{c}`") for c in columns)]
-    p, beta = len(x), np.zeros(len(x)) if start is None else np.array(start, float)
-    at = [(i, j) for i in range(p) for j in range(i, p)]
-    hessian, loglik = np.eye(p), -np.inf
+    at = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    eta = sum((F.lit(float(b)) * v for b, v in zip(beta[1:], x[1:])), F.lit(float(beta[0])))
+    mu = S.sigmoid(eta)
+    q = F.greatest(F.least(mu, F.lit(1 - 1e-15)), F.lit(1e-15))
+    held = grouped.select(*(v.alias(f"x{i}") for i, v in enumerate(x)), (F.col("_e") - F.col("_n") * mu).alias("r"), (F.col("_n") * mu * (1 - mu)).alias("w"), (F.col("_e") * F.log(q) + (F.col("_n") - F.col("_e")) * F.log(1 - q)).alias("l"))
+    row = held.agg(F.sum("l").alias("l"), *(F.sum(F.col(f"x{i}") * F.col("r")).alias(f"g{i}") for i in range(len(x))), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}") * F.col("w")).alias(f"h{i}_{j}") for i, j in at)).first()
+    hessian = np.zeros((len(x), len(x)))
+    if row["l"] is None:
+        return None, np.zeros(len(x)), hessian
+    for i, j in at:
+        hessian[i, j] = hessian[j, i] = row[f"h{i}_{j}"]
+    return row["l"], np.array([row[f"g{i}"] for i in range(len(x))]), hessian
+
+
+def fit(grouped: DataFrame | Local, columns: list[str], start: dict[str, float] | None = None, ridge: float = 1e-8, most: int = 25) -> Logit:
+    """Newton's method, from the coefficients in `start` (others 0) if given."""
+    beta = np.array([(start or {}).get(c, 0.0) for c in ("(Intercept)", *columns)])
+    hessian, loglik = np.eye(len(beta)), -np.inf
     for _ in range(most):
-        eta = sum((F.lit(float(b)) * v for b, v in zip(beta[1:], x[1:])), F.lit(float(beta[0])))
-        mu = S.sigmoid(eta)
-        q = F.greatest(F.least(mu, F.lit(1 - 1e-15)), F.lit(1e-15))
-        held = grouped.select(*(v.alias(f"x{i}") for i, v in enumerate(x)), (F.col("_e") - F.col("_n") * mu).alias("r"), (F.col("_n") * mu * (1 - mu)).alias("w"), (F.col("_e") * F.log(q) + (F.col("_n") - F.col("_e")) * F.log(1 - q)).alias("l"))
-        row = held.agg(F.sum("l").alias("l"), *(F.sum(F.col(f"x{i}") * F.col("r")).alias(f"g{i}") for i in range(p)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}") * F.col("w")).alias(f"h{i}_{j}") for i, j in at)).first()
-        if row["l"] is None:
-            return Logit(list(columns), beta, 0.0, np.zeros(p))
-        hessian = np.zeros((p, p))
-        for i, j in at:
-            hessian[i, j] = hessian[j, i] = row[f"h{i}_{j}"]
-        gradient, gain = np.array([row[f"g{i}"] for i in range(p)]), row["l"] - loglik
-        loglik = row["l"]
+        now, gradient, hessian = grouped.sums(columns, beta) if isinstance(grouped, Local) else _sums(grouped, columns, beta)
+        if now is None:
+            return Logit(list(columns), beta, 0.0, np.zeros(len(beta)))
+        gain, loglik = now - loglik, now
         if abs(gain) < 1e-9 * (abs(loglik) + 1):
             break
-        beta = beta + np.clip(np.linalg.solve(hessian + ridge * np.eye(p), gradient), -5, 5)
+        beta = beta + np.clip(np.linalg.solve(hessian + ridge * np.eye(len(beta)), gradient), -5, 5)
     errors = np.sqrt(np.maximum(np.diag(np.linalg.pinv(hessian)), 0))
     return Logit(list(columns), beta, float(loglik), errors)
 
@@ -77,7 +114,8 @@ def stepwise(df: DataFrame, target: str, columns: list[str], direction: str = "b
     """forward starts empty; backward and both start full.  A step is taken while it lowers AIC (penalty k) strictly."""
     grouped = patterns(df, target, columns)
     try:
-        model = fit(grouped, [] if direction == "forward" else columns)
+        known = Local(grouped, columns) if grouped.count() <= FEW else grouped
+        model = fit(known, [] if direction == "forward" else columns)
         steps = [("start", "", model.aic(k))]
         for _ in range(2 * len(columns) + 1):
             moves = []
@@ -85,7 +123,7 @@ def stepwise(df: DataFrame, target: str, columns: list[str], direction: str = "b
                 moves += [("add", v, [*model.variables, v]) for v in columns if v not in model.variables]
             if direction != "forward":
                 moves += [("drop", v, [x for x in model.variables if x != v]) for v in model.variables]
-            tried = [(fit(grouped, vs), what, v) for what, v, vs in moves]
+            tried = [(fit(known, vs, model.coefficients), what, v) for what, v, vs in moves]
             best = min(tried, key=lambda t: t[0].aic(k), default=None)
             if best is None or best[0].aic(k) >= model.aic(k):
                 break

@@ -85,6 +85,14 @@ def recommendation(metrics: dict[str, float | None], t: Thresholds = Thresholds(
     return "RETRAIN" if any(critical) else "MONITOR" if any(warning) else "OK"
 
 
+def advice(psi, auc_delta, ks_delta, bad_rate_delta, t: Thresholds = Thresholds()):
+    """`recommendation` over columns: nulls raise no alarm."""
+    said = lambda *checks: F.coalesce(F.greatest(*(F.coalesce(c, F.lit(False)) for c in checks)), F.lit(False))
+    critical = said(psi >= t.psi_critical, auc_delta <= -t.auc_critical, ks_delta <= -t.ks_critical)
+    warning = said(psi >= t.psi_warning, auc_delta <= -t.auc_warning, ks_delta <= -t.ks_warning, bad_rate_delta >= t.bad_rate_warning)
+    return F.when(critical, "RETRAIN").when(warning, "MONITOR").otherwise("OK")
+
+
 @dataclass
 class Report:
     summary: DataFrame

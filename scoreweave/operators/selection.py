@@ -72,6 +72,26 @@ def correlations(df: DataFrame, columns: list[str], digits: int = 4) -> DataFram
     return df.sparkSession.createDataFrame([(a, b, row[k]) for k, (a, b) in enumerate(pairs)], "a string, b string, r double")
 
 
+def correlated_pairs(df: DataFrame, columns: list[str], limit: float = 0.85) -> DataFrame:
+    """The pairs of `correlations` whose correlation is above the limit in size."""
+    return correlations(df, columns).where(F.abs("r") > limit)
+
+
+def variances(df: DataFrame, columns: list[str], least: float = 1e-10) -> DataFrame:
+    """(variable, variance, low): sample variances, and whether one is too small to fit on."""
+    row = df.agg(*(F.var_samp(f"`{c}`").alias(str(k)) for k, c in enumerate(columns)))
+    each = F.array(*(F.struct(F.lit(c).alias("variable"), F.col(f"`{k}`").alias("variance"), F.coalesce(F.col(f"`{k}`") < least, F.lit(True)).alias("low")) for k, c in enumerate(columns)))
+    return row.select(F.explode(each).alias("x")).select("x.*")
+
+
+def overlaps(table: DataFrame, top: int, names: tuple[str, ...] = MEASURES) -> DataFrame:
+    """(a, b, shared): how many variables the top lists of two measures share (a = b: the list's length)."""
+    long = table.unpivot(["var"], [F.col(m) for m in names], "measure", "value").where("value is not null")
+    at = F.row_number().over(Window.partitionBy("measure").orderBy(F.col("value").desc(), "var"))
+    listed = long.withColumn("at", at).where(F.col("at") <= top).select("var", "measure")
+    return listed.withColumnRenamed("measure", "a").join(listed.withColumnRenamed("measure", "b"), "var").groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
 def _matrix(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Correlation matrix and standard deviations with medians for nulls: two aggregates, whatever follows."""
     mid = df.agg(*(F.percentile_approx(f"`{c}`", 0.5, 10_000).alias(str(k)) for k, c in enumerate(columns))).first()

@@ -1,4 +1,4 @@
-"""The reference flows: binning, modelling chain, monitoring."""
+"""Whole flows: binning and the modelling chain."""
 
 from __future__ import annotations
 
@@ -34,7 +34,7 @@ def run_woe(df: DataFrame, target: str, variables: list[str] | None = None, conf
         bins = bins.na_combine()
     if config.optimise:
         bins = bins.optimise()
-    spark, found = df.sparkSession, []
+    spark, found = df.sparkSession, [(v, "more categories than the limit, left out") for v in bins.too_many]
     for v, own in bins.by_var.items():
         facts = binning.summary_of(v, own, bins.kinds[v])
         n = sum(b.n for b in own)

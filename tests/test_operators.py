@@ -106,3 +106,49 @@ def test_modelling_chain(spark):
     woe = pipelines.run_woe(df, "y", config="default")
     model = pipelines.run_model(woe, "y", top=2)
     assert "WOE_x" in model.model.variables and model.scored.where("Score is null").count() == 0
+
+
+def test_stepwise_report_against_newton(spark):
+    """Few patterns are fitted on the driver, many over the table: the same coefficients, and those of plain Newton steps."""
+    import numpy as np
+
+    from scoreweave.operators import logistic
+
+    r = np.random.default_rng(0)
+    x = r.integers(0, 4, (3000, 3)).astype(float)
+    y = (r.random(3000) < 1 / (1 + np.exp(-(-1 + 0.8 * x[:, 0] - 0.5 * x[:, 1])))).astype(int)
+    df = spark.createDataFrame([(*map(float, a), int(b)) for a, b in zip(x, y)], "u double, v double, w double, y int")
+    grouped = logistic.patterns(df, "y", ["u", "v", "w"])
+    near, far = logistic.fit(logistic.Local(grouped, ["u", "v", "w"]), ["u", "v"]), logistic.fit(grouped, ["u", "v"])
+    grouped.unpersist()
+    full, beta = np.column_stack((np.ones(3000), x[:, :2])), np.zeros(3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-full @ beta))
+        hessian = (full * (p * (1 - p))[:, None]).T @ full
+        beta = beta + np.linalg.solve(hessian, full.T @ (y - p))
+    assert np.allclose(near.beta, beta, atol=1e-6) and np.allclose(far.beta, beta, atol=1e-6)
+    assert np.allclose(near.errors, np.sqrt(np.diag(np.linalg.inv(hessian))), atol=1e-6)
+    model = logistic.stepwise(df, "y", ["u", "v", "w"])
+    assert set(model.variables) >= {"u", "v"}
+    row = {t["Variable"]: t for t in model.table(spark).collect()}["u"]
+    assert row["odds_low"] < row["odds_ratio"] < row["odds_high"] and row["p_value"] < 1e-6 and abs(np.log(row["odds_ratio"]) - row["coefficient"]) < 1e-9
+
+
+def test_running_sums(spark):
+    from scoreweave.operators import evaluation
+
+    df = spark.createDataFrame([(k / 7.0, k % 5) for k in range(1000)], "p double, n long").repartition(5)
+    got = {r["p"]: (r["n_in"], r["n_all"]) for r in evaluation.running(df, "p", ["n"]).collect()}
+    assert got == {k / 7.0: (sum(j % 5 for j in range(k, 1000)), 2000) for k in range(1000)}
+
+
+def test_quotes_and_categories(spark):
+    from pyspark.sql import functions as F
+
+    from scoreweave.functions import scalar
+    from scoreweave.operators import binning
+
+    deep = "\"'" * 6 + "x" + "'\"" * 6
+    assert spark.createDataFrame([(deep,)], "t string").select(scalar.clean_text(F.col("t"))).first()[0] == "x"
+    df = spark.createDataFrame([(f"c{k}", float(k), k % 2) for k in range(60)], "f string, x double, y int")
+    assert binning.get_bins(df, "y", ["f", "x"]).too_many == ["f"]
