@@ -57,9 +57,10 @@ class Tokens(dict):
 
     Pieces are tokenized once and looked up afterwards; words many at a time, as every word ends with a token that is marked
     so.  Texts with other letters, control characters or special tokens take another way: their runs of non-space characters,
-    which the pre-tokenizer never joins, are tokenized as they stand.  At most `most` pieces are remembered."""
+    which the pre-tokenizer never joins, are tokenized as they stand.  Two generations of at most `most` pieces are remembered: a
+    full one becomes the older, and what is met again moves on, so frequent pieces are never tokenized twice."""
 
-    def __init__(self, path: str, most: int = 250_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -68,6 +69,7 @@ class Tokens(dict):
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.runs: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes | None] = {}
 
     def _single(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -106,8 +108,12 @@ class Tokens(dict):
         cut = [None if ODD.search(b) else CUT.findall(b.lower()) for b in bodies]
         held = set().union(*(c for c in cut if c))
         if len(self) + len(held) > self.most:
+            self.older = dict(self)
             self.clear()
-        self.learn(held - self.keys())
+        missing = held - self.keys()
+        again = missing & self.older.keys()
+        self.update((x, self.older[x]) for x in again)
+        self.learn(missing - again)
         out = []
         for body, pieces in zip(bodies, cut):
             ids = None if pieces is None else list(map(self.__getitem__, pieces))
