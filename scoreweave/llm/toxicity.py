@@ -111,7 +111,7 @@ class BlockMax:
         asked, out = np.zeros((len(vectors), len(self.maxima)), np.float32), []
         for k, (t, w) in enumerate(vectors):
             asked[k, self.line[t[self.line[t] >= 0]]] = w[self.line[t] >= 0]
-        bounds = asked @ self.maxima
+        bounds, rows = asked @ self.maxima, self.held.reshape(-1, BLOCK)  # rows: a block's weights of a word
         for k, (t, w) in enumerate(vectors):
             if not len(t) or not self.blocks:
                 out.append((np.empty(0, np.int64), np.empty(0)))
@@ -130,7 +130,7 @@ class BlockMax:
                 if bound[now[0]] <= max(least - SLACK, SLACK):
                     seen = seen[:start]
                     break
-                sums = np.append(sums, np.matmul(few, self.held[now[:, None], lines]) + seldom[now])
+                sums = np.append(sums, np.matmul(few, rows.take(now[:, None] * len(self.maxima) + lines, axis=0, mode="clip")) + seldom[now])
                 if len(sums) > NEAREST:
                     least = np.partition(sums, len(sums) - NEAREST)[len(sums) - NEAREST]
             near = np.flatnonzero((sums > 0) & (sums >= least - SLACK))
