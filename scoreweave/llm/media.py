@@ -1,12 +1,14 @@
 """Media columns: payloads stored as lossless WebP and read back as pixel arrays.
 
-A payload is cut into rows of SAMPLES grey samples; an image holds at most 16,384 rows, so a long payload becomes
-several images, one after the other.  Reading decodes them with the decoder of ``webp`` and checks nothing about how they
-were written: any lossless WebP works, colour included.  Images are decoded one at a time; a batch is bounded by
-Arrow's batch size.
-
-Rows: a null or empty text is one row of the filler.  Equal texts have equal values.  A null or broken image gives null
-pixels and its error as text.  Rows that repeat are stored each; extra columns are not touched.
+A payload is cut into rows of SAMPLES grey samples; an image holds at most ROWS rows, so a long payload becomes
+several images, one after the other, and neither side ever holds more than one image's working arrays (some 100 MB).
+Reading decodes them with the decoder of ``webp`` and assumes nothing about how they were written: any lossless WebP
+works, colour included.  What is stored carries the payload's digest; a read that gives other bytes raises an error, so
+a damaged image cannot pass as the payload.
+
+Rows: a null or empty text is one row of the filler.  Texts of any length are stored whole.  Equal texts have equal values.
+A null or broken image gives null pixels and its error as text.  Rows that repeat are stored each; extra columns are not
+touched, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from . import common as C
 from . import webp
 
 SAMPLES, FILLER = 576, b"\xff"
-STORED = "id string, n_bytes long, media binary"
+#: Rows of an image at most (295 KB of samples).
+ROWS = 512
+STORED = "id string, n_bytes long, media binary, digest binary"
 
 
 def padded(body: bytes) -> bytes:
@@ -34,7 +38,7 @@ def padded(body: bytes) -> bytes:
 
 def store_payload(payload: bytes) -> bytes:
     rows = np.frombuffer(payload, np.uint8).reshape(-1, SAMPLES)
-    return b"".join(webp.encode_grey(rows[a : a + webp.SIDE]) for a in range(0, len(rows), webp.SIDE))
+    return b"".join(webp.encode_grey(rows[a : a + ROWS]) for a in range(0, len(rows), ROWS))
 
 
 def images_of(media: bytes) -> list[bytes]:
@@ -62,12 +66,13 @@ def features(samples: np.ndarray) -> str:
 
 
 def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_bytes, media): each text's UTF-8 bytes as lossless WebP."""
+    """(id, n_bytes, media, digest): each text's UTF-8 bytes as lossless WebP; the digest is that of the payload."""
     rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
 
     def write(frames):
         for pdf in frames:
-            yield pd.DataFrame({"id": pdf["id"], "n_bytes": [len(x) for x in pdf["body"]], "media": [store_payload(padded(x)) for x in pdf["body"]]})
+            payloads = [padded(x) for x in pdf["body"]]
+            yield pd.DataFrame({"id": pdf["id"], "n_bytes": [len(x) for x in pdf["body"]], "media": [store_payload(x) for x in payloads], "digest": [hashlib.sha256(x).digest() for x in payloads]})
 
     return rows.mapInPandas(write, STORED)
 
@@ -98,9 +103,12 @@ def digests(stored: DataFrame) -> DataFrame:
     def read(frames):
         for pdf in frames:
             out = []
-            for i, n, media in zip(pdf["id"], pdf["n_bytes"], pdf["media"]):
+            for i, n, media, digest in zip(pdf["id"], pdf["n_bytes"], pdf["media"], pdf["digest"]):
                 payload = load_payload(media)
-                out.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(np.frombuffer(payload, np.uint8))))
+                held = hashlib.sha256(payload)
+                if held.digest() != digest:
+                    raise ValueError(f"the media of row {i} hold other bytes than were stored")
+                out.append((i, n, len(payload), held.hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(np.frombuffer(payload, np.uint8))))
             yield pd.DataFrame(out, columns=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     return stored.mapInPandas(read, "id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

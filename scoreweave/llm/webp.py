@@ -554,7 +554,7 @@ def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def back_references(samples: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, length, distance) of copies from the last place with the same REACH samples; 4096 at most each."""
+    """(start, length, distance) of copies from the last place with the same REACH samples; 4096 long and FAREST away at most."""
     n = len(samples) - REACH + 1
     if n < 2:
         return []
@@ -565,7 +565,7 @@ def back_references(samples: np.ndarray) -> list[tuple[int, int, int]]:
     order = (ordered & np.uint64(2**32 - 1)).astype(np.int64)
     same = np.flatnonzero(ordered[1:] >> np.uint64(32) == ordered[:-1] >> np.uint64(32))
     starts, sources = order[same + 1], order[same]
-    equal = (eight[starts] == eight[sources]) & (eight[starts + REACH - 8] == eight[sources + REACH - 8])
+    equal = (starts - sources <= FAREST) & (eight[starts] == eight[sources]) & (eight[starts + REACH - 8] == eight[sources + REACH - 8])
     before = np.full(n, -1)
     before[starts[equal]] = sources[equal]
     starts = np.flatnonzero(before >= 0)
@@ -586,8 +586,8 @@ def back_references(samples: np.ndarray) -> list[tuple[int, int, int]]:
     return found
 
 
-#: Samples that a back-reference has at least (8 to 16).
-REACH = 12
+#: Samples that a back-reference has at least (8 to 16); distance it has at most: the format's 40 prefixes end at 2**20, 120 of these are near places.
+REACH, FAREST = 12, (1 << 20) - 120
 
 
 def _entropy(values: np.ndarray) -> float:
