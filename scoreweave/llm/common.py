@@ -8,6 +8,7 @@ of all documents hold therefore arrives once per bucket, not once per document.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,6 +31,10 @@ KEYS = "range int, bucket int, keys binary, counts binary"
 SHARED = "bucket int, keys binary, counts binary"
 
 
+#: Folders of our own, by application: only in local mode, where driver and executors are one process.
+_OWN: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,10 +43,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); one of our own only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="scoreweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="scoreweave-")
+        found = _OWN[context.applicationId]
     return found.rstrip("/")
 
 
