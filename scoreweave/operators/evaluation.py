@@ -1,8 +1,8 @@
 """Model evaluation from one score histogram.
 
 Rows are first aggregated to (score: n, events): every curve and every measure that depends on the order of scores is a
-cumulative window over that table.  Windows over the whole table run on the histogram, never on rows; for scores with many
-distinct values, ``histogram(digits=...)`` bounds its size.
+running sum over that table (``ordered.running``: sorted parts and their offsets), never over rows.  Several data sets are
+measured in one pass: their scores are segments of the same histogram.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
-
+from ..sources.shared import materialize
+from .ordered import numbered, quantiles, running
 
 
 def whole():
@@ -20,44 +21,23 @@ def whole():
     return Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-
 def as_probability(df: DataFrame, column: str) -> DataFrame:
     """Log-odds (any value outside 0 to 1) become probabilities."""
     odd = df.agg(F.coalesce(F.bool_or((F.col(column) < 0) | (F.col(column) > 1)), F.lit(False))).first()[0]
     return df.withColumn(column, S.sigmoid(F.col(column))) if odd else df
 
 
-def histogram(df: DataFrame, actual: str, score: str, digits: int | None = None) -> DataFrame:
-    """(p, n, events), nulls and NaN left out; with digits the scores are rounded first."""
+def histogram(df: DataFrame, actual: str, score: str, digits: int | None = None, by: list[str] = ()) -> DataFrame:
+    """(by, p, n, events), nulls and NaN left out; with digits the scores are rounded first."""
     p = F.col(score).cast("double")
     kept = df.where(F.col(actual).isNotNull() & p.isNotNull() & ~F.isnan(p))
-    return kept.groupBy((F.bround(p, digits) if digits is not None else p).alias("p")).agg(F.count("*").alias("n"), F.sum(F.col(actual).cast("long")).alias("events"))
-
-
-#: Parts of a running sum.
-PARTS = 64
+    return kept.groupBy(*by, (F.bround(p, digits) if digits is not None else p).alias("p")).agg(F.count("*").alias("n"), F.sum(F.col(actual).cast("long")).alias("events"))
 
 
-def running(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """df with running sums `{c}_in` from the highest key down and totals `{c}_all`; equal keys must be one row.
-
-    Rows are dealt into PARTS by approximate quantiles of the key and summed within their part; what lies in higher parts is
-    added from PARTS sums, so no window spans all rows."""
-    edges = sorted(set(df.select(F.col(key).cast("double").alias(key)).approxQuantile(key, [k / PARTS for k in range(1, PARTS)], 0.002)))
-    t = df.withColumn("_part", bucket(F.col(key).cast("double"), edges, right=False))
-    sums = t.groupBy("_part").agg(*(F.sum(c).alias(f"_{c}") for c in columns))  # at most PARTS rows
-    above = Window.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = [F.coalesce(F.sum(f"_{c}").over(above), F.lit(0)).alias(f"_{c}_ahead") for c in columns]
-    sums = sums.select("_part", *ahead, *(F.sum(f"_{c}").over(whole()).alias(f"{c}_all") for c in columns))
-    own = Window.partitionBy("_part").orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    found = t.join(F.broadcast(sums), "_part")
-    return found.withColumns({f"{c}_in": F.col(f"_{c}_ahead") + F.sum(c).over(own) for c in columns}).drop("_part", *(f"_{c}_ahead" for c in columns))
-
-
-def cumulated(hist: DataFrame) -> DataFrame:
-    """hist with running rows and events from the highest score down, and totals."""
-    t = running(hist, "p", ["n", "events"])
-    t = t.select("p", "n", "events", F.col("n_in").alias("rows_in"), F.col("events_in").alias("tp"), F.col("n_all").alias("rows"), F.col("events_all").alias("pos"))
+def cumulated(hist: DataFrame, by: list[str] = ()) -> DataFrame:
+    """hist with running rows and events from the highest score down, and totals (of each group `by`)."""
+    t = running(hist, "p", ["n", "events"], by)
+    t = t.select(*by, "p", "n", "events", F.col("n_in").alias("rows_in"), F.col("events_in").alias("tp"), F.col("n_all").alias("rows"), F.col("events_all").alias("pos"))
     return t.withColumns({"fp": F.col("rows_in") - F.col("tp"), "neg": F.col("rows") - F.col("pos")})
 
 
@@ -84,11 +64,11 @@ def roc(hist: DataFrame) -> DataFrame:
     return cumulated(hist).select("p", (F.col("fp") / F.nullif("neg", F.lit(0))).alias("fpr"), (F.col("tp") / F.nullif("pos", F.lit(0))).alias("tpr"))
 
 
-def discrimination(hist: DataFrame, digits: int = 5) -> DataFrame:
-    """One row: auc, gini, ks (row level), pr_auc, average_precision, h_measure, brier, log_loss, rows and events.
+def discrimination(hist: DataFrame, digits: int = 5, by: list[str] = ()) -> DataFrame:
+    """One row (of each group `by`): auc, gini, ks (row level), pr_auc, average_precision, h_measure, brier, log_loss, rows and events.
 
     Ties share a point of the curve (trapezoid)."""
-    c = cumulated(hist)
+    c = cumulated(hist, by)
     back = lambda x: F.col(x) - F.col("events" if x == "tp" else "misses")
     c = c.withColumn("misses", F.col("n") - F.col("events"))
     tpr, fpr = F.col("tp") / F.nullif("pos", F.lit(0)), F.col("fp") / F.nullif("neg", F.lit(0))
@@ -100,7 +80,7 @@ def discrimination(hist: DataFrame, digits: int = 5) -> DataFrame:
     weight = F.when((cost > 0) & (cost < 1), cost * (1 - cost)).otherwise(0.0)
     loss = weight * (pi0 * fpr + pi1 * (1 - tpr)) * F.abs(fpr - fpr0) / (pi0 + 1e-10)
     q = F.greatest(F.least("p", F.lit(1 - 1e-15)), F.lit(1e-15))
-    one = c.agg(
+    one = c.groupBy(*by).agg(
         F.sum("n").alias("rows"),
         F.sum("events").alias("events"),
         F.sum((fpr - fpr0) * (tpr + tpr0) / 2).alias("auc"),
@@ -113,6 +93,7 @@ def discrimination(hist: DataFrame, digits: int = 5) -> DataFrame:
         (-F.sum(F.col("events") * F.log(q) + F.col("misses") * F.log(1 - q)) / F.sum("n")).alias("log_loss"),
     )
     return one.select(
+        *by,
         "rows",
         "events",
         F.bround("auc", digits).alias("auc"),
@@ -127,10 +108,9 @@ def discrimination(hist: DataFrame, digits: int = 5) -> DataFrame:
 
 
 def quantile_edges(df: DataFrame, column: str, q: int, exact: bool = True) -> list[float]:
-    """Distinct quantiles 0, 1/q, ..., 1; exact percentiles (one aggregate) or a sketch's."""
+    """Distinct quantiles 0, 1/q, ..., 1; exact (``ordered.quantiles``) or a sketch's."""
     at = [k / q for k in range(q + 1)]
-    f = F.percentile(F.col(column), at) if exact else F.percentile_approx(F.col(column), at, 10_000)
-    return sorted(set(df.agg(f).first()[0] or []))
+    return sorted(set(quantiles(df, {column: at})[column] if exact else df.agg(F.percentile_approx(F.col(column), at, 10_000)).first()[0] or []))
 
 
 def bucket(c: Column, inner: list[float], right: bool = True) -> Column:
@@ -141,56 +121,59 @@ def bucket(c: Column, inner: list[float], right: bool = True) -> Column:
     return F.when(c.isNotNull(), out)
 
 
-def row_deciles(df: DataFrame, score: str, groups: int = 10, ties: list[str] = ()) -> DataFrame:
-    """df with decile 1 (highest scores) to `groups`, by row position.
-
-    The positions come from the score histogram: a score's rows share the run of positions that the histogram gives them and are
-    numbered within it, so no window spans all rows."""
-    at = positions(df, score, ties)
+def row_deciles(df: DataFrame, score: str, groups: int = 10, ties: list[str] = (), by: list[str] = ()) -> DataFrame:
+    """df with decile 1 (highest scores) to `groups`, by row position: the first and the last row's positions are 0 and 1."""
+    at = positions(df, score, ties, by)
     decile = F.greatest(F.lit(1), F.ceil(groups * (F.col("_at") - 1) / F.greatest(F.col("_rows") - 1, F.lit(1)))).cast("int")
     return at.withColumn("decile", decile).drop("_at", "_rows")
 
 
-def positions(df: DataFrame, score: str, ties: list[str] = ()) -> DataFrame:
-    """df without null scores, with _at (1: the highest score; ties in order of `ties`) and _rows."""
-    hist = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("_p")).agg(F.count("*").alias("_n"))
-    ahead = running(hist, "_p", ["_n"]).select("_p", (F.col("_n_in") - F.col("_n")).alias("_ahead"), F.col("_n_all").alias("_rows"))
-    own = F.row_number().over(Window.partitionBy(score).orderBy(*(ties or [F.lit(0)])))
-    return df.join(ahead, F.col(score) == F.col("_p")).withColumn("_at", F.col("_ahead") + own).drop("_p", "_ahead")
+def positions(df: DataFrame, score: str, ties: list[str] = (), by: list[str] = ()) -> DataFrame:
+    """df without null scores, with _at (1: the highest score; ties in order of `ties`, or else of a hash of the row) and _rows, of each
+    group `by`.
 
+    Rows are sorted by score and ties together, so a score that many rows share is split like any other stretch."""
+    order = [F.col(c) for c in ties] or [F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))]
+    return numbered(df.where(F.col(score).isNotNull()), [F.col(score).desc(), *order], by)
 
-def gains(df: DataFrame, actual: str, score: str, groups: int = 10, ties: list[str] = ()) -> DataFrame:
-    """Gains table of equal groups of rows, the highest scores first."""
-    by = row_deciles(df.where(F.col(actual).isNotNull()), score, groups, ties).groupBy("decile")
-    t = by.agg(F.count("*").alias("n"), F.sum(F.col(actual).cast("long")).alias("events"), F.min(score).alias("lo"), F.max(score).alias("hi"), F.avg(score).alias("mean"))
-    run = Window.orderBy("decile").rowsBetween(Window.unboundedPreceding, 0)
+
+def gains(df: DataFrame, actual: str, score: str, groups: int = 10, ties: list[str] = (), by: list[str] = ()) -> DataFrame:
+    """Gains table of equal groups of rows, the highest scores first (of each group `by`)."""
+    grouped = row_deciles(df.where(F.col(actual).isNotNull()), score, groups, ties, by).groupBy(*by, "decile")
+    t = grouped.agg(F.count("*").alias("n"), F.sum(F.col(actual).cast("long")).alias("events"), F.min(score).alias("lo"), F.max(score).alias("hi"), F.avg(score).alias("mean"))
+    own = Window.partitionBy(*by)  # `groups` rows each
+    run = own.orderBy("decile").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("non_events", F.col("n") - F.col("events")).withColumns(
-        {"cum_events": F.sum("events").over(run), "cum_non_events": F.sum("non_events").over(run), "pos": F.sum("events").over(whole()), "neg": F.sum("non_events").over(whole())}
+        {"cum_events": F.sum("events").over(run), "cum_non_events": F.sum("non_events").over(run), "pos": F.sum("events").over(own), "neg": F.sum("non_events").over(own)}
     )
     part = lambda x, of: F.coalesce(F.col(x) / F.nullif(of, F.lit(0)), F.lit(0.0))
     tp, fp = part("cum_events", "pos"), part("cum_non_events", "neg")
     r = lambda c, name: F.bround(c, 4).alias(name)
     return t.select(
-        "decile", "n", "events", "non_events", r(F.col("events") / F.col("n"), "event_rate"), r(part("events", "pos"), "pct_events"), r(part("non_events", "neg"), "pct_non_events"),
+        *by, "decile", "n", "events", "non_events", r(F.col("events") / F.col("n"), "event_rate"), r(part("events", "pos"), "pct_events"), r(part("non_events", "neg"), "pct_non_events"),
         "cum_events", "cum_non_events", r(tp, "cum_pct_events"), r(fp, "cum_pct_non_events"), r(F.abs(tp - fp), "ks"), r(tp * groups / F.col("decile"), "lift"), r(F.col("lo"), "min_prob"), r(F.col("hi"), "max_prob"), r(F.col("mean"), "avg_prob"),
     )
 
 
-def ks_by_decile(table: DataFrame) -> DataFrame:
+def ks_by_decile(table: DataFrame, by: list[str] = ()) -> DataFrame:
     """The greatest K-S of a gains table and its (first) decile."""
-    return table.agg(F.max("ks").alias("ks"), F.min_by("decile", F.struct(-F.col("ks"), "decile")).alias("ks_decile"))
+    return table.groupBy(*by).agg(F.max("ks").alias("ks"), F.min_by("decile", F.struct(-F.col("ks"), "decile")).alias("ks_decile"))
 
 
 def confusion(df: DataFrame, actual: str, score: str, cut: float = 0.5) -> DataFrame:
     """Counts at p >= cut with the measures that follow from them."""
     y, hit = F.col(actual) == 1, F.col(score) >= cut
-    t = df.agg(F.count_if(y & hit).alias("tp"), F.count_if(~y & hit).alias("fp"), F.count_if(y & ~hit).alias("fn"), F.count_if(~y & ~hit).alias("tn"))
+    return _rates(df.agg(F.count_if(y & hit).alias("tp"), F.count_if(~y & hit).alias("fp"), F.count_if(y & ~hit).alias("fn"), F.count_if(~y & ~hit).alias("tn")))
+
+
+def _rates(t: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Counts (tp, fp, fn, tn) with the measures that follow from them."""
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     div = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     margin = F.sqrt((tp + fp).cast("double") * (tp + fn) * (tn + fp) * (tn + fn))
     r = lambda c, name: F.bround(c, 5).alias(name)
     return t.select(
-        "tp", "fp", "fn", "tn", r(div(tp + tn, tp + fp + fn + tn), "accuracy"), r(div(tp, tp + fn), "sensitivity"), r(div(tn, tn + fp), "specificity"), r(div(tp, tp + fp), "precision"),
+        *by, "tp", "fp", "fn", "tn", r(div(tp + tn, tp + fp + fn + tn), "accuracy"), r(div(tp, tp + fn), "sensitivity"), r(div(tn, tn + fp), "specificity"), r(div(tp, tp + fp), "precision"),
         r(div(2 * tp, 2 * tp + fp + fn), "f1"), r(div(5 * tp, 5 * tp + fp + 4 * fn), "f2"), r(div(tp.cast("double") * tn - fp.cast("double") * fn, margin), "mcc"),
     )
 
@@ -202,15 +185,70 @@ def calibration_error(df: DataFrame, actual: str, score: str, bins: int = 10) ->
     return t.agg(F.bround(F.sum(F.col("n") * F.abs(F.col("y") - F.col("p"))) / F.sum("n"), 6).alias("ece"))
 
 
-def precision_at(df: DataFrame, actual: str, score: str, shares: tuple[float, ...] = (0.1, 0.2), ties: list[str] = ()) -> DataFrame:
+def precision_at(df: DataFrame, actual: str, score: str, shares: tuple[float, ...] = (0.1, 0.2), ties: list[str] = (), by: list[str] = ()) -> DataFrame:
     """For the top share of rows, in order of score and ties: precision and the share of all events in it."""
-    at = positions(df.where(F.col(actual).isNotNull()), score, ties)
+    at = positions(df.where(F.col(actual).isNotNull()), score, ties, by)
     k = {share: F.greatest(F.lit(1), F.floor(F.col("_rows") * F.lit(share))).cast("long") for share in shares}
     y = F.col(actual).cast("long")
     got = [x for i, s in enumerate(shares) for x in (F.sum(F.when(F.col("_at") <= k[s], y).otherwise(0)).alias(f"got{i}"), F.max(k[s]).alias(f"k{i}"))]
-    one = at.agg(F.sum(y).alias("pos"), *got)
+    one = at.groupBy(*by).agg(F.sum(y).alias("pos"), *got)
     each = [F.struct(F.lit(s).alias("share"), F.col(f"k{i}").alias("k"), F.bround(F.col(f"got{i}") / F.col(f"k{i}"), 5).alias("precision"), F.bround(F.try_divide(f"got{i}", "pos"), 5).alias("capture")) for i, s in enumerate(shares)]
-    return one.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+    return one.select(*by, F.explode(F.array(*each)).alias("x")).select(*by, "x.*")
+
+
+#: Column names that are tried, in this order, where none is given (fixed values).
+SCORES = ("probability", "prob", "probs", "score", "pred_prob", "log_odds")
+EXPOSURES = ("loan_amount", "LoanAmount", "exposure", "Exposure", "amount", "Amount", "principal", "Principal", "balance", "Balance", "EAD")
+
+
+def detect(df: DataFrame, given: str | None, names: tuple[str, ...]) -> str | None:
+    """The given column if the table has it, else the first of `names` that it has."""
+    return given if given in df.columns else next((c for c in names if c in df.columns), None)
+
+
+def best_profit_per_application(hist: DataFrame, revenue: float = 100.0, loss: float = 500.0, cost: float = 0.0, by: list[str] = ()) -> DataFrame:
+    """(by, max_profit, threshold): the greatest profit per application if every score from the threshold up is rejected (threshold 1:
+    none is); scores that are equal are rejected together."""
+    c = cumulated(hist, by)
+    worth = lambda good, bad: (good * revenue - bad * loss) / F.col("rows") - cost
+    one = c.groupBy(*by).agg(F.max_by(F.struct(worth(F.col("neg") - F.col("fp"), F.col("pos") - F.col("tp")).alias("profit"), "p"), F.struct(worth(F.col("neg") - F.col("fp"), F.col("pos") - F.col("tp")), "p")).alias("x"), F.max(worth(F.col("neg"), F.col("pos"))).alias("all"))
+    some = F.col("x.profit") > F.col("all")
+    return one.select(*by, F.bround(F.greatest("x.profit", "all"), 4).alias("max_profit"), F.bround(F.when(some, F.col("x.p")).otherwise(1.0), 4).alias("threshold"))
+
+
+def all_metrics(df: DataFrame, actual: str, score: str, by: list[str] = (), ties: list[str] = (), cut: float = 0.5, bins: int = 10, groups: int = 10) -> DataFrame:
+    """One row of all measures (of each group `by`, e.g. the data set).
+
+    Measures of the order of scores come from one segmented histogram, deciles and top shares from one segmented sort; the groups are
+    not looped over."""
+    by, kept = list(by), df.where(F.col(actual).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    hist = materialize(histogram(kept, actual, score, by=by), "scores")
+    hit, misses = F.col("p") >= cut, F.col("n") - F.col("events")
+    count = lambda x, test: F.sum(F.when(test, x).otherwise(0))
+    rates = _rates(hist.groupBy(*by).agg(count(F.col("events"), hit).alias("tp"), count(misses, hit).alias("fp"), count(F.col("events"), ~hit).alias("fn"), count(misses, ~hit).alias("tn")), by)
+    cells = hist.groupBy(*by, bucket(F.col("p"), [k / bins for k in range(1, bins)], right=False).alias("b")).agg(F.sum("n").alias("n"), F.sum("events").alias("y"), F.sum(F.col("p") * F.col("n")).alias("q"))
+    ece = cells.groupBy(*by).agg(F.bround(F.sum(F.abs(F.col("y") - F.col("q"))) / F.sum("n"), 6).alias("ece"))
+    placed = materialize(positions(kept.select(*by, actual, score, *[c for c in ties if c not in (actual, score, *by)]), score, ties, by).select(*by, actual, F.col(score).alias("_p"), "_at", "_rows"), "places")
+    y, at, rows = F.col(actual).cast("long"), F.col("_at"), F.col("_rows")
+    top = [x for s in (10, 20) for k in [F.greatest(F.lit(1), F.floor(rows * F.lit(s / 100)))] for x in (F.sum(F.when(at <= k, y).otherwise(0)).alias(f"got{s}"), F.max(k).alias(f"k{s}"))]
+    first = placed.groupBy(*by).agg(F.sum(y).alias("pos"), *top)
+    first = first.select(*by, *(x for s in (10, 20) for x in (F.bround(F.col(f"got{s}") / F.col(f"k{s}"), 5).alias(f"precision_top_{s}pct"), F.bround(F.coalesce(F.try_divide(f"got{s}", "pos"), F.lit(0.0)), 5).alias(f"capture_rate_top_{s}pct"))))
+    decile = F.greatest(F.lit(1), F.ceil(groups * (at - 1) / F.greatest(rows - 1, F.lit(1)))).cast("int")
+    tenths = placed.groupBy(*by, decile.alias("decile")).agg(F.count("*").alias("n"), F.sum(y).alias("e"))
+    own = Window.partitionBy(*by)  # `groups` rows each
+    run = own.orderBy("decile").rowsBetween(Window.unboundedPreceding, 0)
+    share = lambda x: F.coalesce(F.try_divide(F.sum(x).over(run), F.sum(x).over(own)), F.lit(0.0))
+    ks = ks_by_decile(tenths.withColumn("g", F.col("n") - F.col("e")).withColumn("ks", F.bround(F.abs(share("e") - share("g")), 4)), by).withColumnRenamed("ks", "ks_statistic")
+    order = discrimination(hist, by=by).drop("ks").withColumn("event_rate", F.bround(F.col("events") / F.col("rows"), 5))
+    profit = best_profit_per_application(hist, by=by).withColumnRenamed("threshold", "profit_threshold")
+    out = order
+    for part in (rates, ece, first, ks, profit):  # a row per group
+        renamed = part.select(*(F.col(c).alias(f"_its_{c}") if c in by else F.col(c) for c in part.columns))
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_its_{c}"))
+        out = out.join(renamed, same).drop(*(f"_its_{c}" for c in by))
+    return out
 
 
 def psi(expected: DataFrame, actual: DataFrame, column: str, bins: int = 10, mode: str = "clip", eps: float = 1e-6, right: bool = False, digits: int = 4) -> DataFrame:
@@ -228,13 +266,23 @@ def psi(expected: DataFrame, actual: DataFrame, column: str, bins: int = 10, mod
     return t.withColumn("part", (F.col("actual") - F.col("expected")) * F.log(F.col("actual") / F.col("expected"))).agg(F.bround(F.sum("part"), digits).alias("psi"))
 
 
-def csi(expected: DataFrame, actual: DataFrame, columns: list[str], low: float = 0.10, high: float = 0.25, **options) -> DataFrame:
-    """Stability of each variable with its status."""
-    out = None
-    for c in columns:
-        one = psi(expected, actual, c, **options).select(F.lit(c).alias("variable"), "psi", F.when(F.col("psi") < low, "stable").when(F.col("psi") < high, "moderate").otherwise("shifted").alias("status"))
-        out = one if out is None else out.union(one)
-    return out
+def csi(expected: DataFrame, actual: DataFrame, columns: list[str], low: float = 0.10, high: float = 0.25, bins: int = 10, mode: str = "clip", eps: float = 1e-6, right: bool = False, digits: int = 4) -> DataFrame:
+    """Stability of each variable with its status; all variables are counted in one pass over either sample."""
+    at = [k / bins for k in range(bins + 1)]
+    inner = {c: sorted(set(q))[1:-1] for c, q in quantiles(expected, {c: at for c in columns}).items()}
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        cells = F.array(*(F.struct(F.lit(c).alias("variable"), bucket(F.col(f"`{c}`"), inner[c], right).alias("b")) for c in columns))
+        return df.select(F.explode(cells).alias("x")).where("x.b is not null").groupBy("x.variable", "x.b").agg(F.count("*").alias(name))
+
+    every = expected.sparkSession.createDataFrame([(c, b) for c in columns for b in range(len(inner[c]) + 1)], "variable string, b int")
+    t = every.join(side(expected, "e"), ["variable", "b"], "left").join(side(actual, "a"), ["variable", "b"], "left").fillna(0, ["e", "a"])
+    own = Window.partitionBy("variable")  # `bins` rows each
+    e, a = (F.try_divide(F.col(c), F.sum(c).over(own)) for c in ("e", "a"))
+    e, a = (F.greatest(e, F.lit(eps)), F.greatest(a, F.lit(eps))) if mode == "clip" else (e + eps, a + eps)
+    parts = t.select("variable", e.alias("e"), a.alias("a"))
+    out = parts.groupBy("variable").agg(F.bround(F.sum((F.col("a") - F.col("e")) * F.log(F.col("a") / F.col("e"))), digits).alias("psi"))
+    return out.withColumn("status", F.when(F.col("psi") < low, "stable").when(F.col("psi") < high, "moderate").otherwise("shifted"))
 
 
 def label_psi(expected: DataFrame, actual: DataFrame, label: str) -> DataFrame:

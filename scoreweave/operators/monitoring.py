@@ -39,10 +39,12 @@ def business(df: DataFrame, c: Columns = Columns()) -> DataFrame:
     funded = F.col(c.funded) == 1
     roi = F.when(funded, F.col(c.roi)) if c.roi else F.lit(None).cast("double")
     r = lambda x, name: F.bround(x, 6).alias(name)
+    found = E.quantiles(df.select(roi.cast("double").alias("roi")), {"roi": [0.5]})["roi"] if c.roi else []
+    middle = float(found[0]) if found else None
     return df.agg(
         F.count("*").alias("total_applications"), F.sum(c.approved).alias("approvals"), r(F.avg(c.approved), "approval_rate"), F.sum(c.funded).alias("funded"), r(F.avg(c.funded), "funding_rate"),
         F.count_if(funded).alias("funded_count"), F.sum(F.when(funded, F.col(c.bad))).alias("bads_funded"), r(F.avg(F.when(funded, F.col(c.bad))), "bad_rate_funded"),
-        r(F.avg(roi), "avg_roi"), r(F.median(roi), "median_roi"), r(F.stddev_samp(roi), "roi_std"), F.count_if(funded & (roi < 1)).alias("losses_count"), r(F.count_if(funded & (roi < 1)) / F.nullif(F.count_if(funded), F.lit(0)), "loss_rate"),
+        r(F.avg(roi), "avg_roi"), F.bround(F.lit(middle).cast("double"), 6).alias("median_roi"), r(F.stddev_samp(roi), "roi_std"), F.count_if(funded & (roi < 1)).alias("losses_count"), r(F.count_if(funded & (roi < 1)) / F.nullif(F.count_if(funded), F.lit(0)), "loss_rate"),
     )
 
 

@@ -71,20 +71,30 @@ def _iv(n, b):
     return (db - dg) * w
 
 
+#: Below these rows and this event rate leaves may be smaller; the least share, what a share of events allows (fixed values).
+SMALL_DATA, RARE, LEAST_SHARE, LEAF_EVENTS, RELAXED = 500, 0.05, 0.005, 5, 0.8
+
+
+def least_leaf(rows: int, events: int, c: Split) -> int:
+    """The rows that a leaf of the tree has at least."""
+    rate, share = events / rows if rows else 0.0, c.min_share
+    if c.adaptive and rows:
+        if rows < SMALL_DATA:
+            share = max(share / 2, LEAST_SHARE)
+        if rate < RARE and events:
+            share = max(share, RELAXED / max(events // LEAF_EVENTS, 2))
+    leaf = max(int(rows * share), 1)
+    if c.min_events and events:
+        leaf = max(leaf, int(LEAF_EVENTS / max(rate, 1e-3)))
+    return max(1, min(leaf, rows // 2))
+
+
 def cart(n: np.ndarray, b: np.ndarray, c: Split) -> list[int]:
     """Best-first tree: the leaf whose best cut lowers Gini impurity most is cut next, up to max_bins leaves."""
     rows, events = n.sum(), b.sum()
     if rows < 2 or len(n) < 2:
         return []
-    share = c.min_share
-    if c.adaptive:
-        if rows < 500:
-            share = max(share / 2, 0.005)
-        if events / rows < 0.05:
-            share = max(share * 0.8, max(events // 5, 2) / rows)
-    leaf = min(max(int(rows * share), 1), max(1, rows // 2))
-    if c.min_events:
-        leaf = max(leaf, int(5 / max(events / rows, 1e-3)))
+    leaf = least_leaf(int(rows), int(events), c)
     cn, cb = np.concatenate(([0], np.cumsum(n))).astype(float), np.concatenate(([0], np.cumsum(b))).astype(float)
 
     def impurity(n, b):
