@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -9,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import shared_dir
+
 MEASURES = ("iv", "entropy", "gini", "chi_square", "likelihood_ratio", "odds_ratio")
 HIGH, MODERATE, CAP = 10.0, 5.0, 999.99
 
@@ -148,22 +152,26 @@ def boosted_importance(df: DataFrame, target: str, columns: list[str], trees: in
     """(variable, importance) and (parent, child, times) of boosted trees: which variables split below which."""
     data = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(df.select(F.col(target).cast("double").alias("y"), *(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) for c in columns))).select("features", "y")
     model = GBTClassifier(labelCol="y", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.5", seed=seed).fit(data)
-    spark, times = df.sparkSession, {}
-
-    def walk(node) -> None:
-        if node.numDescendants() == 0:
-            return
-        for child in (node.leftChild(), node.rightChild()):
-            if child.numDescendants():
-                key = (columns[node.split().featureIndex()], columns[child.split().featureIndex()])
-                times[key] = times.get(key, 0) + 1
-                walk(child)
-
-    for tree in model.trees:
-        walk(tree._call_java("rootNode"))
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/trees-{uuid.uuid4().hex}"
+    model.write().overwrite().save(path)
     gain = spark.createDataFrame([(c, float(x)) for c, x in zip(columns, model.featureImportances.toArray())], "variable string, importance double")
-    links = spark.createDataFrame([(a, b, n) for (a, b), n in times.items() if a != b], "parent string, child string, times int")
-    return gain, links
+    names = spark.createDataFrame(list(enumerate(columns)), "feature int, variable string")
+    return gain, tree_pairs(tree_nodes(spark, path), names)
+
+
+def tree_nodes(spark, path: str) -> DataFrame:
+    """(tree, node, left, right, feature) of a saved ensemble of trees: its inner nodes."""
+    t = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+    return t.where("leftChild >= 0").select(F.col("treeID").alias("tree"), F.col("id").alias("node"), F.col("leftChild").alias("left"), F.col("rightChild").alias("right"), F.col("split.featureIndex").alias("feature"))
+
+
+def tree_pairs(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """(parent, child, times): how often a variable splits right below another one; a self-join of the node table."""
+    child = nodes.select("tree", F.col("node").alias("below"), F.col("feature").alias("child_feature"))
+    ends = nodes.select("tree", "feature", F.explode(F.array("left", "right")).alias("below"))
+    pairs = ends.join(child, ["tree", "below"]).where("feature <> child_feature").groupBy("feature", "child_feature").agg(F.count("*").cast("int").alias("times"))
+    known = pairs.join(names.withColumnRenamed("variable", "parent"), "feature")
+    return known.join(names.select(F.col("feature").alias("child_feature"), F.col("variable").alias("child")), "child_feature").select("parent", "child", "times")
 
 
 def missed(importance: DataFrame, chosen: list[str], top: int = 25, share: float = 0.05) -> DataFrame:
