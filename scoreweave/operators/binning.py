@@ -15,6 +15,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,8 @@ from ..functions import scalar as S
 from . import splitters as P
 
 CLASSES, FEW, MAX_CATEGORIES = 512, 10, 50
+#: Distinct values, by a sketch, above which no limit is near.
+SURE = 1_000
 STATS = "var string, bin_no int, bin string, count long, bads long, goods long, propn double, bad_rate double, good_cap double, bad_cap double, iv double, ent double, pure string, trend string, woe double"
 
 
@@ -86,6 +89,7 @@ class Bins:
     kinds: dict[str, str]
     first: dict[str, list[Bin]] = field(default=None)
     too_many: list[str] = field(default_factory=list)  # factors with more categories than the limit
+    categories: dict[str, list[Bin]] = field(default_factory=dict)  # a factor's bins before categories were grouped
 
     def __post_init__(self) -> None:
         self.first = self.first or {v: list(b) for v, b in self.by_var.items()}
@@ -161,8 +165,9 @@ class Bins:
         return out.force_trend(True, up).force_trend(False, set(out.by_var) - up)
 
     def break_bin(self, variable: str) -> Bins:
-        """Back to one bin per category (or to the first bins of a number)."""
-        return self.reset({variable})
+        """One bin per category, also where categories were grouped from the start (a number: back to its first bins)."""
+        one = self.categories.get(variable)
+        return replace(self, by_var=self.by_var | {variable: list(one)}) if one else self.reset({variable})
 
     def table(self, spark, shrink: float = 0.0, bayes: float = 0.0) -> DataFrame:
         rows = [r for v, bins in self.by_var.items() for r in stats_of(v, bins, shrink, bayes)]
@@ -233,11 +238,19 @@ def credible_interval(b: Bin, all_bads: int, all_n: int, prior: float = 10.0, dr
 
 
 def kinds_of(df: DataFrame, variables: list[str], few: int = FEW) -> tuple[dict[str, str], dict[str, int]]:
-    """variable -> factor or numeric (a number with at most `few` distinct values is a factor), and distinct counts; the
-    count is approximate above the bound, exact enough below it."""
+    """variable -> factor or numeric (a number with at most `few` distinct values is a factor), and distinct counts.
+
+    A sketch tells the variables with many values apart (its error is far below the margin); the others are counted exactly, in one
+    pass over all of them with some hundred values each."""
     row = df.agg(*(F.approx_count_distinct(f"`{v}`", 0.02).alias(str(k)) for k, v in enumerate(variables))).first()
+    counts = {v: row[k] for k, v in enumerate(variables)}
+    near = [v for v in variables if counts[v] <= SURE]
+    if near:
+        pairs = F.array(*(F.struct(F.lit(v).alias("var"), F.col(f"`{v}`").cast("string").alias("value")) for v in near))
+        exact = df.select(F.explode(pairs).alias("x")).where("x.value is not null").groupBy("x.var", "x.value").agg(F.count("*")).groupBy("var").count()
+        counts |= {v: 0 for v in near} | {r["var"]: r["count"] for r in exact.collect()}  # a row per variable
     numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
-    return {v: "numeric" if v in numeric and row[k] > few else "factor" for k, v in enumerate(variables)}, {v: row[k] for k, v in enumerate(variables)}
+    return {v: "numeric" if v in numeric and counts[v] > few else "factor" for v in variables}, counts
 
 
 def fine_histogram(df: DataFrame, target: str, variables: list[str], distinct: dict[str, int], classes: int = CLASSES) -> DataFrame:
@@ -249,22 +262,21 @@ def fine_histogram(df: DataFrame, target: str, variables: list[str], distinct: d
         row = df.agg(*(F.percentile_approx(F.col(f"`{v}`").cast("double"), at, 20 * classes).alias(str(k)) for k, v in enumerate(many))).first()
         edges = {v: sorted(set(row[k] or [])) for k, v in enumerate(many)}
 
-    def classed(v: str) -> Column:
-        x = F.col(f"`{v}`").cast("double")
-        x = F.when(~F.isnan(x), x)
-        if v not in edges:
-            return x
-        ends = np.array(edges[v] + [np.inf])
-
-        @F.pandas_udf("double")
-        def upper(s: pd.Series) -> pd.Series:
-            out = ends[np.searchsorted(ends, s.to_numpy(float, na_value=np.nan), side="left").clip(0, len(ends) - 1)]
-            return pd.Series(np.where(s.isna(), np.nan, out)).where(s.notna().to_numpy(), None)
+    x = {v: F.when(~F.isnan(F.col(f"`{v}`").cast("double")), F.col(f"`{v}`").cast("double")) for v in variables}
+    t = df.where(F.col(target).isNotNull()).select(F.col(target).alias("y"), *(x[v].alias(f"x{k}") for k, v in enumerate(variables)), *((-x[v]).alias(f"n{k}") for k, v in enumerate(variables) if v in edges))
+    found = [k for k, v in enumerate(variables) if v in edges]
+    if found:  # the classes are closed on the right, those of the bucketizer on the left: it looks at the negative values
+        splits = [[-np.inf, *(-e for e in reversed(edges[variables[k]])), np.inf] for k in found]
+        t = Bucketizer(splitsArray=splits, inputCols=[f"n{k}" for k in found], outputCols=[f"c{k}" for k in found], handleInvalid="keep").transform(t)
 
-        return upper(x)
+    def classed(k: int, v: str) -> Column:
+        if v not in edges:
+            return F.col(f"x{k}")
+        highs = F.array(*(F.lit(float(h)) for h in [np.inf, *reversed(edges[v])]))
+        return F.when(F.col(f"x{k}").isNotNull(), F.element_at(highs, (F.col(f"c{k}") + 1).cast("int")))
 
-    pairs = F.array(*(F.struct(F.lit(v).alias("var"), classed(v).alias("high"), F.col(f"`{v}`").cast("double").alias("x")) for v in variables))
-    long = df.where(F.col(target).isNotNull()).select(F.col(target).alias("y"), F.explode(pairs).alias("p")).select("y", "p.var", "p.high", "p.x")
+    pairs = F.array(*(F.struct(F.lit(v).alias("var"), classed(k, v).alias("high"), F.col(f"x{k}").alias("x")) for k, v in enumerate(variables)))
+    long = t.select("y", F.explode(pairs).alias("p")).select("y", "p.var", "p.high", "p.x")
     return long.groupBy("var", "high").agg(F.count("*").alias("count"), F.sum(F.col("y").cast("long")).alias("bads"), F.min("x").alias("low"))
 
 
@@ -274,6 +286,7 @@ def get_bins(df: DataFrame, target: str, variables: list[str], config: P.Split =
     kinds, distinct = kinds_of(df, variables)
     numeric = [v for v in variables if kinds[v] == "numeric"]
     by_var: dict[str, list[Bin]] = {}
+    categories: dict[str, list[Bin]] = {}
     if numeric:
         fine = fine_histogram(df, target, numeric, distinct)
 
@@ -299,9 +312,10 @@ def get_bins(df: DataFrame, target: str, variables: list[str], config: P.Split =
     for v in (v for v in variables if kinds[v] == "factor" and distinct[v] <= max_categories):
         counts = df.where(F.col(target).isNotNull()).groupBy(F.col(f"`{v}`").alias("value")).agg(F.count("*").alias("n"), F.sum(F.col(target).cast("long")).alias("bads")).collect()  # at most max_categories rows
         one = [Bin(r["n"], r["bads"], (), (r["value"],)) for r in sorted((r for r in counts if r["value"] is not None), key=lambda r: str(r["value"]))]
-        by_var[v] = _grouped(one, config.max_bins) + [Bin(r["n"], r["bads"], missing=True) for r in counts if r["value"] is None]
+        missing = [Bin(r["n"], r["bads"], missing=True) for r in counts if r["value"] is None]
+        by_var[v], categories[v] = _grouped(one, config.max_bins) + missing, one + missing
     too_many = [v for v in variables if kinds[v] == "factor" and distinct[v] > max_categories]
-    return Bins({v: by_var[v] for v in variables if by_var.get(v)}, {v: kinds[v] for v in variables if by_var.get(v)}, too_many=too_many)
+    return Bins({v: by_var[v] for v in variables if by_var.get(v)}, {v: kinds[v] for v in variables if by_var.get(v)}, too_many=too_many, categories=categories)
 
 
 def _grouped(one: list[Bin], most: int) -> list[Bin]:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pyspark.sql.window import Window
+
 from ..functions import scalar as S
+from ..sources.shared import materialize
 
 
 def placed_after(df: DataFrame, new: str, source: str) -> DataFrame:
@@ -86,39 +89,56 @@ def constant_columns(df: DataFrame, columns: list[str]) -> list[str]:
 PROFILE = "Variable string, Include boolean, Role string, Type string, Level string, Cardinality long, Missing long, Convertible boolean, Whole boolean, Min double, Max double, DefaultBins int, OrderedDisplay string, MissingValues string, Samples string, Position int, Rows long"
 
 
+#: Samples per column; below so many distinct values an integer or a number in text is discrete, in text one bin each; above so many whole numbers in text are
+#: continuous; bins of a continuous variable (fixed values).
+SAMPLES, DISCRETE_INT, DISCRETE_TEXT, EACH_TEXT, CONTINUOUS_TEXT, DEFAULT_BINS = 5, 21, 20, 10, 50, 10
+
+
+def value_counts(df: DataFrame) -> DataFrame:
+    """(k, value, n): how often each value, as text, stands in column k; one unpivoted pass, counted within tasks first."""
+    pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"`{c}`").cast("string").alias("value")) for k, c in enumerate(df.columns)))
+    return df.select(F.explode(pairs).alias("x")).groupBy("x.k", "x.value").agg(F.count("*").alias("n"))
+
+
 def profile(df: DataFrame, target: str | None = None) -> DataFrame:
-    """A row per column: type, level of measurement, cardinality, missing values, bins and samples, from one aggregate."""
-    aggs: list[Column] = [F.count("*").alias("n")]
-    for k, f in enumerate(df.schema.fields):
-        c = F.col(f"`{f.name}`")
-        text = S.clean_text(c)
-        value = F.when(text.rlike(S.NUMBER), text.try_cast("double"))
-        aggs += [
-            F.count_distinct(c).alias(f"card{k}"),
-            F.count_if(c.isNull()).alias(f"null{k}"),
-            (F.count_if(text.isNotNull() & value.isNull()) == 0).alias(f"conv{k}"),
-            F.count(text).alias(f"seen{k}"),
-            F.coalesce(F.bool_and(value == F.bround(value, 0)), F.lit(False)).alias(f"whole{k}"),
-            F.min(value).alias(f"min{k}"),
-            F.max(value).alias(f"max{k}"),
-            F.concat_ws(", ", F.min(c.cast("string")), F.max(c.cast("string"))).alias(f"some{k}"),
-        ]
-    row = df.agg(*aggs).first()
-    rows = []
+    """A row per column: type, level of measurement, cardinality, missing values, bins and samples.
+
+    The table is unpivoted and counted once; everything follows from the counts of (column, value), which are written before they are read twice.  Samples
+    are the SAMPLES most frequent values, ties by text."""
+    counts = materialize(value_counts(df), "values")
+    text = S.clean_text(F.col("value"))
+    number = F.when(text.rlike(S.NUMBER), text.try_cast("double"))
+    facts = counts.withColumns({"text": text, "number": number}).groupBy("k").agg(
+        F.count("value").alias("card"),
+        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("missing"),
+        F.count_if(F.col("text").isNotNull() & F.col("number").isNull()).alias("odd"),
+        F.count("text").alias("seen"),
+        F.coalesce(F.bool_and(F.col("number") == F.bround("number", 0)), F.lit(False)).alias("whole"),
+        F.min("number").alias("min"),
+        F.max("number").alias("max"),
+    )
+    place = F.row_number().over(Window.partitionBy("k").orderBy(F.col("n").desc(), "value"))
+    first = counts.where("value is not null").withColumn("place", place).where(F.col("place") <= SAMPLES)
+    known = {r["k"]: r for r in facts.collect()}  # a row per column
+    some: dict[int, list[str]] = {}
+    for r in first.select("k", F.coalesce(S.clean_text(F.col("value")), "value").alias("value")).orderBy("k", "place").collect():  # SAMPLES rows per column
+        some.setdefault(r["k"], []).append(r["value"])
+    rows, n = [], df.count()
     for k, f in enumerate(df.schema.fields):
-        card, convertible, whole = row[f"card{k}"], bool(row[f"conv{k}"] and row[f"seen{k}"]), row[f"whole{k}"]
+        r = known.get(k)
+        card, convertible, whole = (r["card"], r["odd"] == 0 and r["seen"] > 0, bool(r["whole"])) if r else (0, False, False)
         if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
-            kind, level, bins = "integer", "discrete" if card < 21 else "continuous", 10 if card > 10 else card
+            kind, level, bins = "integer", "discrete" if card < DISCRETE_INT else "continuous", min(card, DEFAULT_BINS)
         elif isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
-            kind, level, bins = "float", "continuous", 10
+            kind, level, bins = "float", "continuous", DEFAULT_BINS
         elif not convertible:
             kind, level, bins = "factor", "nominal", 1
-        elif card < 20:
-            kind, level, bins = "factor", "discrete", card if card < 10 else 1
+        elif card < DISCRETE_TEXT:
+            kind, level, bins = "factor", "discrete", card if card < EACH_TEXT else 1
         else:
-            kind, level, bins = "factor", "continuous" if not whole or card > 50 else "discrete", 10
+            kind, level, bins = "factor", "continuous" if not whole or card > CONTINUOUS_TEXT else "discrete", DEFAULT_BINS
         own = f.name == target
-        rows.append((f.name, True, "target" if own else "predictor", kind, level, card, row[f"null{k}"], convertible, bool(whole), row[f"min{k}"], row[f"max{k}"], int(bins), "range" if own else None, "float" if own else None, row[f"some{k}"], k, row["n"]))
+        rows.append((f.name, True, "target" if own else "predictor", kind, level, card, r["missing"] if r else 0, convertible, whole, r["min"] if r else None, r["max"] if r else None, int(bins), "range" if own else None, "float" if own else None, ", ".join(some.get(k, [])), k, n))
     return df.sparkSession.createDataFrame(rows, PROFILE)
 
 

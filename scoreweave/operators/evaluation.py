@@ -317,6 +317,22 @@ def expected_loss(df: DataFrame, pd_col: str, ead: str, lgd: float = 0.45) -> Da
     return df.agg(F.bround(F.sum(F.col(pd_col) * F.col(ead) * lgd), 2).alias("expected_loss"), F.bround(F.sum(ead), 2).alias("exposure"), F.bround(F.sum(F.col(pd_col) * F.col(ead) * lgd) / F.sum(ead), 6).alias("loss_rate"))
 
 
+def risk_adjusted_return(df: DataFrame, actual: str, pd_col: str, ead: str, margin: float = 0.05, lgd: float = 0.45, term: float = 3.0, capital: float = 0.08, cost: float = 0.10) -> DataFrame:
+    """One row: exposure, revenue, expected and actual loss, capital and its charge, net profit, return on that capital (raroc) and on the exposure (roa)."""
+    e, p, y = (F.col(c).cast("double") for c in (ead, pd_col, actual))
+    t = df.where(e.isNotNull() & p.isNotNull() & y.isNotNull()).agg(F.sum(e).alias("e"), F.bround(F.sum(p * e * lgd), 2).alias("el"), F.sum(e * y * lgd).alias("al"))
+    e, el = F.col("e"), F.col("el")
+    revenue, held = e * margin * term, e * capital
+    charge = held * cost * term
+    net = revenue - el - charge
+    r = lambda x, digits, name: F.bround(x, digits).alias(name)
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    return t.select(
+        r(e, 2, "total_exposure"), r(revenue, 2, "expected_revenue"), r(el, 2, "expected_loss"), r(F.col("al"), 2, "actual_loss"), r(held, 2, "economic_capital"), r(charge, 2, "capital_charge"),
+        r(net, 2, "net_profit"), r(ratio(net, held), 4, "raroc"), r(ratio(net, e), 4, "roa"), r(ratio(el, revenue), 4, "loss_ratio"),
+    )
+
+
 def lorenz(hist: DataFrame) -> DataFrame:
     """(share of rows, share of events), from the highest score down."""
     return cumulated(hist).select((F.col("rows_in") / F.col("rows")).alias("rows_share"), (F.col("tp") / F.nullif("pos", F.lit(0))).alias("events_share"))

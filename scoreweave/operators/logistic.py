@@ -193,6 +193,19 @@ def stepwise(df: DataFrame, target: str, columns: list[str], direction: str = "b
         grouped.unpersist()
 
 
+def diagnose(df: DataFrame, columns: list[str], limit: float = 0.85, high: float = 10.0, least: float = 1e-10) -> DataFrame:
+    """(issue, a, b, value): variables of next to no variance, pairs correlated above `limit` (by size) and variables whose VIF is above
+    `high`; what stands in the way of a stable fit."""
+    from . import selection as V
+
+    low = V.variances(df, columns, least).where("low").select(F.lit("low variance").alias("issue"), F.col("variable").alias("a"), F.lit(None).cast("string").alias("b"), F.col("variance").alias("value"))
+    if len(columns) < 2:
+        return low
+    pairs = V.correlated_pairs(df, columns, limit).select(F.lit("high correlation").alias("issue"), "a", "b", F.abs("r").alias("value"))
+    inflated = V.vif(df, columns).where(F.col("vif") > high).select(F.lit("high vif").alias("issue"), F.col("variable").alias("a"), F.lit(None).cast("string").alias("b"), F.col("vif").alias("value"))
+    return low.union(pairs).union(inflated)
+
+
 def predict(df: DataFrame, coefficients: dict[str, float], cut: float = 0.5, inclusive: bool = False, missing_zero: bool = False) -> DataFrame:
     """df with probability (6 digits) and predicted; rows with a missing input get null unless missing counts as 0.
 

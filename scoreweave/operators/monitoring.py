@@ -60,10 +60,21 @@ def calibration(df: DataFrame, actual: str, p: str = "probability", bins: int =
     return t.select("bin", "count", "actual_bads", F.bround("o", 6).alias("observed_rate"), F.bround("p", 6).alias("predicted_rate"), F.bround(F.col("o") - F.col("p"), 6).alias("difference"), (F.abs(F.col("o") - F.col("p")) < 0.05).alias("calibrated"))
 
 
+def score_decile(df: DataFrame, c: Columns = Columns()):
+    """The quantile group of a score, 1 the highest; groups whose edges coincide are one."""
+    inner = E.quantile_edges(df.where(F.col(c.score).isNotNull()), c.score, 10)[1:-1]
+    return F.lit(len(inner) + 1) - E.bucket(F.col(c.score), inner)
+
+
+def diagnostics(df: DataFrame, c: Columns = Columns()) -> DataFrame:
+    """df with prediction_correct (funded loans only) and score_decile (1 the highest scores of all loans)."""
+    right = ((F.col("probability") > 0.5).cast("int") == F.col(c.bad)).cast("int")
+    return df.withColumns({"prediction_correct": F.when(F.col(c.funded) == 1, right), "score_decile": score_decile(df, c)})
+
+
 def deciles(df: DataFrame, c: Columns = Columns()) -> DataFrame:
     """Quantile groups of the score, 1 the highest; groups whose edges coincide are one."""
-    inner = E.quantile_edges(df.where(F.col(c.score).isNotNull()), c.score, 10)[1:-1]
-    at = F.lit(len(inner) + 1) - E.bucket(F.col(c.score), inner)
+    at = score_decile(df, c)
     run = Window.orderBy("decile").rowsBetween(Window.unboundedPreceding, 0)
     r = lambda x, name: F.bround(x, 4).alias(name)
     roi = [r(F.avg(c.roi), "avg_roi")] if c.roi else []
@@ -148,5 +159,4 @@ def monitor(current: DataFrame, baseline: DataFrame | None = None, points: float
     ]
     rows = [(m, *(None if x is None else float(x) for x in v), s, text) for m, *v, s, text in rows]
     summary = current.sparkSession.createDataFrame(rows, "metric string, current double, baseline double, delta double, status string, text string")
-    right = ((F.col("probability") > 0.5).cast("int") == F.col(c.bad)).cast("int")
-    return Report(summary, deciles(funded, c), cal, now.withColumn("prediction_correct", right), advice)
+    return Report(summary, deciles(funded, c), cal, diagnostics(now, c), advice)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .ordered import quantiles
 
 
 def interaction_parts(name: str) -> tuple[str, str] | None:
@@ -37,10 +40,60 @@ def build(bins: DataFrame, coefficients: dict[str, float], points: float = 600,
     return card
 
 
-def apply(df: DataFrame, card: DataFrame, keep: bool = True) -> DataFrame:
+#: Forms of a bin's label: ours, and expressions of a variable x as other tools write them (fixed patterns).
+INTERVAL = re.compile(r"\((?P<low>[^,\]]+), (?P<high>[^\]]+)\]")
+NUMBER = r"(-?[0-9.]+(?:[eE][+-]?[0-9]+)?|-?[Ii]nf)"
+COMPARED = re.compile(rf"(<=|>=|<|>|==)\s*{NUMBER}")
+LISTED = re.compile(r"%in%\s*c?\(([^)]*)\)|==\s*['\"]([^'\"]*)['\"]")
+
+
+def parsed_bin(label: str, value: Column) -> Column:
+    """Whether a value lies in the bin that a label names: `(a, b]`, `<= a`, `> a`, `{u, v}`, `NA`, `all`, several of them joined by `|`, or an
+    expression such as `x > 1 & x <= 2 | is.na(x)`, `x %in% c('u', 'v')`, `x == 'u'`."""
+    number, text, test = S.number(value), value.cast("string"), F.lit(False)
+    for part in re.split(r"\s*\|\s*", label.strip()):
+        part = part.strip()
+        if part in ("NA", "Missing") or "is.na" in part:
+            one = value.isNull()
+        elif part == "all":
+            one = value.isNotNull()
+        elif m := INTERVAL.fullmatch(part):
+            one = (number > float(m["low"])) & (number <= float(m["high"]))
+        elif part.startswith("{") and part.endswith("}"):
+            one = text.isin(*(x.strip() for x in part[1:-1].split(",")))
+        elif found := LISTED.findall(part):
+            one = text.isin(*(x.strip().strip("'\"") for listed, single in found for x in (listed.split(",") if listed else [single])))
+        elif found := COMPARED.findall(part):
+            one = F.lit(True)
+            for sign, bound in found:
+                bound = F.lit(float(bound))
+                one = one & {"<=": number <= bound, ">=": number >= bound, "<": number < bound, ">": number > bound, "==": number == bound}[sign]
+        else:
+            raise ValueError(f"not a bin: {label!r}")
+        test = test | F.coalesce(one, F.lit(False))
+    return test
+
+
+def apply_values(df: DataFrame, card: DataFrame, keep: bool = True) -> DataFrame:
+    """Scores raw values: each variable's bins are read from their labels, no b_ columns are needed."""
+    rows = card.where("var <> 'basepoints'").collect()  # a row per bin
+    labels: dict[str, Column] = {}
+    for r in rows:
+        if r["var"] in df.columns:
+            test = parsed_bin(r["bin"], F.col(f"`{r['var']}`"))
+            labels[r["var"]] = labels[r["var"]].when(test, r["bin"]) if r["var"] in labels else F.when(test, r["bin"])
+    out = apply(df.withColumns({f"b_{v}": c for v, c in labels.items()}), card, keep)
+    return out.drop(*(f"b_{v}" for v in labels if f"b_{v}" not in df.columns))
+
+
+def apply(df: DataFrame, card: DataFrame, keep: bool = True, missing_null: bool = False) -> DataFrame:
     """df with <var>_points, basescore and Score.  The card is a few hundred rows: it becomes maps in one projection.
 
-    Unknown labels give null points and count 0 in the sum; variables whose b_ columns are missing are left out."""
+    Unknown labels give null points and count 0 in the sum; variables whose b_ columns are missing are left out, or with missing_null get
+    null points."""
+    for c in ("var", "bin", "points"):
+        if c not in card.columns:
+            raise ValueError(f"the card has no column {c}")
     rows = card.collect()  # a row per bin
     if len({(r["var"], r["bin"]) for r in rows}) < len(rows):
         raise ValueError("the card has a bin twice")
@@ -59,6 +112,9 @@ def apply(df: DataFrame, card: DataFrame, keep: bool = True) -> DataFrame:
         elif f"b_{v}" in df.columns:
             label = F.col(f"`b_{v}`")
         else:
+            if missing_null:
+                names.append(f"{v}_points")
+                points.append(F.lit(None).cast("double").alias(f"{v}_points"))
             continue
         table = F.create_map(*(x for k, p in known.items() for x in (F.lit(k), F.lit(p))))
         names.append(f"{v}_points")
@@ -77,7 +133,8 @@ def achievable(card: DataFrame) -> DataFrame:
 
 def score_summary(df: DataFrame, score: str = "Score") -> DataFrame:
     c = F.col(score)
-    return df.agg(F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.bround(F.avg(c), 4).alias("mean"), F.median(c).alias("median"), F.bround(F.stddev_samp(c), 4).alias("std"))
+    found = quantiles(df, {score: [0.5]})[score]
+    return df.agg(F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.bround(F.avg(c), 4).alias("mean"), F.lit(float(found[0]) if found else None).cast("double").alias("median"), F.bround(F.stddev_samp(c), 4).alias("std"))
 
 
 def score_histogram(df: DataFrame, score: str = "Score") -> DataFrame:

@@ -69,6 +69,15 @@ def choose(table: DataFrame, top: int, degree: int = 1, names: tuple[str, ...] =
     return long.withColumn("at", at).where(F.col("at") <= top).groupBy("var").agg(F.count("*").alias("lists")).where(F.col("lists") >= degree)
 
 
+def assemble(df: DataFrame, target: str, chosen: list[str], missed_too: list[str] = (), pairs: list[tuple[str, str]] = (), most_missed: int = 25, top: int = 10) -> DataFrame:
+    """The table that goes on to the regression: the outcome, the chosen variables (as WOE where there is one), up to `most_missed` variables
+    that discovery found beside them, and the products of the `top` interactions whose two variables are in."""
+    at = lambda v: next((c for c in (v if v.startswith("WOE_") else f"WOE_{v}", v) if c in df.columns), None)
+    names = dict.fromkeys(c for c in (at(v) for v in [*chosen, *list(missed_too)[:most_missed]]) if c and c != target)
+    out = df.select(F.col(f"`{target}`"), *(F.col(f"`{c}`") for c in names))
+    return add_interactions(out, [(a, b) for a, b in ((at(a), at(b)) for a, b in pairs) if a in names and b in names], top)
+
+
 def correlations(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
     """(a, b, r) for all pairs, null pairs left out pair by pair, from one aggregate."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import binning, cleaning, logistic, scorecard, selection
+from ..operators import additive, binning, cleaning, logistic, scorecard, selection
 from .presets import WoeConfig, woe_config
 
 
@@ -44,6 +45,33 @@ def run_woe(df: DataFrame, target: str, variables: list[str] | None = None, conf
     return WoeResult(bins.apply(df, config.shrink, config.bayes), bins.table(spark, config.shrink, config.bayes), bins.summary(spark), bins, constant, found)
 
 
+@dataclass
+class SelectionResult:
+    measures: DataFrame
+    chosen: list[str]
+    missed: list[str]
+    interactions: DataFrame
+    collinear: list[tuple[str, float]]
+    table: DataFrame
+
+
+def run_selection(woe: WoeResult, target: str, top: int = 10, degree: int = 1, most_missed: int = 25, top_interactions: int = 10, limit: float = selection.HIGH) -> SelectionResult:
+    """Measures with ranks and discovered importances, the filter, variables that only discovery finds, interactions, collinearity, and the table for
+    the regression."""
+    ranked = selection.ranks(selection.measures(woe.bins))
+    names = [c for c in woe.woe.columns if c.startswith("WOE_")]
+    model = additive.fit(woe.woe, target, names)
+    spark = woe.woe.sparkSession
+    importance, pairs = model.importances(spark), model.interactions(spark)
+    measures = additive.with_importance(ranked, importance)
+    chosen = sorted(r["var"] for r in selection.choose(ranked, top, degree).collect())
+    missed = [r["variable"] for r in selection.missed(importance, chosen).orderBy(F.col("importance").desc(), "variable").collect()]  # `top` rows at most
+    pairs_list = [(r["variable_1"], r["variable_2"]) for r in pairs.collect()]  # 20 rows at most
+    table = selection.assemble(woe.woe, target, chosen, missed, pairs_list, most_missed, top_interactions)
+    kept, gone = selection.drop_collinear(table, [c for c in table.columns if c != target], limit)
+    return SelectionResult(measures, chosen, missed, pairs, gone, table.select(target, *kept))
+
+
 @dataclass
 class ModelResult:
     measures: DataFrame
