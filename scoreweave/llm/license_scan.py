@@ -2,7 +2,8 @@
 
 A block is a window of BLOCK words, and windows overlap by half, so that a notice may wrap over lines: every run of BLOCK / 2
 words of the whole text lies in a window.  A template matches a window that contains at least PERCENT of the template's
-distinct words, or all of them if the template has fewer than SHORT.  A template whose words are a part of another matching
+distinct words, or all of them if the template has fewer than SHORT, and if these stand close together and in the template's order: some
+stretch of the window, as long as the template or half as long again, holds enough of them, their first places rising.  A template whose words are a part of another matching
 template's is left out there: `licensed under CC BY-NC 4.0` is not `licensed under CC BY 4.0`.
 
 1. The templates' words are counted over all documents and ordered rarest first (one global order).
@@ -10,7 +11,7 @@ template's is left out there: `licensed under CC BY-NC 4.0` is not `licensed und
    rarest words.  Documents without any such word are not looked at again; windows meet templates only through them.
 3. *Length filter*: the window has at least t of the vocabulary.  *Positional filter*: with the shared word at position i of the
    template and j of the window (both in global order), the overlap is at most min(i, j) + 1 + min of what follows.
-4. What is left is verified; every window over the threshold is found.
+4. What is left is verified, by its words and by their places; every window over the threshold is found.
 
 Beside the blocks, fixed phrases are located by their words in the whole text (the base labels).  The templates are a
 parameter of the operator: a list, not a table that grows with the corpus, so its prefix words are broadcast.
@@ -32,6 +33,8 @@ from . import common as C
 #: Words of a window; share of a template's words; templates of fewer words must be held whole.
 BLOCK, PERCENT, SHORT = 64, 80, 12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Lengths of the stretch that holds a template's words, in hundredths of their number.
+STRETCH = (100, 150)
 #: Words of lower-cased text (fixed pattern).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before A-Z are lower-cased (fixed pattern).
@@ -53,6 +56,13 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "licensed under CC BY-SA 4.0"),
     ("cc0", "dedicated to the public domain under CC0 1.0"),
+    ("gpl", "this program is distributed in the hope that it will be useful, but without any warranty"),
+    ("apache", "you may not use this file except in compliance with the License"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("bsd", "redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("isc", "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("epl", "made available under the terms of the Eclipse Public License"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("reserved", "all rights reserved, no part of this may be reproduced without written permission"),
 )
 
@@ -65,6 +75,21 @@ def least(m: int, percent: int) -> int:
     return m if m < SHORT else -(-m * percent // 100)
 
 
+def stretches(m: int) -> list[int]:
+    return [-(-m * s // 100) for s in STRETCH]
+
+
+def in_order(block, ws, m: int, t: int):
+    """Whether a stretch of the block holds t of the template's m words, their first places in the template's order."""
+
+    def fits(start, size: int):
+        part = F.slice(block, start, F.lit(size))
+        places = F.transform(F.array_intersect(ws, part), lambda w: F.array_position(part, w))
+        return (F.size(places) >= t) & (places == F.array_sort(places))
+
+    return F.exists(F.sequence(F.lit(1), F.size(block)), lambda k: F.array_contains(ws, F.get(block, k - 1)) & (fits(k, stretches(m)[0]) | fits(k, stretches(m)[1])))
+
+
 def wider(templates) -> list[list[int]]:
     """For each template, those whose words are all of its words and more."""
     sets = [set(words_of(t)) for _, t in templates]
@@ -106,10 +131,10 @@ def block_matches(docs: DataFrame, doc_id: str, text: str, templates=TEMPLATES,
     windows = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("all", k * step + 1, BLOCK))
     lines = lines.select("id", "same", F.posexplode(windows).alias("line", "block"))
     held = F.array_intersect(F.lit(order), F.col("block"))
-    lines = lines.select("id", "same", "line", held.alias("held")).where(F.size("held") >= min(p[4] for p in prefix))
+    lines = lines.select("id", "same", "line", "block", held.alias("held")).where((F.size("held") >= min(p[4] for p in prefix)) & F.arrays_overlap("held", F.lit(first)))
     spark = docs.sparkSession
     lists = F.broadcast(spark.createDataFrame(prefix, "word string, template int, i int, m int, t int"))  # a few words of each template
-    met = lines.select("id", "same", "line", "held", F.posexplode("held").alias("j", "word")).join(lists, "word")
+    met = lines.select("id", "same", "line", "block", "held", F.posexplode("held").alias("j", "word")).join(lists, "word")
     overlap = F.least("i", "j") + 1 + F.least(F.col("m") - F.col("i") - 1, F.size("held") - F.col("j") - 1)
     met = met.where((F.size("held") >= F.col("t")) & (overlap >= F.col("t")))
     # A pair is verified at the first prefix word that its line holds.
@@ -117,6 +142,11 @@ def block_matches(docs: DataFrame, doc_id: str, text: str, templates=TEMPLATES,
     labels = F.create_map(*[x for k, label, _ in known for x in (F.lit(k), F.lit(label))])
     shared = F.array_intersect(F.col("held"), wholes[F.col("template")])
     met = met.withColumn("shared", shared).where((F.element_at("shared", 1) == F.col("word")) & (F.size("shared") >= F.col("t")))
+    placed = F.lit(False)
+    for k, (_, template) in enumerate(templates):
+        ws = words_of(template)
+        placed = F.when(F.col("template") == k, in_order(F.col("block"), F.lit(ws), len(ws), least(len(ws), percent))).otherwise(placed)
+    met = met.where(placed)
     found = met.groupBy("id", "same", "line").agg(F.collect_set(F.struct("template", (F.size("shared") / F.col("m")).alias("containment"))).alias("hits"))
     more = F.create_map(*[x for k, ws in enumerate(wider(templates)) for x in (F.lit(k), F.lit(ws) if ws else F.array().cast("array<int>"))])
     best = F.filter("hits", lambda h: ~F.exists("hits", lambda o: F.array_contains(more[h["template"]], o["template"])))
@@ -179,7 +209,10 @@ def op1_license_scan(spark, sf_dir: str) -> DataFrame:
 def oracle(templates=TEMPLATES, phrases=PHRASES, percent: int = PERCENT) -> str:
     quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
     more = wider(templates)
-    rows = ", ".join(f"({k}, '{label}', {quoted(words_of(t))}, {least(len(words_of(t)), percent)}, {more[k]}::INT[])" for k, (label, t) in enumerate(templates))
+    rows = ", ".join(f"({k}, '{label}', {quoted(words_of(t))}, {least(len(words_of(t)), percent)}, {more[k]}::INT[], {stretches(len(words_of(t)))})" for k, (label, t) in enumerate(templates))
+    part = "block[i : i + size - 1]"
+    at = f"list_transform(list_filter(ws, lambda w: list_contains({part}, w)), lambda w: list_position({part}, w))"
+    placed = f"EXISTS (SELECT 1 FROM (SELECT {at} AS places FROM (SELECT unnest(range(1, 1 + len(block))) AS i), (SELECT unnest(sizes) AS size)) WHERE len(places) >= least AND places = list_sort(places))"
     places = ", ".join(
         "list_filter(range(0, len(w)), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{p}'" for k, p in enumerate(phrase.split())) + f") AS at_{n}"
         for n, phrase in enumerate(phrases)
@@ -188,11 +221,12 @@ def oracle(templates=TEMPLATES, phrases=PHRASES, percent: int = PERCENT) -> str:
     own = " || ".join(f"(CASE WHEN len(at_{n}) > 0 THEN ['{label}'] ELSE [] END)" for n, label in enumerate(phrases.values()))
     return rf"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
-templates AS (SELECT * FROM (VALUES {rows}) AS t(k, label, ws, least, more)),
+templates AS (SELECT * FROM (VALUES {rows}) AS t(k, label, ws, least, more, sizes)),
 ws AS (SELECT r, doc_id, regexp_extract_all(low, '{WORD}') AS w FROM docs),
 numbered AS (SELECT r, w, unnest(range(0, 1 + CAST(greatest(0, ceil((len(w) - {BLOCK}) / {BLOCK // 2})) AS BIGINT))) AS line FROM ws),
 blocks AS (SELECT r, line, w[line * {BLOCK // 2} + 1 : line * {BLOCK // 2} + {BLOCK}] AS block FROM numbered),
-all_hits AS (SELECT r, line, k, label, more, len(list_intersect(ws, block)) / len(ws) AS containment FROM blocks, templates WHERE len(list_intersect(ws, block)) >= least),
+near_hits AS (SELECT *, len(list_intersect(ws, block)) / len(ws) AS containment FROM blocks, templates WHERE len(list_intersect(ws, block)) >= least),
+all_hits AS (SELECT r, line, k, label, more, containment FROM near_hits WHERE {placed}),
 hits AS (SELECT * FROM all_hits h WHERE NOT EXISTS (SELECT 1 FROM all_hits o WHERE o.r = h.r AND o.line = h.line AND list_contains(h.more, o.k))),
 found AS (SELECT r, list(DISTINCT label) AS found, max(containment) AS best, count(DISTINCT line) AS n_blocks FROM hits GROUP BY r),
 spots AS (SELECT r, doc_id, len(w) AS n_words, {places} FROM ws),

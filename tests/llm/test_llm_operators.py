@@ -661,6 +661,12 @@ def test_licenses_of_odd_rows(odd, none):
         ("Licensed under CC BY 4.0", "cc-by"),
         ("word " * 1000 + "Released under\nthe MIT License" + " word" * 1000, "mit"),
         ("the license of the public general is under no one", ""),
+        ("Released by the team under contract; the MIT course needs a driving license", ""),
+        ("The author licensed photos to the general reader. Version 2.0 of the public list, under apache trees, has no license", ""),
+        ("by the cc line licensed in 4 under 0 terms", ""),
+        ("licensed photos may stand under the sign; apache license, version 2.0 is what it is", "apache"),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted", "isc"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense"),
     ],
 )
 def test_license_labels(spark, text, labels):
