@@ -3,8 +3,9 @@
 A rule `host/path` fits its host and all subdomains if the URL's path starts with the rule's; the longest rule that fits
 wins.  URLs that a rule decides are the labelled ones; the trees are trained on at most SAMPLE of them (distinct, chosen by a
 hash), on length, depth, digit ratio, character entropy, parameter and label counts, and statistics of the host's suffix
-(its block rate among the training URLs, smoothed, and its count).  A training URL's own statistics come from the other FOLDS
-of the training URLs, so its label is no part of its features.  URLs that no rule fits get the trees' verdict.
+(its block rate among the domains of the training URLs, smoothed, and how many these are).  A domain counts once, however many
+URLs it has, so one rule's domain does not speak for all of its suffix; and a training URL's own statistics come from the
+domains of the other FOLDS, so neither its label nor its rule's other URLs are part of its features.  URLs that no rule fits get the trees' verdict.
 
 Everything but the fit is one projection over the pages; suffix statistics are learnt from the sample too, so their size is
 bounded by it.
@@ -72,6 +73,7 @@ def lexical(pages: DataFrame, url: str = "url") -> DataFrame:
             "labels": count(".", F.col("host")).cast("double"),
             "hyphens": count("-").cast("double"),
             "suffix": F.element_at(F.split("host", r"\."), -1),
+            "domain": F.substring_index("host", ".", -2),
         }
     )
 
@@ -84,19 +86,21 @@ def _with_suffix(rows: DataFrame, stats: DataFrame, rate: float) -> DataFrame:
 
 def train(labelled: DataFrame, url: str = "url", sample: int = SAMPLE):
     """lexical rows with y (1: block) -> (model or None, suffix statistics, block rate)."""
-    kept = labelled.select(url, "suffix", "y", *FEATURES[:-2]).dropDuplicates([url])
+    kept = labelled.select(url, "suffix", "domain", "y", *FEATURES[:-2]).dropDuplicates([url])
     kept = C.materialize(kept.orderBy(F.xxhash64(url), url).limit(sample), "urls").repartition(4)
     n, blocked = kept.agg(F.count("*"), F.sum("y")).first()
     rate = float(blocked or 0) / n if n else 0.0
     smoothed = lambda blocked, of: (blocked + PRIOR * rate) / (of + PRIOR)
-    stats = C.materialize(kept.groupBy("suffix").agg(smoothed(F.sum("y"), F.count("*")).alias("suffix_rate"), F.count("*").cast("double").alias("suffix_count")), "suffixes")
+    # At most `sample` rows: the block rate of each domain, and the fold it is in.
+    domains = C.materialize(kept.groupBy("suffix", "domain").agg(F.avg("y").alias("y")).withColumn("fold", F.pmod(F.xxhash64("domain"), F.lit(FOLDS))), "domains")
+    stats = C.materialize(domains.groupBy("suffix").agg(smoothed(F.sum("y"), F.count("*")).alias("suffix_rate"), F.count("*").cast("double").alias("suffix_count")), "suffixes")
     if not 0 < rate < 1:
         return None, stats, rate
-    # At most `sample` rows: what the other folds say of each URL's suffix.
     every, own = Window.partitionBy("suffix"), Window.partitionBy("suffix", "fold")
     others = lambda x: F.sum(x).over(every) - F.sum(x).over(own)
-    folded = kept.withColumn("fold", F.pmod(F.xxhash64(url), F.lit(FOLDS))).withColumn("one", F.lit(1.0))
-    folded = folded.withColumns({"suffix_rate": smoothed(others("y"), others("one")), "suffix_count": others("one") * FOLDS / (FOLDS - 1)})
+    folded = domains.withColumn("one", F.lit(1.0))
+    folded = folded.select("domain", smoothed(others("y"), others("one")).alias("suffix_rate"), (others("one") * FOLDS / (FOLDS - 1)).alias("suffix_count"))
+    folded = kept.join(folded, "domain")
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(folded).select("features", "y").repartition(4).cache()
     model = GBTClassifier(labelCol="y", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED).fit(ready)
     ready.unpersist()
