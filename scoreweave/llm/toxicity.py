@@ -4,8 +4,8 @@
 and near copies within the sample count once: rows that share one of four min-hashes of five-word shingles form a group and one stays.
 
 *All words.*  Every word of a text has a weight, and every example that stays is indexed, clean ones too.  Document
-frequencies of the examples' words are counted over all documents; a word that no example holds counts in the length of a
-text's vector as if one document held it.  The index is block-max: examples stand in blocks of 64, alike ones together (cut
+frequencies of the examples' words are counted over all documents.  Words that no example holds change the length of a text's
+vector only, and with it all its cosines alike: neither the order of its neighbours nor their votes, which weigh by share, depend on them.  The index is block-max: examples stand in blocks of 64, alike ones together (cut
 again and again along the main direction of their frequent words).  Lists of seldom words are short and summed for all
 examples; of frequent words each block knows the greatest weight.  Both give a bound per block, blocks are visited by
 descending bound, and the search ends when no bound reaches the k-th cosine.  Weights are 32-bit numbers, and what comes
@@ -15,13 +15,14 @@ within SLACK of the k-th cosine is summed again with 64 bits, so the k nearest a
 of 4 to 7 bytes) whose likelihood-ratio statistic against the label exceeds 2 ln(number of terms), so that chance terms stay
 out at every sample size, and that are LIFT times likelier in toxic examples.  These vectors have an index of the same kind.
 
-*Score.*  In either search the votes weigh as their cosine; a logistic curve over both votes, fitted on the sample with each
-row's own group left out, gives the probability.
+*Score.*  In either search the votes weigh as their cosine (over all words: as its share of the neighbours' sum); a logistic curve over
+both votes, fitted on the sample with each row's own group left out, gives the probability.
 
 Only texts are inputs of a score.  Whole texts are read.  Null and empty texts, and texts without any word of an example,
-have no neighbour and get the curve's value at votes 0.  A doc_id with several labels is toxic if one of them says so;
-null labels are ignored; without labels of both kinds every score is the sample's toxic share.  Rows that repeat are
-scored each; extra columns are not touched.
+have no neighbour and get the curve's value at votes 0.  A doc_id with several labels is toxic if one of them says so, and of rows that
+repeat a doc_id the least text is learnt from; null labels are ignored; without labels of both kinds every score is the
+sample's toxic share.  Rows that repeat are scored each; an empty table gives an empty result.  Extra columns are not touched, whatever
+their names; those named as a result (score, evidence) give way to it.
 """
 
 from __future__ import annotations
@@ -232,7 +233,8 @@ class Model:
         near = self.whole.bank.nearest([self.whole.vector(*hashed(x)) for x in texts], without)
         marked = self.bank.nearest([self.vector(x) for x in texts], without)
         vote = lambda toxic, f, s: float((s * toxic[f]).sum() / (s.sum() + 1.0)) if len(f) else 0.0
-        votes = [(vote(self.toxic, *m), vote(self.whole.toxic, *w)) for m, w in zip(marked, near)]
+        part = lambda f, s: float((s * self.whole.toxic[f]).sum() / s.sum()) if len(f) else 0.0
+        votes = [(vote(self.toxic, *m), part(*w)) for m, w in zip(marked, near)]
         return np.array(votes).reshape(-1, 2), [[self.whole.ids[k] for k in f[:5]] for f, _ in near]
 
     def probability(self, votes):
@@ -289,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return model
     picked = F.broadcast(spark.createDataFrame(chosen, "id string, toxic int"))
     rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text")).join(picked, "id")
-    rows = C.materialize(rows.where(F.length("text") > 0).dropDuplicates(["id"]).repartition(24, "id"), "labelled")
+    rows = C.materialize(rows.where(F.length("text") > 0).groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).repartition(24, "id"), "labelled")
 
     def sketch(frames):
         for pdf in frames:
@@ -369,7 +371,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1) and evidence (the ids of the nearest examples, nearest first)."""
+    """docs (whole rows) with score (0 to 1) and evidence (the ids of the nearest examples, nearest first)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, evidence array<string>")
@@ -380,7 +382,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             out += zip(m.probability(votes).tolist(), near)
         return pd.DataFrame(out, columns=["score", "evidence"])
 
-    return docs.withColumn("judged", judge(F.col(text))).select(*(F.col(c) for c in docs.columns), "judged.score", "judged.evidence")
+    rows = docs.select(F.struct("*").alias("row"), judge(F.col(text)).alias("judged"))  # so that no column of docs meets one of ours
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in ("score", "evidence")), "judged.score", "judged.evidence")
 
 
 def fold(doc_id: str = "doc_id"):
