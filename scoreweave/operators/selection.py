@@ -79,9 +79,15 @@ def assemble(df: DataFrame, target: str, chosen: list[str], missed_too: list[str
 
 
 def correlations(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
-    """(a, b, r) for all pairs, null pairs left out pair by pair, from one aggregate."""
+    """(a, b, r) for all pairs, null pairs left out pair by pair, from one aggregate; null where a variable does not vary."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*(F.bround(F.corr(f"`{a}`", f"`{b}`"), digits).alias(str(k)) for k, (a, b) in enumerate(pairs))).first()
+
+    def r(a: str, b: str):
+        x, y = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
+        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+    row = df.agg(*(F.bround(r(a, b), digits).alias(str(k)) for k, (a, b) in enumerate(pairs))).first()
     return df.sparkSession.createDataFrame([(a, b, row[k]) for k, (a, b) in enumerate(pairs)], "a string, b string, r double")
 
 

@@ -128,14 +128,16 @@ def _coarse(n: np.ndarray, most: int) -> list[np.ndarray]:
     return [g for g in np.split(np.arange(len(n)), np.flatnonzero(np.diff(edge)) + 1) if len(g)]
 
 
-def _small_merged(n, b, last, least: int, floor: int, nearer: bool):
-    """Groups below `least` join a neighbour (the left one, or the nearer in bad rate) while more than `floor` are left."""
+def _small_merged(n, b, last, least: int, floor: int, to: str):
+    """Groups below `least` join a neighbour while more than `floor` are left: the left one, the nearer in bad `rate`, or the smaller in `size`."""
     while len(n) > floor and (n < least).any():
         k = int(np.argmax(n < least))
         if k == 0:
             at = 0
-        elif k == len(n) - 1 or not nearer:
+        elif k == len(n) - 1 or to == "left":
             at = k - 1
+        elif to == "size":
+            at = k - 1 if n[k - 1] <= n[k + 1] else k
         else:
             rate = b / n
             at = k if abs(rate[k + 1] - rate[k]) < abs(rate[k] - rate[k - 1]) else k - 1
@@ -155,7 +157,7 @@ def chi_merge(n: np.ndarray, b: np.ndarray, c: Split) -> list[int]:
             break
         gn, gb, last = _merged(gn, k), _merged(gb, k), np.delete(last, k)
     least = max(int(n.sum() * c.min_share), c.min_count)
-    gn, gb, last = _small_merged(gn, gb, last, least, c.min_bins, nearer=False)
+    gn, gb, last = _small_merged(gn, gb, last, least, c.min_bins, "left")
     while len(gn) > c.max_bins:
         k = int(np.argmin(chi_square(gn[:-1], gb[:-1], gn[1:], gb[1:])))
         gn, gb, last = _merged(gn, k), _merged(gb, k), np.delete(last, k)
@@ -163,7 +165,8 @@ def chi_merge(n: np.ndarray, b: np.ndarray, c: Split) -> list[int]:
 
 
 def iv_optimal(n: np.ndarray, b: np.ndarray, c: Split) -> list[int]:
-    """From many groups, the merge that loses least information value is made until max_bins are left."""
+    """From many groups, the merge that loses least information value is made until max_bins are left (or until a merge would lose more
+    than min_iv_loss: then up to twice max_bins stay).  Small bins join their smaller neighbour."""
     start = len(n) if len(n) <= 20 else min(max(20, len(n) // 5), min(100, max(2, int(n.sum()) // 50)), len(n) - 1)
     groups = _coarse(n, start)
     gn, gb = np.array([n[g].sum() for g in groups], float), np.array([b[g].sum() for g in groups], float)
@@ -184,7 +187,7 @@ def iv_optimal(n: np.ndarray, b: np.ndarray, c: Split) -> list[int]:
             break
         gn, gb, last = join(k)
     least = max(int(n.sum() * c.min_share), c.min_count)
-    gn, gb, last = _small_merged(gn, gb, last, least, c.min_bins, nearer=True)
+    gn, gb, last = _small_merged(gn, gb, last, least, c.min_bins, "size")
     return last[:-1].tolist()
 
 
@@ -199,7 +202,7 @@ def isotonic(n: np.ndarray, b: np.ndarray, c: Split) -> list[int]:
             blocks[-1] = [blocks[-1][0] + x2, blocks[-1][1] + y2, last]
     gn, gb, last = (np.array([x[i] for x in blocks]) for i in range(3))
     least = max(int(n.sum() * c.min_share), c.min_count)
-    gn, gb, last = _small_merged(gn, gb, last, least, c.min_bins, nearer=True)
+    gn, gb, last = _small_merged(gn, gb, last, least, c.min_bins, "rate")
     while len(gn) > c.max_bins:
         k = int(np.argmin(np.abs(np.diff(gb / gn))))
         gn, gb, last = _merged(gn, k), _merged(gb, k), np.delete(last, k)
@@ -224,7 +227,7 @@ def spline(n: np.ndarray, b: np.ndarray, c: Split) -> list[int]:
     sn, sb = (np.add.reduceat(v, np.concatenate(([0], ends[:-1] + 1))) for v in (gn, gb))
     last = np.array([groups[k][-1] for k in ends])
     least = max(int(n.sum() * c.min_share), 20)
-    _, _, last = _small_merged(sn, sb, last, least, c.min_bins, nearer=True)
+    _, _, last = _small_merged(sn, sb, last, least, c.min_bins, "rate")
     return last[:-1].tolist()
 
 
