@@ -45,10 +45,10 @@ PIECES = "id string, piece int, start long, length long, ids_crc32 long"
 _TOKENIZERS: dict[str, Tokens] = {}
 
 
-#: How the vocabulary cuts lower-cased text of ASCII and Latin letters (fixed patterns): contractions, words, digits, the
+#: How the vocabulary cuts lower-cased text of ASCII and Latin letters (fixed patterns): words, contractions, digits, the
 #: rest; what makes a text leave that path; and what its words consist of (not U+0130, whose lower case is a letter and a mark).
-CUT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
-ODD = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]|<\|(?:startof|endof)text\|>")
+CUT = re.compile(rb"[a-z\x80-\xff]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9\x80-\xff]+")
+CONTROL, SPECIAL = bytes((*range(9), *range(14, 32), 127)), re.compile(rb"<\|(?:startof|endof)text\|>")
 LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 
 
@@ -60,7 +60,7 @@ class Tokens(dict):
     which the pre-tokenizer never joins, are tokenized as they stand.  Two generations of at most `most` pieces are remembered: a
     full one becomes the older, and what is met again moves on, so frequent pieces are never tokenized twice."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -105,7 +105,7 @@ class Tokens(dict):
 
     def encode_all(self, bodies) -> list[bytes]:
         """The ids of each text."""
-        cut = [None if ODD.search(b) else CUT.findall(b.lower()) for b in bodies]
+        cut = [None if len(b.translate(None, CONTROL)) < len(b) or b"<|" in b and SPECIAL.search(b) else CUT.findall(b.lower()) for b in bodies]
         held = set().union(*(c for c in cut if c))
         if len(self) + len(held) > self.most:
             self.older = dict(self)
