@@ -62,10 +62,12 @@ def ranks(table: DataFrame, names: tuple[str, ...] = MEASURES) -> DataFrame:
     return out.withColumns({"avg_rank": F.bround(mean, 2), "rank_agreement": F.bround(spread, 2)})
 
 
-def choose(table: DataFrame, top: int, degree: int = 1, names: tuple[str, ...] = MEASURES) -> DataFrame:
-    """Variables in the top lists of at least `degree` measures (1: union; all: intersection), with the number of lists."""
+def choose(table: DataFrame, top: int, degree: int = 1, names: tuple[str, ...] = MEASURES, ties: bool = False) -> DataFrame:
+    """Variables in the top lists of at least `degree` measures (1: union; all: intersection), with the number of lists.  With ties, all
+    that equal the last of a list are in it."""
     long = table.unpivot(["var"], [F.col(m) for m in names], "measure", "value").where("value is not null")
-    at = F.row_number().over(Window.partitionBy("measure").orderBy(F.col("value").desc(), "var"))
+    own = Window.partitionBy("measure")
+    at = F.rank().over(own.orderBy(F.col("value").desc())) if ties else F.row_number().over(own.orderBy(F.col("value").desc(), "var"))
     return long.withColumn("at", at).where(F.col("at") <= top).groupBy("var").agg(F.count("*").alias("lists")).where(F.col("lists") >= degree)
 
 

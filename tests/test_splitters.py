@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoreweave.operators import binning, logistic, scorecard, selection, splitters
+from scoreweave.plans import pipelines, presets
+from scoreweave.sources import synthetic
 
 
 def grouped(n, most):
@@ -185,7 +187,53 @@ def test_assembled_table(spark):
     assert t.columns == ["y", "WOE_a", "c", "WOE_d", "WOE_a_x_c", "WOE_a_x_WOE_d"] and t.first()["WOE_a_x_c"] == 8.0
 
 
+def test_ties_at_the_cut_off(spark):
+    t = spark.createDataFrame([("a", 3.0), ("b", 2.0), ("c", 2.0), ("d", 1.0)], "var string, iv double")
+    assert {r["var"] for r in selection.choose(t, 2, 1, ("iv",)).collect()} == {"a", "b"}
+    assert {r["var"] for r in selection.choose(t, 2, 1, ("iv",), ties=True).collect()} == {"a", "b", "c"}
+
+
 def test_diagnostics_of_one_variable(spark):
     df = spark.range(50).select(F.lit(3.0).alias("one"), F.rand(1).alias("x"))
     assert [(r["issue"], r["a"]) for r in logistic.diagnose(df, ["one"]).collect()] == [("low variance", "one")]
     assert {(r["issue"], r["a"]) for r in logistic.diagnose(df, ["one", "x"]).collect()} >= {("low variance", "one")}
+
+
+# ---------------------------------------------------------------- configuration, flows, synthetic loans
+
+
+def test_configuration_tables(spark):
+    """What is written as a table is read back; other rows change nothing."""
+    for config in (presets.woe_config("credit", max_bins=7, shrink=0.2), presets.SelectionConfig(top=3), presets.RegressionConfig("forward", 3.0), presets.ScorecardConfig(base_zero=True), presets.monitor_preset("aggressive")):
+        base = type(config)()
+        assert presets.configured(base, presets.as_table(spark, config)) == config
+    rows = spark.createDataFrame([("top", "missing"), ("degree", "2"), ("other", "1"), ("limit", None)], "name string, value string")
+    assert presets.configured(presets.SelectionConfig(), rows) == presets.SelectionConfig(degree=2)
+
+
+def test_selection_flow_keeps_what_matters(spark):
+    r = np.random.default_rng(2)
+    x = r.integers(0, 40, (4000, 4)).astype(float)
+    y = (r.random(4000) < 1 / (1 + np.exp(3 - 0.15 * x[:, 0]))).astype(int)
+    df = spark.createDataFrame([(*map(float, row), float(row[0] * 2), int(v)) for row, v in zip(x, y)], "a double, b double, c double, d double, twin double, y int")
+    found = pipelines.run_selection(pipelines.run_woe(df, "y", config="default"), "y", top=2)
+    assert {"a", "twin"} & set(found.chosen) and found.table.columns[0] == "y"
+    assert len({"WOE_a", "WOE_twin"} & set(found.table.columns)) == 1 and any(v in ("WOE_a", "WOE_twin") for v, _ in found.collinear)
+    top = found.measures.orderBy("importance_rank").first()
+    assert top["var"] in ("a", "twin") and "disagrees" in found.measures.columns
+
+
+def test_synthetic_loans_follow_their_rules(spark):
+    """Reruns agree, whatever the partitions; higher scores are approved more often and fail less; drift raises PSI."""
+    keys = spark.range(4000)
+    one, two = (synthetic.of_keys(k, "id").orderBy("loan_id").collect() for k in (keys, keys.repartition(7)))
+    assert one == two
+    rows = [r.asDict() for r in one]
+    half = sorted(r["score"] for r in rows)[2000]
+    rate = lambda what, test: float(np.mean([r[what] for r in rows if test(r)]))
+    low, high = (lambda r: r["score"] < half), (lambda r: r["score"] >= half)
+    assert rate("isApproved", high) > 5 * rate("isApproved", low) and rate("isBad", high) < rate("isBad", low) - 0.2
+    assert all(r["isApproved"] or not r["isFunded"] for r in rows) and all((r["ROI"] is not None) == bool(r["isFunded"]) for r in rows)
+    assert all(300 <= r["score"] <= 850 for r in rows) and rate("ROI", lambda r: r["isFunded"] and not r["isBad"]) > 1.1
+    said = {r["metric"]: r for r in synthetic.expected(synthetic.of_keys(keys, "id"), synthetic.of_keys(keys, "id", drift="severe")).collect()}
+    assert said["psi"]["production"] > 0.1 and said["psi"]["advice"] != "OK" and said["mean_score"]["change"] < 0
