@@ -75,7 +75,7 @@ class Tokens(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _words(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends, raw = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist(), ids.tobytes()
         if len(ends) != len(words):
             return [self._single(w) for w in words]
