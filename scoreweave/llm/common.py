@@ -137,6 +137,19 @@ def member(x: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
 COUNT, TWICE = np.uint16, np.uint8
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as bytes that compress well: the steps from one to the next, all their lowest bytes first, then the next ones, ..."""
+    steps = keys.copy()
+    steps[1:] -= keys[:-1]
+    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(blob: bytes, n: int) -> np.ndarray:
+    """The first n keys of a blob that begins with `packed` ones."""
+    steps = np.frombuffer(blob, np.uint8, 8 * n).reshape(8, n).T
+    return np.cumsum(np.ascontiguousarray(steps).view(U64).reshape(-1), dtype=U64)
+
+
 def key_rows(bucket: int, keys: np.ndarray, n_ranges: int, checks: np.ndarray | None = None, kind=COUNT) -> pd.DataFrame:
     """The distinct keys of a bucket with their counts, cut at the range borders; one row per range that has any.
 
@@ -156,7 +169,7 @@ def key_rows(bucket: int, keys: np.ndarray, n_ranges: int, checks: np.ndarray |
         {
             "range": ranges.astype(np.int32),
             "bucket": np.full(len(ranges), bucket, np.int32),
-            "keys": [keys[a:b].tobytes() + (b"" if checks is None else checks[a:b].tobytes()) for a, b in zip(starts, ends)],
+            "keys": [packed(keys[a:b]) + (b"" if checks is None else checks[a:b].tobytes()) for a, b in zip(starts, ends)],
             "counts": [counts[a:b].tobytes() for a, b in zip(starts, ends)],
         }
     )
@@ -174,8 +187,8 @@ def shared_keys(keys: DataFrame, checked: bool = False, kind=COUNT) -> DataFrame
     only TWICE was asked for)."""
 
     def halves(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-        both = np.frombuffer(blob, U64)
-        return (both[: len(both) // 2], both[len(both) // 2 :]) if checked else (both, both[:0])
+        n = len(blob) // (16 if checked else 8)
+        return unpacked(blob, n), np.frombuffer(blob, U64, offset=8 * n)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [halves(x) for x in pdf["keys"]]
@@ -194,7 +207,7 @@ def shared_keys(keys: DataFrame, checked: bool = False, kind=COUNT) -> DataFrame
             keep = sums > 1
             if keep.any():
                 back = b"" if kind is TWICE else np.minimum(sums[keep], np.iinfo(kind).max).astype(kind).tobytes()
-                out.append((bucket, own[keep].tobytes() + (second[keep].tobytes() if checked else b""), back))
+                out.append((bucket, packed(own[keep]) + (second[keep].tobytes() if checked else b""), back))
             at += len(own)
         return pd.DataFrame(out, columns=["bucket", "keys", "counts"])
 
@@ -203,13 +216,12 @@ def shared_keys(keys: DataFrame, checked: bool = False, kind=COUNT) -> DataFrame
 
 def received(pdf: pd.DataFrame, checked: bool = False, kind=COUNT) -> tuple[np.ndarray, np.ndarray]:
     """The keys that came back to a bucket, sorted, with their checks or else their counts."""
-    both = [np.frombuffer(x, U64) for x in pdf["keys"]]
+    sizes = [len(x) // (16 if checked else 8) for x in pdf["keys"]]
+    keys = np.concatenate([unpacked(x, n) for x, n in zip(pdf["keys"], sizes)]) if sizes else np.empty(0, U64)
     if checked:
-        keys = np.concatenate([x[: len(x) // 2] for x in both]) if both else np.empty(0, U64)
-        more = np.concatenate([x[len(x) // 2 :] for x in both]) if both else np.empty(0, U64)
+        more = np.concatenate([np.frombuffer(x, U64, offset=8 * n) for x, n in zip(pdf["keys"], sizes)]) if sizes else np.empty(0, U64)
         order = np.lexsort((more, keys))
     else:
-        keys = np.concatenate(both) if both else np.empty(0, U64)
         more = np.frombuffer(b"".join(pdf["counts"]), kind)
         order = np.argsort(keys)
     return keys[order], more[order] if len(more) else more

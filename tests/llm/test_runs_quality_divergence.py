@@ -249,3 +249,9 @@ def test_shared_folder_without_a_setting(spark):
     path = common.shared_dir(spark)
     assert spark.conf.get("spark.checkpoint.dir", None) == before
     assert common.shared_dir(spark) == path and (before or path.startswith("file:///"))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 999])
+def test_packed_keys_come_back(n):
+    keys = np.sort(np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64))
+    assert (common.unpacked(common.packed(keys) + b"what follows", n) == keys).all()
