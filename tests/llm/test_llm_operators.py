@@ -3,6 +3,7 @@ repeated rows, empty tables, extra columns."""
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -708,3 +709,13 @@ def test_pipeline_with_odd_rows(spark, odd, none):
     for df in (odd, none):
         for name, stage in P.STAGES:
             df = common.materialize(stage(spark, df, SF), name)
+
+
+def test_license_words_are_found_without_ranges(spark):
+    """Java tries a class's ranges one after the other for each character; the patterns that Spark gets have none, and the text is lower-cased once per filter."""
+    every = "".join(map(chr, range(0x250))) + "é K İ ß A9 \U0001f600x z"
+    for pattern in (license_scan.WORD, license_scan.RAW_WORD):
+        assert re.findall(license_scan.listed(pattern), every) == re.findall(pattern, every)
+    plan = license_scan.scan(spark.createDataFrame([(1, every)], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "\\x00-" not in plan
+    assert all(line.count("lower(") <= 2 for line in plan.split("\n") if "Filter" in line)
