@@ -15,6 +15,8 @@ from ..sources.shared import shared_dir
 
 MEASURES = ("iv", "entropy", "gini", "chi_square", "likelihood_ratio", "odds_ratio")
 HIGH, MODERATE, CAP = 10.0, 5.0, 999.99
+#: Rows of a part of the table that trees are grown on: each task reads its part from memory again and again, some 300 bytes a row.
+TREE_ROWS = 1_000_000
 
 
 def measures(bins: DataFrame) -> DataFrame:
@@ -165,10 +167,16 @@ def add_interactions(df: DataFrame, pairs: list[tuple[str, str]], top: int = 10)
     return df.withColumns({f"{a}_x_{b}": F.col(f"`{a}`") * F.col(f"`{b}`") for a, b in held}) if held else df
 
 
+def tree_parts(data: DataFrame, n: int, part_rows: int | None = None) -> DataFrame:
+    """data (n rows) in parts of at most TREE_ROWS rows or so; small tables as they are."""
+    part_rows = part_rows or TREE_ROWS
+    return data if n <= part_rows else data.repartition(max(-(-n // part_rows), data.sparkSession.sparkContext.defaultParallelism))
+
+
 def boosted_importance(df: DataFrame, target: str, columns: list[str], trees: int = 30, depth: int = 4, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(variable, importance) and (parent, child, times) of boosted trees: which variables split below which."""
     data = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(df.select(F.col(target).cast("double").alias("y"), *(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) for c in columns))).select("features", "y")
-    model = GBTClassifier(labelCol="y", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.5", seed=seed).fit(data)
+    model = GBTClassifier(labelCol="y", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.5", seed=seed).fit(tree_parts(data, df.count()))
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/trees-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
     gain = spark.createDataFrame([(c, float(x)) for c, x in zip(columns, model.featureImportances.toArray())], "variable string, importance double")

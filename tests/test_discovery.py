@@ -117,3 +117,12 @@ def test_stream_in_batches_and_after_a_restart(spark, tmp_path):
     splits = got.splits(splitters.Split("iv_optimal", max_bins=5, min_share=0.05))
     assert 1 <= len(splits) <= 9 and splits == sorted(splits)
     assert spark.read.parquet(f"{folder}/shards").select("batch").distinct().count() >= 5
+
+
+def test_trees_are_grown_on_parts_of_bounded_size(spark, planted, monkeypatch):
+    seen, parts = [], selection.tree_parts
+    monkeypatch.setattr(selection, "TREE_ROWS", 100)
+    monkeypatch.setattr(selection, "tree_parts", lambda data, n: seen.append(parts(data, n)) or seen[-1])
+    gain = selection.boosted_importance(planted, "isBad", ["steep", "step"], trees=1, depth=1)[0]
+    assert gain.count() == 2 and max(seen[0].rdd.glom().map(len).collect()) <= 200 and seen[0].count() == planted.count()
+    assert selection.tree_parts(planted, 100) is planted
