@@ -75,13 +75,21 @@ def numbered(df: DataFrame, order: list[Column], by: list[str] = (), part_rows:
 def rolling_mean(df: DataFrame, value: str, order: list[Column], width: int, by: list[str] = (), name: str = "rolling", part_rows: int | None = None) -> DataFrame:
     """df with the mean of `width` rows around each row (width // 2 before it, the rest behind; fewer at the ends).
 
-    A window's sum is the difference of two running sums, looked up by position, so the width may be any part of the table.
-    Nulls count neither as value nor as row."""
+    A window's sum is the difference of two running sums, looked up by position, so the width may be any part of the table; one sort
+    gives positions and running sums.  All columns of df travel with the rows: leave out what is not wanted.  Nulls count neither as value nor as row."""
     by, own = list(by), Window.partitionBy(*by)
-    t = materialize(numbered(df, order, by, part_rows), "numbered")
-    y = F.col(value).cast("double")
-    sums = t.select(*by, "_at", F.coalesce(y, F.lit(0.0)).alias("_y"), y.isNotNull().cast("long").alias("_n"))
-    sums = materialize(running(sums, "_at", ["_y", "_n"], by, descending=False, part_rows=part_rows).select(*by, "_at", "_y_in", "_n_in"), "sums")
+    y, n = F.col(value).cast("double"), df.count()
+    t = df.withColumns({"_y": F.coalesce(y, F.lit(0.0)), "_c": y.isNotNull().cast("long")})
+    if n <= (part_rows or PART_ROWS):
+        ahead, along, rows = (lambda c: F.lit(0)), own.orderBy(*order), F.count("*").over(own)
+    else:
+        t = _with_ahead(parted(t, by, order, n, part_rows), by, {"_n": F.count("*"), "_y": F.sum("_y"), "_c": F.sum("_c")})
+        ahead, along, rows = (lambda c: F.col(f"{c}_ahead")), Window.partitionBy("_part", *by).orderBy(*order), F.col("_n_all")
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    at = ahead("_n") + F.row_number().over(along)
+    t = t.withColumns({"_at": at.cast("long"), "_rows": rows, "_y_in": ahead("_y") + F.sum("_y").over(upto), "_n_in": ahead("_c") + F.sum("_c").over(upto)})
+    t = materialize(t.select(*df.columns, "_at", "_rows", "_y_in", "_n_in"), "numbered")
+    sums, t = t.select(*by, "_at", "_y_in", "_n_in"), t.drop("_y_in", "_n_in")
     before, behind = width // 2, (width - 1) // 2
 
     def look(t: DataFrame, at: Column, suffix: str) -> DataFrame:

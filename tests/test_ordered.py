@@ -197,3 +197,14 @@ def test_smoothing_spline_is_that_of_a_dense_solve():
 def test_inflection_of_a_cubic():
     x = np.linspace(0, 10, 200)
     assert exact_splits.inflections(x, 0.5 + ((x - 4) ** 3) / 600) == pytest.approx([4.0])
+
+
+def test_rolling_rate_writes_narrow_tables(spark, monkeypatch):
+    """Two intermediate tables, with the columns that are wanted: not five with all of lineitem."""
+    from scoreweave import suite
+
+    written, write = [], ordered.materialize
+    monkeypatch.setattr(ordered, "materialize", lambda df, name: written.append(df.columns) or write(df, name))
+    monkeypatch.setattr(ordered, "PART_ROWS", 1000)
+    assert suite.QUERIES["rolling_rate"](spark, "/root/testdata/sf0.001").count() > 5000
+    assert len(written) == 2 and max(map(len, written)) <= 12
