@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from math import ceil, floor
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -109,6 +111,42 @@ def rolling_mean(df: DataFrame, value: str, order: list[Column], width: int, by:
 CLASSES, FEW = 1_024, 10_000
 
 
+def _classes(t: DataFrame, p: int, spans: list[tuple[int, float, float, bool]]) -> DataFrame:
+    """(i, cls, n, lo, hi): rows, least and greatest value of each class of the intervals (column, low, high, whether it is cut into CLASSES; else
+    each value is a class).  Intervals of a column do not overlap; rows are counted within tasks first, by one look-up per value."""
+    plan = []
+    for k in range(p):
+        own = sorted((low, high, cut, i) for i, (c, low, high, cut) in enumerate(spans) if c == k)
+        if own:
+            plan.append((k, *(np.array(x) for x in zip(*own))))
+
+    def tally(frames):
+        held = {k: (np.zeros(len(low) * CLASSES, np.int64), np.full(len(low) * CLASSES, np.inf), np.full(len(low) * CLASSES, -np.inf)) for k, low, _, _, _ in plan}
+        few = [(np.empty(0, np.int64), np.empty(0))]  # (interval, value) of intervals of few rows
+        for pdf in frames:
+            for k, low, high, cut, ids in plan:
+                v = pdf[f"x{k}"].to_numpy(float)
+                at = np.minimum(np.searchsorted(high, v), len(high) - 1)
+                inside = np.flatnonzero((v >= low[at]) & (v <= high[at]))
+                v, at = v[inside], at[inside]
+                fine = cut[at]
+                few.append((ids[at[~fine]], v[~fine]))
+                v, at = v[fine], at[fine]
+                cls = np.minimum(np.floor((v / 2 - low[at] / 2) / (high[at] / 2 - low[at] / 2) * CLASSES), CLASSES - 1).astype(np.int64)
+                n, lo, hi = held[k]
+                n += np.bincount(at * CLASSES + cls, minlength=len(n))
+                np.minimum.at(lo, at * CLASSES + cls, v)
+                np.maximum.at(hi, at * CLASSES + cls, v)
+        for k, _, _, _, ids in plan:
+            n, lo, hi = held[k]
+            some = np.flatnonzero(n)
+            yield pd.DataFrame({"i": ids[some // CLASSES], "cls": (some % CLASSES).astype(float), "n": n[some], "lo": lo[some], "hi": hi[some]})
+        i, v = (np.concatenate(x) for x in zip(*few))
+        yield pd.DataFrame({"i": i, "cls": v, "n": 1, "lo": v, "hi": v}).groupby(["i", "cls"], as_index=False).agg({"n": "sum", "lo": "min", "hi": "max"})
+
+    return t.mapInPandas(tally, "i int, cls double, n long, lo double, hi double").groupBy("i", "cls").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
 def quantiles(df: DataFrame, shares: dict[str, list[float]], small: int = PART_ROWS) -> dict[str, list[float]]:
     """Exact quantiles (linear between neighbours) of several columns at once; nulls, NaN and infinite values are left out.
 
@@ -136,16 +174,8 @@ def quantiles(df: DataFrame, shares: dict[str, list[float]], small: int = PART_R
         if not spans:
             break
 
-        def classed(i: int, span: tuple[int, float, float]) -> Column:
-            k, low, high = span
-            v = F.col(f"x{k}")
-            cls = F.least(F.floor((v / 2 - low / 2) / (high / 2 - low / 2) * CLASSES), F.lit(CLASSES - 1)).cast("double") if open_[span][1] > FEW else v
-            return F.when((v >= low) & (v <= high), F.struct(F.lit(i).alias("i"), cls.alias("cls"), v.alias("v")))
-
-        each = F.filter(F.array(*(classed(i, s) for i, s in enumerate(spans))), lambda e: e.isNotNull())
-        counts = t.select(F.explode(each).alias("e")).groupBy("e.i", "e.cls").agg(F.count("*").alias("n"), F.min("e.v").alias("lo"), F.max("e.v").alias("hi")).collect()
         found: dict[int, list] = {}
-        for r in counts:  # CLASSES (or FEW) rows an interval at most
+        for r in _classes(t, len(names), [(*span, open_[span][1] > FEW) for span in spans]).collect():  # CLASSES (or FEW) rows an interval at most
             found.setdefault(r["i"], []).append(r)
         for i, span in enumerate(spans):
             below, _, ranks = open_.pop(span)

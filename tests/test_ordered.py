@@ -208,3 +208,18 @@ def test_rolling_rate_writes_narrow_tables(spark, monkeypatch):
     monkeypatch.setattr(ordered, "PART_ROWS", 1000)
     assert suite.QUERIES["rolling_rate"](spark, "/root/testdata/sf0.001").count() > 5000
     assert len(written) == 2 and max(map(len, written)) <= 12
+
+
+def test_quantile_classes_are_counted_within_tasks(spark):
+    """A row per class and task leaves the tasks, whatever their rows; the counts are those of the sorted values."""
+    r = np.random.default_rng(4)
+    v = np.concatenate([r.normal(size=4000), np.repeat(0.5, 1000), [np.nan] * 50])
+    t = spark.createDataFrame([(None if np.isnan(x) else float(x), float(k)) for k, x in enumerate(v)], "x0 double, x1 double")
+    known = v[~np.isnan(v)]
+    got = ordered._classes(t, 2, [(0, known.min(), 0.5, True), (1, 10.0, 19.0, False)]).collect()
+    first = [g for g in got if g["i"] == 0]
+    assert len(first) <= ordered.CLASSES and sum(g["n"] for g in first) == (known <= 0.5).sum()
+    assert all(g["n"] == ((known >= g["lo"]) & (known <= g["hi"])).sum() for g in first)
+    assert sorted((g["cls"], g["n"]) for g in got if g["i"] == 1) == [(float(k), 1) for k in range(10, 20)]
+    shares = [0.0, 0.1, 0.5, 0.77, 1.0]
+    assert np.allclose(ordered.quantiles(t, {"x0": shares}, small=10)["x0"], np.quantile(known, shares), rtol=0, atol=1e-12)
