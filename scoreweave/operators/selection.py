@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -17,6 +18,8 @@ MEASURES = ("iv", "entropy", "gini", "chi_square", "likelihood_ratio", "odds_rat
 HIGH, MODERATE, CAP = 10.0, 5.0, 999.99
 #: Rows of a part of the table that trees are grown on: each task reads its part from memory again and again, some 300 bytes a row.
 TREE_ROWS = 1_000_000
+#: Groups in which tasks' co-moments are merged.
+SALT = 32
 
 
 def measures(bins: DataFrame) -> DataFrame:
@@ -115,16 +118,35 @@ def overlaps(table: DataFrame, top: int, names: tuple[str, ...] = MEASURES) -> D
     return listed.withColumnRenamed("measure", "a").join(listed.withColumnRenamed("measure", "b"), "var").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+def _covariances(full: DataFrame, p: int) -> np.ndarray:
+    """Population covariances of p columns without nulls.  Each task keeps its rows, means and co-moments only; tasks are merged in groups first."""
+
+    def merged(parts):
+        n, mean, co = 0, np.zeros(p), np.zeros((p, p))
+        for rows, m, c in parts:
+            delta, n = m - mean, n + rows
+            co += c + np.outer(delta, delta) * ((n - rows) * rows / n)
+            mean += delta * (rows / n)
+        return pd.DataFrame({"n": [n], "mean": [mean.tobytes()], "co": [co.tobytes()]})
+
+    def tally(frames):
+        arrays = (pdf.to_numpy(float) for pdf in frames if len(pdf))
+        yield merged((len(x), m, (x - m).T @ (x - m)) for x in arrays for m in [x.mean(axis=0)])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return merged((n, np.frombuffer(m, float), np.frombuffer(c, float).reshape(p, p)) for n, m, c in zip(pdf["n"], pdf["mean"], pdf["co"]) if n)
+
+    shape = "n long, mean binary, co binary"
+    some = full.mapInPandas(tally, shape).groupBy(F.pmod(F.spark_partition_id(), F.lit(SALT))).applyInPandas(add, shape)
+    row = some.groupBy().applyInPandas(add, shape).first()
+    return np.frombuffer(row["co"], float).reshape(p, p) / row["n"] if row and row["n"] else np.zeros((p, p))
+
+
 def _matrix(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Correlation matrix and standard deviations with medians for nulls: two aggregates, whatever follows."""
+    """Correlation matrix and standard deviations with medians for nulls: two passes, whatever follows."""
     mid = df.agg(*(F.percentile_approx(f"`{c}`", 0.5, 10_000).alias(str(k)) for k, c in enumerate(columns))).first()
     full = df.select(*(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float(mid[k] or 0))).alias(f"c{k}") for k, c in enumerate(columns)))
-    n = len(columns)
-    at = [(i, j) for i in range(n) for j in range(i, n)]
-    row = full.agg(*(F.covar_pop(f"c{i}", f"c{j}").alias(f"{i}_{j}") for i, j in at)).first()
-    cov = np.zeros((n, n))
-    for i, j in at:
-        cov[i, j] = cov[j, i] = row[f"{i}_{j}"] or 0.0
+    cov = _covariances(full, len(columns))
     sd = np.sqrt(np.diag(cov))
     return cov / np.outer(np.where(sd > 0, sd, 1), np.where(sd > 0, sd, 1)), sd
 

@@ -152,3 +152,11 @@ def test_quotes_and_categories(spark):
     assert spark.createDataFrame([(deep,)], "t string").select(scalar.clean_text(F.col("t"))).first()[0] == "x"
     df = spark.createDataFrame([(f"c{k}", float(k), k % 2) for k in range(60)], "f string, x double, y int")
     assert binning.get_bins(df, "y", ["f", "x"]).too_many == ["f"]
+
+
+def test_covariances_are_merged_from_tasks(spark):
+    """One row a task leaves the rows, and the matrix is that of all rows."""
+    x = np.random.default_rng(6).normal(size=(3000, 4)) @ np.diag([1, 10, 0.1, 0]) + 1000
+    df = spark.createDataFrame(x.tolist(), "a double, b double, c double, d double").repartition(7)
+    assert np.allclose(selection._covariances(df, 4), np.cov(x.T, bias=True), rtol=1e-9, atol=1e-9)
+    assert (selection._covariances(df.where("a < 0"), 4) == 0).all()
