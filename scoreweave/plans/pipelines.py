@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import additive, binning, cleaning, logistic, scorecard, selection
+from ..sources.shared import materialize
 from .presets import WoeConfig, woe_config
 
 
@@ -60,14 +61,15 @@ def run_selection(woe: WoeResult, target: str, top: int = 10, degree: int = 1, m
     the regression."""
     ranked = selection.ranks(selection.measures(woe.bins))
     names = [c for c in woe.woe.columns if c.startswith("WOE_")]
-    model = additive.fit(woe.woe, target, names)
+    weights = materialize(woe.woe.select(target, *names), "weights")  # long CASE expressions: computed once for all passes that follow
+    model = additive.fit(weights, target, names)
     spark = woe.woe.sparkSession
     importance, pairs = model.importances(spark), model.interactions(spark)
     measures = additive.with_importance(ranked, importance)
     chosen = sorted(r["var"] for r in selection.choose(ranked, top, degree).collect())
     missed = [r["variable"] for r in selection.missed(importance, chosen).orderBy(F.col("importance").desc(), "variable").collect()]  # `top` rows at most
     pairs_list = [(r["variable_1"], r["variable_2"]) for r in pairs.collect()]  # 20 rows at most
-    table = selection.assemble(woe.woe, target, chosen, missed, pairs_list, most_missed, top_interactions)
+    table = selection.assemble(weights, target, chosen, missed, pairs_list, most_missed, top_interactions)
     kept, gone = selection.drop_collinear(table, [c for c in table.columns if c != target], limit)
     return SelectionResult(measures, chosen, missed, pairs, gone, table.select(target, *kept))
 

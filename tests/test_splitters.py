@@ -237,3 +237,12 @@ def test_synthetic_loans_follow_their_rules(spark):
     assert all(300 <= r["score"] <= 850 for r in rows) and rate("ROI", lambda r: r["isFunded"] and not r["isBad"]) > 1.1
     said = {r["metric"]: r for r in synthetic.expected(synthetic.of_keys(keys, "id"), synthetic.of_keys(keys, "id", drift="severe")).collect()}
     assert said["psi"]["production"] > 0.1 and said["psi"]["advice"] != "OK" and said["mean_score"]["change"] < 0
+
+
+def test_selection_computes_weights_once(spark, monkeypatch):
+    """All passes of the selection read the written weights, not the CASE expressions."""
+    written, write = [], pipelines.materialize
+    monkeypatch.setattr(pipelines, "materialize", lambda df, name: written.append(df.columns) or write(df, name))
+    df = spark.createDataFrame([(float(k % 40), float(k % 7), int(k % 40 > 15 + k % 11)) for k in range(3000)], "a double, b double, y int")
+    found = pipelines.run_selection(pipelines.run_woe(df, "y", config="default"), "y", top=2)
+    assert written == [["y", "WOE_a", "WOE_b"]] and "CASE" not in found.table._jdf.queryExecution().optimizedPlan().toString()
