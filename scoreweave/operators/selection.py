@@ -1,23 +1,35 @@
-"""Variable selection: measures over bins, ranks, filters, collinearity and interaction screening."""
+"""Variable selection: measures over bins, ranks, filters, collinearity and interaction screening.
+
+Boosted trees of a large table are grown on its cells: trees of 32 bins see of a row its bins and its outcome only, so rows alike in both become one
+cell with their number.  A tree's sample of 0.8 of the rows is drawn as binomial numbers of the cells, as if each row had been drawn.
+"""
 
 from __future__ import annotations
 
 import uuid
+from math import inf, isqrt
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..sources.shared import shared_dir
+from ..sources.shared import materialize, shared_dir
+from .ordered import quantiles
 
 MEASURES = ("iv", "entropy", "gini", "chi_square", "likelihood_ratio", "odds_ratio")
 HIGH, MODERATE, CAP = 10.0, 5.0, 999.99
 #: Rows of a part of the table that trees are grown on: each task reads its part from memory again and again, some 300 bytes a row.
 TREE_ROWS = 1_000_000
+#: Tables of more rows are grown on cells, if these are at most a quarter of the rows; cells that one task draws samples of.
+CELL_ROWS, SHRUNK, DRAWN = 1_000_000, 4, 25_000
+#: Bins of a variable, rate of learning, share of the rows that a tree is grown on, share of the variables that a node may split on (GBTClassifier's).
+TREE_BINS, RATE, SHARE, SUBSET = 32, 0.1, 0.8, "0.5"
 #: Groups in which tasks' co-moments are merged.
 SALT = 32
 
@@ -197,19 +209,80 @@ def tree_parts(data: DataFrame, n: int, part_rows: int | None = None) -> DataFra
 
 def boosted_importance(df: DataFrame, target: str, columns: list[str], trees: int = 30, depth: int = 4, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(variable, importance) and (parent, child, times) of boosted trees: which variables split below which."""
-    data = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(df.select(F.col(target).cast("double").alias("y"), *(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) for c in columns))).select("features", "y")
-    model = GBTClassifier(labelCol="y", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.5", seed=seed).fit(tree_parts(data, df.count()))
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/trees-{uuid.uuid4().hex}"
-    model.write().overwrite().save(path)
-    gain = spark.createDataFrame([(c, float(x)) for c, x in zip(columns, model.featureImportances.toArray())], "variable string, importance double")
-    names = spark.createDataFrame(list(enumerate(columns)), "feature int, variable string")
-    return gain, tree_pairs(tree_nodes(spark, path), names)
+    spark, n, path = df.sparkSession, df.count(), f"{shared_dir(df.sparkSession)}/trees-{uuid.uuid4().hex}"
+    names = [f"x{k}" for k in range(len(columns))]
+    rows = df.select(F.col(f"`{target}`").cast("double").alias("y"), *(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(x) for x, c in zip(names, columns)))
+    cells = tree_cells(rows, names) if n > CELL_ROWS else None
+    if cells is not None and cells.count() * SHRUNK <= n:
+        grow_on_cells(cells, names, path, trees, depth, seed)
+        nodes = tree_nodes(spark, f"{path}/tree-*")
+    else:
+        data = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(rows).select("features", "y")
+        model = GBTClassifier(labelCol="y", maxIter=trees, maxDepth=depth, maxBins=TREE_BINS, stepSize=RATE, subsamplingRate=SHARE, featureSubsetStrategy=SUBSET, seed=seed).fit(tree_parts(data, n))
+        model.write().overwrite().save(path)
+        nodes = tree_nodes(spark, path)
+    named = spark.createDataFrame(list(enumerate(columns)), "feature int, variable string")
+    return tree_gain(nodes, named), tree_pairs(nodes, named)
+
+
+def tree_edges(rows: DataFrame, names: list[str], bins: int = TREE_BINS) -> dict[str, list[float]]:
+    """The inner edges of each variable's bins (a bin holds what is above one edge and not above the next): every value has its bin if there are `bins`
+    at most, else quantiles, and a value that holds several of them has its bin."""
+    about = rows.agg(*(F.approx_count_distinct(x).alias(x) for x in names)).first()
+    some = [F.collect_set(x).alias(x) for x in names if about[x] <= 2 * bins]
+    few = rows.agg(*some).first().asDict() if some else {}  # some 2 * bins values a variable
+    edges = {x: sorted(v for v in few[x] if v == v)[:-1] if x in few else [] for x in names}
+    cut = quantiles(rows, {x: [k / bins for k in range(1, bins)] for x in names if x not in few or len(edges[x]) >= bins})
+    return edges | {x: sorted({*q, *(float(np.nextafter(v, -inf)) for v, w in zip(q, q[1:]) if v == w)}) for x, q in cut.items()}
+
+
+def tree_cells(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(names, y, n): the rows' bins, from 1 up, their outcome and number; NaN is an error, as it is to GBTClassifier."""
+    edges, out = tree_edges(rows, names), [f"{x}_bin" for x in names]
+    splits = [[-inf, *sorted({float(np.nextafter(e, inf)) for e in edges[x]} - {inf} or {0.0}), inf] for x in names]
+    binned = Bucketizer(splitsArray=splits, inputCols=names, outputCols=out, handleInvalid="error").transform(rows)
+    return materialize(binned.select("y", *((F.col(b) + 1).cast("byte").alias(x) for x, b in zip(names, out))).groupBy(*names, "y").agg(F.count("*").alias("n")), "cells")
+
+
+def grow_on_cells(cells: DataFrame, names: list[str], path: str, trees: int, depth: int, seed: int) -> None:
+    """Saves the boosted trees (logistic loss, as GBTClassifier grows them) of cells (names, y, n) under `path`/tree-0, tree-1, ...
+
+    Samples are drawn by part, from cells in one order, so that they do not depend on tasks."""
+    count, odd = cells.agg(F.count("*"), F.count_if(~F.coalesce(F.col("y").isin(0.0, 1.0), F.lit(False)))).first()
+    if odd:
+        raise ValueError("the outcome must be 0 or 1 in every row")
+    keys, sign, parts, share = [*names, "y"], 2 * F.col("y") - 1, -(-count // DRAWN), SHARE
+    vector = VectorAssembler(inputCols=names, outputCol="features")
+    t = cells.withColumns({"part": F.pmod(F.hash(*keys), F.lit(parts)), "score": F.lit(0.0)})
+    held = t.columns
+    shape = StructType([*t.schema.fields, StructField("w", LongType())])
+    for m in range(trees):
+
+        def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(keys)
+            return pdf.assign(w=np.random.default_rng([seed % 2**32, m, pdf["part"].iloc[0]]).binomial(pdf["n"], share))  # noqa: B023 (drawn at once)
+
+        t = vector.transform(materialize(t.repartition(parts, "part").groupBy("part").applyInPandas(draw, shape), "drawn"))
+        label = sign if m == 0 else 4 * sign / (1 + F.exp(2 * sign * F.col("score")))  # the outcome first, then what the trees so far leave of it
+        data = t.where("w > 0").select("features", "w", label.alias("label"))
+        # with this many bins Spark looks at all cells for the values to split between, and at all of these values
+        forest = RandomForestRegressor(weightCol="w", numTrees=1, maxDepth=depth, maxBins=max(2 * TREE_BINS, isqrt(count) + 1), featureSubsetStrategy=SUBSET, subsamplingRate=1.0, bootstrap=False, seed=seed + m)
+        model = forest.fit(tree_parts(data, count))
+        model.write().save(f"{path}/tree-{m}")
+        t = model.transform(t).withColumn("score", F.col("score") + (RATE if m else 1.0) * F.col("prediction")).select(*held)
 
 
 def tree_nodes(spark, path: str) -> DataFrame:
-    """(tree, node, left, right, feature) of a saved ensemble of trees: its inner nodes."""
-    t = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
-    return t.where("leftChild >= 0").select(F.col("treeID").alias("tree"), F.col("id").alias("node"), F.col("leftChild").alias("left"), F.col("rightChild").alias("right"), F.col("split.featureIndex").alias("feature"))
+    """(tree, node, left, right, feature, gain) of saved ensembles of trees (`path` may be a pattern): their inner nodes, with the gain of all rows."""
+    t = spark.read.parquet(f"{path}/data").select(F.struct(F.regexp_extract("_metadata.file_path", "(.*)/[^/]*$", 1), "treeID").alias("tree"), "nodeData.*")
+    gain = F.col("gain") * F.col("impurityStats")[0]
+    return t.where("leftChild >= 0").select("tree", F.col("id").alias("node"), F.col("leftChild").alias("left"), F.col("rightChild").alias("right"), F.col("split.featureIndex").alias("feature"), gain.alias("gain"))
+
+
+def tree_gain(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """(variable, importance): each variable's share of the gain of all nodes."""
+    own = names.join(nodes.groupBy("feature").agg(F.sum("gain").alias("gain")), "feature", "left").select("feature", "variable", F.coalesce("gain", F.lit(0.0)).alias("gain"))
+    return own.crossJoin(own.agg(F.sum("gain").alias("all"))).select("variable", F.coalesce(F.try_divide("gain", "all"), F.lit(0.0)).alias("importance"))  # a row per variable
 
 
 def tree_pairs(nodes: DataFrame, names: DataFrame) -> DataFrame:

@@ -126,3 +126,59 @@ def test_trees_are_grown_on_parts_of_bounded_size(spark, planted, monkeypatch):
     gain = selection.boosted_importance(planted, "isBad", ["steep", "step"], trees=1, depth=1)[0]
     assert gain.count() == 2 and max(seen[0].rdd.glom().map(len).collect()) <= 200 and seen[0].count() == planted.count()
     assert selection.tree_parts(planted, 100) is planted
+
+
+@pytest.fixture(scope="module")
+def coarse(spark):
+    """Few values a column, some null, one of them rare and found in one cell only."""
+    r = np.random.default_rng(8)
+    x = np.column_stack([r.integers(0, 9, 8000), r.integers(0, 5, 8000), r.integers(0, 3, 8000)]).astype(float)
+    x[:200] = 20.0, 0.0, 0.0
+    eta = 0.5 * (x[:, 0] - 4) + 1.1 * (x[:, 1] > 2) * (x[:, 2] - 1) - 1
+    y = (r.random(8000) < 1 / (1 + np.exp(-np.clip(eta, -4, 4)))).astype(int)
+    some = lambda v, k: None if k % 97 == 0 else float(v)
+    return spark.createDataFrame([(some(a, k), float(b), float(c), int(v)) for k, ((a, b, c), v) in enumerate(zip(x, y))], "first double, `sec.ond` double, third double, isBad int").repartition(3)
+
+
+def _trees(df, columns, **more):
+    gain, pairs = selection.boosted_importance(df, "isBad", columns, **more)
+    return {r["variable"]: r["importance"] for r in gain.collect()}, {(r["parent"], r["child"]): r["times"] for r in pairs.collect()}
+
+
+def test_trees_on_cells_are_those_on_rows(spark, coarse, monkeypatch):
+    """Without samples, trees grown on cells are GBTClassifier's on the rows, and tasks see cells only."""
+    monkeypatch.setattr(selection, "SHARE", 1.0)
+    monkeypatch.setattr(selection, "SUBSET", "all")
+    columns, seen, parts = ["first", "sec.ond", "third"], [], selection.tree_parts
+    monkeypatch.setattr(selection, "tree_parts", lambda data, n: seen.append(data.count()) or parts(data, n))
+    rows = _trees(coarse, columns, trees=5, depth=3)
+    assert seen == [8000]
+    monkeypatch.setattr(selection, "CELL_ROWS", 100)
+    monkeypatch.setattr(selection, "DRAWN", 50)
+    cells = _trees(coarse, columns, trees=5, depth=3)
+    assert len(seen) == 6 and max(seen[1:]) <= 2 * 12 * 6 * 4
+    assert cells[1] == rows[1] and len(rows[1]) >= 3 and rows[0] == pytest.approx(cells[0], rel=1e-6) and sum(cells[0].values()) == pytest.approx(1)
+
+
+def test_samples_of_cells(spark, coarse, monkeypatch):
+    """Samples are of the wanted size, differ from tree to tree and do not depend on how the rows lie."""
+    monkeypatch.setattr(selection, "CELL_ROWS", 100)
+    monkeypatch.setattr(selection, "DRAWN", 50)
+    drawn, parts = [], selection.tree_parts
+    monkeypatch.setattr(selection, "tree_parts", lambda data, n: drawn.append(data.agg(F.sum("w")).first()[0]) or parts(data, n))
+    one = _trees(coarse, ["first", "sec.ond", "third"], trees=4, depth=2)
+    two = _trees(coarse.repartition(7, "third"), ["first", "sec.ond", "third"], trees=4, depth=2)
+    assert drawn[:4] == drawn[4:] and len(set(drawn[:4])) > 1 and all(abs(w - 6400) < 6 * 36 for w in drawn)
+    assert one[1] == two[1] and one[0] == pytest.approx(two[0], rel=1e-9)
+    with pytest.raises(ValueError):
+        _trees(coarse.withColumn("isBad", F.when(F.col("third") > 0, F.col("isBad"))), ["first"], trees=1)
+    assert _trees(coarse.withColumn("same", F.lit(7.0)), ["same", "third"], trees=1)[0]["same"] == 0.0
+
+
+def test_edges_of_tree_bins(spark):
+    r = np.random.default_rng(2)
+    rows = [(float(k % 500 == 0) + float(k % 1000 == 0), 0.0 if k % 2 else float(v), 3.0, float("nan")) for k, v in enumerate(r.random(4000) + 1)]
+    edges = selection.tree_edges(spark.createDataFrame(rows, "rare double, half double, same double, none double").repartition(4), ["rare", "half", "same", "none"])
+    assert edges["rare"] == [0.0, 1.0] and edges["same"] == [] and edges["none"] == []
+    low, at, *rest = edges["half"]
+    assert low < 0 == at and -1e-300 < low and 14 <= len(rest) <= 16 and np.allclose(np.quantile([x[1] for x in rows], np.arange(17, 32) / 32), rest[-15:])
