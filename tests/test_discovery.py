@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from scoreweave.operators import additive, logistic, selection, splitters
@@ -182,3 +184,12 @@ def test_edges_of_tree_bins(spark):
     assert edges["rare"] == [0.0, 1.0] and edges["same"] == [] and edges["none"] == []
     low, at, *rest = edges["half"]
     assert low < 0 == at and -1e-300 < low and 14 <= len(rest) <= 16 and np.allclose(np.quantile([x[1] for x in rows], np.arange(17, 32) / 32), rest[-15:])
+
+
+def test_gain_of_nodes_is_sparks_importance(spark, planted, tmp_path):
+    columns = ["steep", "step", "left", "right"]
+    model = GBTClassifier(labelCol="isBad", maxIter=3, maxDepth=3, seed=1).fit(VectorAssembler(inputCols=columns, outputCol="features").transform(planted))
+    model.write().save(f"{tmp_path}/trees")
+    named = spark.createDataFrame([*enumerate(columns), (4, "unused")], "feature int, variable string")
+    got = {r["variable"]: r["importance"] for r in selection.tree_gain(selection.tree_nodes(spark, f"{tmp_path}/trees"), named).collect()}
+    assert got == pytest.approx(dict(zip(columns, model.featureImportances.toArray())) | {"unused": 0.0}) and max(got.values()) > 0.3
