bins_cart_exact: the greatest values come from the first read of the quantiles

Symptom: For the greatest value of three columns, lineitem was read three times, twice of them through Python workers.
Evidence: the profiler, the small input: 17,422,525 rows read in 17 Parquet scans, two MapInPandas, 19 exchanges; the passes over classes narrow an interval down to a maximum that the opening aggregate has already returned.
Fix: ordered.quantiles takes ranks 0 and n - 1 from its opening count, minimum and maximum; only ranks in between are looked for, as before.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 1303 -> 999 s, shuffle 1.50 -> 1.50 GB, spill 0.00 -> 0.00 GB, read 4.81 -> 2.97 GB, longest task 25 -> 28 s, most memory of a task 671 -> 671 MB; at 6 GB of input CPU 2951 -> 2024 s, shuffle 5.22 -> 5.21 GB, spill 0.00 -> 0.00 GB, read 20.70 -> 8.83 GB, longest task 35 -> 43 s, most memory of a task 872 -> 872 MB; with hot keys, at 1 GB of input CPU 1248 -> 933 s, shuffle 1.46 -> 1.46 GB, spill 0.00 -> 0.00 GB, read 4.47 -> 2.70 GB, longest task 25 -> 23 s, most memory of a task 671 -> 671 MB.

@@ -152,21 +152,26 @@ def quantiles(df: DataFrame, shares: dict[str, list[float]], small: int = PART_R
 
     Each pass counts, in all columns together, the rows per class of the intervals in which the wanted ranks lie, and the
     classes that hold the ranks are the next intervals.  An interval of one value or of few rows ends the search.  Only counts are
-    kept, never a buffer of values.  Tables of `small` rows at most are left to one aggregate."""
+    kept, never a buffer of values.  Tables of `small` rows at most are left to one aggregate.  The least and the greatest value
+    are known before the first pass."""
     names = list(shares)
     if not names:
         return {}
     x = {c: F.when(F.abs(F.col(f"`{c}`").cast("double")) < float("inf"), F.col(f"`{c}`").cast("double")) for c in names}
     t = df.select(*(x[c].alias(f"x{k}") for k, c in enumerate(names)))
     facts = t.agg(*(f(f"x{k}").alias(f"{name}{k}") for k in range(len(names)) for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max)))).first()
-    if max(facts[f"n{k}"] for k in range(len(names))) <= small:
-        row = t.agg(*(F.percentile(f"x{k}", list(shares[c])).alias(str(k)) for k, c in enumerate(names))).first()
-        return {c: list(row[k] or []) for k, c in enumerate(names)}
     place = {(k, s): s * (facts[f"n{k}"] - 1) for k, c in enumerate(names) if facts[f"n{k}"] for s in shares[c]}
     known: dict[tuple[int, int], float] = {}
+    for k in range(len(names)):
+        if facts[f"n{k}"]:
+            known |= {(k, 0): facts[f"lo{k}"], (k, facts[f"n{k}"] - 1): facts[f"hi{k}"]}
+    unknown = [(k, r) for (k, _), at in place.items() for r in (floor(at), ceil(at)) if (k, r) not in known]
+    if unknown and max(facts[f"n{k}"] for k in range(len(names))) <= small:
+        row = t.agg(*(F.percentile(f"x{k}", list(shares[c])).alias(str(k)) for k, c in enumerate(names))).first()
+        return {c: list(row[k] or []) for k, c in enumerate(names)}
     open_: dict[tuple[int, float, float], tuple[int, int, set[int]]] = {}  # (column, low, high) -> (rows below, rows, ranks)
-    for (k, _), at in place.items():
-        open_.setdefault((k, facts[f"lo{k}"], facts[f"hi{k}"]), (0, facts[f"n{k}"], set()))[2].update((floor(at), ceil(at)))
+    for k, r in unknown:
+        open_.setdefault((k, facts[f"lo{k}"], facts[f"hi{k}"]), (0, facts[f"n{k}"], set()))[2].add(r)
     while open_:
         for key in [key for key in open_ if key[1] == key[2]]:
             known |= {(key[0], r): key[1] for r in open_.pop(key)[2]}

@@ -223,3 +223,25 @@ def test_quantile_classes_are_counted_within_tasks(spark):
     assert sorted((g["cls"], g["n"]) for g in got if g["i"] == 1) == [(float(k), 1) for k in range(10, 20)]
     shares = [0.0, 0.1, 0.5, 0.77, 1.0]
     assert np.allclose(ordered.quantiles(t, {"x0": shares}, small=10)["x0"], np.quantile(known, shares), rtol=0, atol=1e-12)
+
+
+def reads_of(spark, monkeypatch, run):
+    """How often rows leave a table for the driver while `run` runs."""
+    cls, reads = type(spark.range(1)), []
+    for name in ("collect", "count"):  # `first` collects
+        plain = getattr(cls, name)
+        monkeypatch.setattr(cls, name, lambda df, plain=plain: reads.append(df) or plain(df))
+    return run(), len(reads)
+
+
+@pytest.mark.parametrize("small", [10, 200_000])
+def test_least_and_greatest_take_one_read(spark, monkeypatch, small):
+    """They are known with the counts: no pass over classes and no percentile; nulls, NaN and infinite values stay left out."""
+    x = [None, float("nan"), float("inf"), -float("inf"), *(float(k % 40) - 3.5 for k in range(200)), 99.25]
+    df = spark.createDataFrame([(v, None, 7.0) for v in x], "x double, none double, one double").repartition(3)
+    monkeypatch.setattr(ordered, "_classes", None)
+    got = ordered.quantiles(df, {"x": [0.0, 1.0], "none": [1.0], "one": [0.0, 1.0]}, small)
+    assert got == {"x": [-3.5, 99.25], "none": [], "one": [7.0, 7.0]}
+    assert ordered.quantiles(df.where("x is null"), {"x": [1.0], "one": [1.0]}, small) == {"x": [], "one": [7.0]}
+    assert ordered.quantiles(df.limit(0), {"x": [1.0]}, small) == {"x": []}
+    assert reads_of(spark, monkeypatch, lambda: ordered.quantiles(df, {"x": [1.0]}, small)) == ({"x": [99.25]}, 1)
