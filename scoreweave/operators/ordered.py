@@ -46,12 +46,12 @@ def _with_ahead(t: DataFrame, by: list[str], sums: dict[str, Column]) -> DataFra
     return t.join(_ahead(t, by, sums), same).drop("_its_part", *(f"_its_{c}" for c in by))
 
 
-def running(df: DataFrame, key: str, columns: list[str], by: list[str] = (), descending: bool = True, part_rows: int | None = None) -> DataFrame:
+def running(df: DataFrame, key: str, columns: list[str], by: list[str] = (), descending: bool = True, part_rows: int | None = None, n: int | None = None) -> DataFrame:
     """df with running sums `{c}_in` from the highest key down (or from the lowest up) and totals `{c}_all`, within each group
-    `by`; keys must not repeat within a group.  df is computed once."""
+    `by`; keys must not repeat within a group.  df is computed once; n: its rows, where it is an intermediate table that is counted already."""
     by, order = list(by), F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last()
-    t = materialize(df, "ordered")
-    n = t.count()
+    t = materialize(df, "ordered") if n is None else df
+    n = t.count() if n is None else n
     own = Window.partitionBy(*by)
     if n <= (part_rows or PART_ROWS):
         upto = own.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -245,3 +245,32 @@ def test_least_and_greatest_take_one_read(spark, monkeypatch, small):
     assert ordered.quantiles(df.where("x is null"), {"x": [1.0], "one": [1.0]}, small) == {"x": [], "one": [7.0]}
     assert ordered.quantiles(df.limit(0), {"x": [1.0]}, small) == {"x": []}
     assert reads_of(spark, monkeypatch, lambda: ordered.quantiles(df, {"x": [1.0]}, small)) == ({"x": [99.25]}, 1)
+
+
+def test_bins_read_the_rows_once(spark, monkeypatch):
+    """Missing rows are counted with the values: the table itself is read by one job, nulls, NaN and infinite values have one bin."""
+    inf, seen = float("inf"), spark.sparkContext.accumulator(0)
+    rows = [(float(k % 50) if k % 7 else [None, float("nan"), inf, -inf][k % 4], None, None if k % 11 == 0 else int(k % 50 > 20 + k % 9)) for k in range(1000)]
+    rows += [(None, 2.0, None)]  # without an outcome it counts nowhere
+
+    def watched(frames):
+        for pdf in frames:
+            seen.add(len(pdf))
+            yield pdf
+
+    df = spark.createDataFrame(rows, "x double, none double, isBad int").mapInPandas(watched, "x double, none double, isBad int")
+    for method in ("cart", "isotonic", "spline"):
+        before = seen.value
+        bins = exact_splits.get_bins(df, "isBad", ["x", "none"], splitters.Split(method, max_bins=4)).by_var
+        assert seen.value - before == len(rows)
+        known = [(x, y) for x, _, y in rows if y is not None and x is not None and abs(x) < inf]
+        gone = [y for x, _, y in rows if y is not None and not (x is not None and abs(x) < inf)]
+        assert [(z.n, z.bads) for z in bins["x"] if z.missing] == [(len(gone), sum(gone))]
+        assert [(z.n, z.bads, z.missing) for z in bins["none"]] == [(len(known) + len(gone), sum(y for _, y in known) + sum(gone), True)]
+        made = [z for z in bins["x"] if not z.missing]
+        assert len(made) > 1 and sum(z.n for z in made) == len(known)
+        for z in made:
+            low, high = z.intervals[0]
+            assert (z.n, z.bads) == (len(inside := [y for x, y in known if low < x <= high]), sum(inside))
+    empty = exact_splits.get_bins(df.limit(0), "isBad", ["x"], splitters.Split(max_bins=4))
+    assert empty.by_var == {}
